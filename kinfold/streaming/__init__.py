@@ -1,0 +1 @@
+"""Kept empty on purpose: the workload is batch only, it has no streaming operator."""
