@@ -49,7 +49,9 @@ def build_grid(candidates: DataFrame, eps: float = labels.EPS) -> Grid:
         .drop("ext_norm", "class_norm")
     )
     rows = grid.with_cells(rows, eps)
-    cells = materialize(grid.occupied_cells(rows).withColumn("id", F.monotonically_increasing_id()), "cells")
+    # Ids in the order of the coordinates keep the number of component rounds low.
+    placed = grid.occupied_cells(rows).repartitionByRange("block", *CELL).sortWithinPartitions("block", *CELL)
+    cells = materialize(placed.withColumn("id", F.monotonically_increasing_id()), "cells")
     bridges = materialize(grid.block_pairs(blocks, eps), "bridges") if eps >= grid.CROSS_BLOCK_EPS else None
     return Grid(eps, rows, cells, blocks, bridges)
 
@@ -82,7 +84,7 @@ def _components(space: Grid, cells: DataFrame, rows: DataFrame) -> DataFrame:
     met = materialize(grid.nearby_cells(cells, cells, space.eps, space.bridges, once=True), "cell-pairs")
     sure = connected_components(met.filter("sure"), "a_id", "b_id")
     rooted = cells.select("id").join(sure.withColumnRenamed("node", "id"), "id", "left")
-    rooted = materialize(rooted.select("id", F.coalesce("root", "id").alias("root")), "roots")
+    rooted = rooted.select("id", F.coalesce("root", "id").alias("root"))
     apart = met.filter("NOT sure").select("a_id", "b_id", "penalty")
     for side in "ab":
         apart = apart.join(
@@ -177,7 +179,7 @@ def _cluster_small_core(space: Grid, min_samples: int) -> DataFrame:
     """With min_samples up to 2 every row with a neighbour is core: clusters are components of cells."""
     roots = _components(space, space.cells, _rows_with_cell_id(space))
     rooted = space.cells.join(roots, "id")
-    numbers = materialize(_number_clusters(rooted, min_samples), "clusters")
+    numbers = _number_clusters(rooted, min_samples)
     cells = rooted.join(numbers, "root").select("block", *CELL, "n", *_SUMS, "cluster_id")
     totals = _cluster_totals(cells, space.blocks)
     cells = materialize(cells.join(totals, ["cluster_id", "block"]).select("block", *CELL, *_CLUSTER), "cell-labels")
