@@ -120,13 +120,13 @@ member AS MATERIALIZED (SELECT path, cluster_id FROM core_labels
   UNION ALL SELECT n.a, min(l.cluster_id) FROM neighbours n JOIN core_labels l ON l.path = n.b
   WHERE n.a NOT IN (FROM core) GROUP BY 1),
 sizes AS (SELECT cluster_id, count(*) AS cluster_size FROM member GROUP BY 1),
-similar AS (SELECT a.path, round_even(avg(list_cosine_similarity(va.x, vb.x)), 4) AS similarity
+mean_scores AS (SELECT a.path, round_even(avg(list_cosine_similarity(va.x, vb.x)), 4) AS similarity
   FROM member a JOIN member b ON a.cluster_id = b.cluster_id AND a.path <> b.path
   JOIN vectors va ON va.path = a.path JOIN vectors vb ON vb.path = b.path GROUP BY 1),
 near AS (SELECT c.*, coalesce(m.cluster_id, -1) AS cluster_id,
   CASE WHEN m.cluster_id IS NULL THEN 'Isolé' ELSE 'Cluster #' || CAST(m.cluster_id AS VARCHAR) END AS cluster_status,
   coalesce(cluster_size, 1) AS cluster_size, similarity
- FROM candidates c LEFT JOIN member m USING (path) LEFT JOIN sizes USING (cluster_id) LEFT JOIN similar USING (path))
+ FROM candidates c LEFT JOIN member m USING (path) LEFT JOIN sizes USING (cluster_id) LEFT JOIN mean_scores USING (path))
 """
 
 
