@@ -220,7 +220,6 @@ _FR_FILTERS, _EN_FILTERS = "Dépôt: src1 · Unité: en", "Repository: src1 · U
 # key -> (tables it builds on, query)
 _QUERIES: dict[str, tuple[list[str], str]] = {
     "scan_inventory": ([], _FILES),
-    "scan_walk": ([], _FILES),
     "scan_exclusions": ([_FIXTURE], "SELECT seq, path FROM raw"),
     "scan_metadata": (
         [_FIXTURE],

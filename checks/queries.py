@@ -16,7 +16,7 @@ from kinfold.operators.listings import Facets
 from kinfold.plans import fixture
 from kinfold.plans.pipeline import run_pipeline
 from kinfold.sources import stages
-from kinfold.sources.folder import scan_folder, walk_folder
+from kinfold.sources.folder import scan_folder
 from kinfold.sources.inventory import describe, drop_excluded
 from kinfold.sources.payloads import payload_inventory
 from kinfold.sources.scratch import new_location
@@ -133,10 +133,6 @@ def scan_inventory(spark, sf_dir):
     return scan_folder(spark, sf_dir).select("file_name", "size_bytes", "extension", "content_md5")
 
 
-def scan_walk(spark, sf_dir):
-    return walk_folder(spark, sf_dir).select("file_name", "size_bytes", "extension", "content_md5")
-
-
 def stage_roundtrip(spark, sf_dir):
     root, run_id = run_of(spark, sf_dir)
     if not stages.has_results(spark, root, run_id):
@@ -185,7 +181,6 @@ def all_queries() -> dict[str, Query]:
     return {
         # sources and sinks
         "scan_inventory": scan_inventory,
-        "scan_walk": scan_walk,
         "scan_exclusions": _pathed(columns=["seq", "path"]),
         "scan_metadata": lambda spark, sf_dir: describe(
             fixture.document_files(spark, sf_dir).withColumn("content_md5", F.md5("text"))

@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """``(node, root)`` for every node that has an edge; the root is the lowest id of the component.
 
     Every edge is kept as (node, lower). One round re-hangs each edge below an ancestor of its lower end (large
-    star, with four steps up at once), then hangs all lower ends of a node below its lowest one (small star). Both
+    star, two steps up at once), then hangs all lower ends of a node below its lowest one (small star). Both
     only move ends downwards. When every node has one lower end and that is a root, the stars are the components.
     Ids that follow the position of the nodes need fewer rounds than random ones.
     """
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         parents = _parents(links)
         # A table of its own: a hub among the lower ends is then a plain skewed join, which Spark splits.
         up = materialize(
-            _climb(_climb(parents)).join(parents.withColumnRenamed("parent", "direct"), "node"), "ancestors"
+            _climb(parents).join(parents.withColumnRenamed("parent", "direct"), "node"), "ancestors"
         )
         if up.filter("n_lower > 1 OR direct <> parent").isEmpty():
             return up.select("node", F.col("parent").alias("root")).unionByName(

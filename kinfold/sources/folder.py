@@ -1,8 +1,9 @@
 """Folder scans: one inventory row per file.
 
-``scan_folder`` reads any storage Spark can list. It has no creation time (the modification time stands in) and
-Spark's lister skips names that start with ``.`` or ``_``. ``walk_folder`` is for a file system mounted on every
-executor: it lists one directory level per round as a Spark job and sees hidden names and change times.
+Spark's own file reader leaves out empty files and names that start with ``.`` or ``_``, has no creation time and
+cannot hold a file over 2 GiB in a row. All of these belong in an inventory, so directories are listed by Spark tasks,
+one level of the tree per round, and contents are hashed as streams. The root is a path that every executor can
+reach, or a URI of a storage that pyarrow knows (``s3://``, ``hdfs://``, ...).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import stat
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 from functools import reduce
 
@@ -19,132 +20,125 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold import labels, schemas
-from kinfold.sources.inventory import describe, drop_excluded
+from kinfold import labels
+from kinfold.sources.inventory import describe
 from kinfold.sources.scratch import materialize
 
-# Larger files do not go through a row; they are hashed as a stream.
-ROW_CONTENT_LIMIT = 64 * 1024 * 1024
+FILES_PER_TASK = 10_000
 _BLOCK = 1024 * 1024
-_DATE = "%Y-%m-%d %H:%M:%S"
+_ENTRY = "path string, is_dir boolean, size_bytes long, created_at_raw string, modified_at_raw string"
+_COLUMNS = ["path", "is_dir", "size_bytes", "created_at_raw", "modified_at_raw"]
 
 
-def _qualified(spark: SparkSession, root: str) -> str:
-    if not root or not root.strip():
-        raise ValueError("a folder path is required")
-    path = spark._jvm.org.apache.hadoop.fs.Path(root.strip())
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path) or not system.getFileStatus(path).isDirectory():
-        raise FileNotFoundError(root)
-    return system.makeQualified(path).toString()
+def _remote(location: str) -> bool:
+    return "://" in location
 
 
-def _stream_md5(location: str) -> str | None:
-    try:
-        system, path = fs.FileSystem.from_uri(location) if "://" in location else (fs.LocalFileSystem(), location)
-        digest = hashlib.md5()
-        with system.open_input_stream(path) as stream:
-            while block := stream.read(_BLOCK):
-                digest.update(block)
-        return digest.hexdigest()
-    except Exception:  # unreadable file: the row stays, without a hash
-        return None
+def _text(moment: datetime | None) -> str | None:
+    return moment and moment.strftime("%Y-%m-%d %H:%M:%S")
 
 
-def _hash_streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(content_md5=[_stream_md5(path) for path in batch["path"]])
+def _local_entries(directory: str) -> Iterator[tuple]:
+    with os.scandir(directory) as listing:
+        for entry in listing:
+            if entry.is_dir():
+                if not entry.is_symlink():
+                    yield entry.path, True, None, None, None
+                continue
+            try:
+                info = entry.stat()
+            except OSError:  # vanished, or a link to nowhere
+                continue
+            dates = [_text(datetime.fromtimestamp(moment)) for moment in (info.st_ctime, info.st_mtime)]
+            yield entry.path, False, info.st_size, *dates
 
 
-def scan_folder(
-    spark: SparkSession, root: str, exclusions: list[str] | None = None, row_limit: int = ROW_CONTENT_LIMIT
-) -> DataFrame:
-    base = _qualified(spark, root)
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True)
-        .option("ignoreCorruptFiles", True)
-        .load(base)
-    )
-    files = drop_excluded(listed, exclusions, relative=F.substr("path", F.lit(len(base) + 2))).withColumn(
-        "path", F.regexp_replace("path", "^file:/+", "/")
-    )
-    facts = ["path", "length", "modificationTime"]
-    small = files.filter(F.col("length") <= row_limit).select(*facts, F.md5("content").alias("content_md5"))
-    large = (
-        files.filter(F.col("length") > row_limit)
-        .select(*facts)
-        .repartition("path")
-        .mapInPandas(_hash_streams, "path string, length long, modificationTime timestamp, content_md5 string")
-    )
-    changed = F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss")
-    return describe(
-        small.unionByName(large).select(
-            "path",
-            F.col("length").alias("size_bytes"),
-            "content_md5",
-            changed.alias("created_at_raw"),
-            changed.alias("modified_at_raw"),
-        )
-    )
+def _remote_entries(system: fs.FileSystem, directory: str) -> Iterator[tuple]:
+    """Object stores know one date, the last change."""
+    for info in system.get_file_info(fs.FileSelector(directory)):
+        if info.type == fs.FileType.Directory:
+            yield info.path, True, None, None, None
+        else:
+            yield info.path, False, info.size, _text(info.mtime), _text(info.mtime)
+
 
+def _lister(root: str, tokens: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def wanted(entry: tuple) -> bool:
+        name = entry[0].rsplit("/", 1)[-1]
+        return not (entry[1] and any(token in name for token in tokens))
 
-def _list_directories(tokens: list[str]):
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system = fs.FileSystem.from_uri(root)[0] if _remote(root) else None
         for batch in batches:
             for directory in batch["path"]:
-                found = []
                 try:
-                    with os.scandir(directory) as listing:
-                        for entry in listing:
-                            is_dir = entry.is_dir()
-                            follow = is_dir and not entry.is_symlink()
-                            if follow and not any(token in entry.name for token in tokens):
-                                found.append((entry.path, True))
-                            elif not is_dir:
-                                found.append((entry.path, False))
+                    listed = _remote_entries(system, directory) if system else _local_entries(directory)
+                    found = [entry for entry in listed if wanted(entry)]
                 except OSError:  # vanished or unreadable directory
                     continue
-                yield pd.DataFrame(found, columns=["path", "is_dir"]).astype({"path": str, "is_dir": bool})
+                yield pd.DataFrame(found, columns=_COLUMNS).astype({"size_bytes": "Int64"})
 
     return entries
 
 
-def _file_facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "size_bytes", "content_md5", "created_at_raw", "modified_at_raw"]
-    for batch in batches:
-        rows = []
-        for path in batch["path"]:
-            try:
-                info = os.stat(path)
-            except OSError:
-                continue
-            # only regular files have content to hash; a pipe would block
-            digest = _stream_md5(path) if stat.S_ISREG(info.st_mode) else None
-            dates = [datetime.fromtimestamp(moment).strftime(_DATE) for moment in (info.st_ctime, info.st_mtime)]
-            rows.append((path, info.st_size, digest, *dates))
-        yield pd.DataFrame(rows, columns=columns)
+def _stream_md5(system: fs.FileSystem | None, path: str) -> str | None:
+    """MD5 of the content; an unreadable file stays in the inventory without one."""
+    try:
+        if not system and not stat.S_ISREG(os.stat(path).st_mode):  # a pipe would block
+            return None
+        digest = hashlib.md5()
+        with system.open_input_stream(path, compression=None) if system else open(path, "rb") as stream:
+            while block := stream.read(_BLOCK):
+                digest.update(block)
+        return digest.hexdigest()
+    except Exception:
+        return None
 
 
-def walk_folder(spark: SparkSession, root: str, exclusions: list[str] | None = None) -> DataFrame:
+def _hasher(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system = fs.FileSystem.from_uri(root)[0] if _remote(root) else None
+        for batch in batches:
+            yield batch.assign(content_md5=[_stream_md5(system, path) for path in batch["path"]])
+
+    return hashed
+
+
+def _opened(root: str) -> tuple[str, str]:
+    """Folder as its file system names it, and what precedes that in the paths of the inventory."""
     if not root or not root.strip():
         raise ValueError("a folder path is required")
     root = root.strip()
-    if not os.path.isdir(root):
+    if not _remote(root):
+        if not os.path.isdir(root):
+            raise FileNotFoundError(root)
+        return root.rstrip("/") or "/", ""
+    system, path = fs.FileSystem.from_uri(root)
+    if system.get_file_info(path).type != fs.FileType.Directory:
         raise FileNotFoundError(root)
-    lister = _list_directories(exclusions or labels.EXCLUDED_DIRS)
-    frontier = spark.createDataFrame([(root,)], "path string")
+    return path, root.removesuffix(path) if root.endswith(path) else root.split("://")[0] + "://"
+
+
+def list_folder(spark: SparkSession, root: str, exclusions: list[str] | None = None) -> DataFrame:
+    """All files below ``root`` that are not under an excluded directory, with size and dates."""
+    lister = _lister(root.strip(), exclusions or labels.EXCLUDED_DIRS)
+    # Explicit partition counts: adaptive execution would merge such small rows into one task.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frontier = spark.createDataFrame([(_opened(root)[0],)], "path string")
     levels = []
-    while True:
-        entries = materialize(
-            frontier.repartition("path").mapInPandas(lister, "path string, is_dir boolean"), "folder-level"
-        )
-        levels.append(entries.filter(~F.col("is_dir")).select("path"))
+    while not frontier.isEmpty():
+        entries = materialize(frontier.repartition(tasks).mapInPandas(lister, _ENTRY), "folder-level")
+        levels.append(entries.filter(~F.col("is_dir")).drop("is_dir"))
         frontier = entries.filter("is_dir").select("path")
-        if frontier.isEmpty():
-            break
-    files = reduce(DataFrame.unionByName, levels).repartition("path")
-    raw = {field.name: field.dataType.simpleString() for field in schemas.RAW}
-    facts = ["path", "size_bytes", "content_md5", "created_at_raw", "modified_at_raw"]
-    return describe(files.mapInPandas(_file_facts, ", ".join(f"{name} {raw[name]}" for name in facts)))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def scan_folder(spark: SparkSession, root: str, exclusions: list[str] | None = None) -> DataFrame:
+    prefix = _opened(root)[1]
+    files = list_folder(spark, root, exclusions)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), files.count() // FILES_PER_TASK)
+    hashed = files.repartition(tasks).mapInPandas(
+        _hasher(root.strip()),
+        "path string, size_bytes long, created_at_raw string, modified_at_raw string, content_md5 string",
+    )
+    return describe(hashed.withColumn("path", F.concat(F.lit(prefix), "path")))

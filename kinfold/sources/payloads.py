@@ -10,12 +10,12 @@ from kinfold.sources.inventory import describe
 
 
 def decode_base64(encoded: Column) -> Column:
-    """Lenient base64 as binary, null if the padding is wrong.
+    """Lenient base64 as an array with the binary, empty if the padding is wrong.
 
     Characters outside the alphabet are skipped. Decoding stops at the first padding that completes a group of
-    four; a ``=`` at any other place is skipped. The text is cut at every ``=`` and the pieces are folded.
+    four; a ``=`` at any other place is skipped. The text is cut at every ``=`` and the pieces are folded. The
+    result is an array so that the folded state is bound once and ``explode`` drops what cannot be decoded.
     """
-    pieces = F.split(F.regexp_replace(encoded, "[^A-Za-z0-9+/=]", ""), "=")
 
     def step(state: Column, piece: Column) -> Column:
         open_chars = F.length(state["data"]) % 4
@@ -27,25 +27,26 @@ def decode_base64(encoded: Column) -> Column:
             done.alias("done"),
         )
 
-    start = F.struct(F.element_at(pieces, 1).alias("data"), F.lit(0).alias("pads"), F.lit(False).alias("done"))
-    end = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step)
-    data, length = end["data"], F.length(end["data"])
-    padded = F.rpad(data, (F.ceil(length / 4) * 4).cast("int"), F.lit("="))
-    complete = end["done"] | (length % 4 == 0)
-    return F.when(complete, F.try_to_binary(padded, F.lit("base64")))
+    def fold(pieces: Column) -> Column:
+        start = F.struct(F.element_at(pieces, 1).alias("data"), F.lit(0).alias("pads"), F.lit(False).alias("done"))
+        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, step)
+
+    def binary(end: Column) -> Column:
+        length = F.length(end["data"])
+        padded = F.rpad(end["data"], (F.ceil(length / 4) * 4).cast("int"), F.lit("="))
+        return F.when(end["done"] | (length % 4 == 0), F.try_to_binary(padded, F.lit("base64")))
+
+    pieces = F.array(F.split(F.regexp_replace(encoded, "[^A-Za-z0-9+/=]", ""), "="))
+    return F.filter(F.transform(F.transform(pieces, fold), binary), lambda content: content.isNotNull())
 
 
 def payload_files(payloads: DataFrame) -> DataFrame:
     """Decodable payloads as ``(seq, path, content)``; of one name the last upload stays."""
     comma = F.instr("data_uri", ",")
-    decoded = (
-        payloads.filter(comma > 0)
-        .select(
-            F.col("upload_seq").alias("seq"),
-            text.forward_slashes(F.col("name")).alias("path"),
-            decode_base64(F.substr("data_uri", comma + 1)).alias("content"),
-        )
-        .filter(F.col("content").isNotNull())
+    decoded = payloads.filter(comma > 0).select(
+        F.col("upload_seq").alias("seq"),
+        text.forward_slashes(F.col("name")).alias("path"),
+        F.explode(decode_base64(F.substr("data_uri", comma + 1))).alias("content"),
     )
     latest = Window.partitionBy("path").orderBy(F.desc("seq"))
     return decoded.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
