@@ -145,4 +145,4 @@ def test_scratch_uses_the_configured_folder(spark):
     if configured:
         assert scratch_root(spark) == configured
     assert materialize(spark.range(3), "t").count() == 3
-    assert materialize(spark.range(0), "t").schema == spark.range(0).schema
+    assert materialize(spark.range(0), "t").collect() == []
