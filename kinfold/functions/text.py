@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from kinfold import labels
 
-# Java's \s and the Unicode separators together cover what Unicode-aware stripping removes.
-_BLANK = r"[\s\p{Z}\x1c-\x1f\x85]+"
+# All Unicode blanks; the last one is U+3000.
+_BLANKS = "".join(filter(str.isspace, map(chr, range(0x3001))))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_BLANK}|{_BLANK}$", "")
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def suffix(name: Column) -> Column:
@@ -28,8 +28,12 @@ def forward_slashes(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
+def _before_last(text: Column, mark: str) -> Column:
+    return F.left(text, F.length(text) - F.length(F.substring_index(text, mark, -1)) - 1)
+
+
 def without_extension(name: Column) -> Column:
-    return F.regexp_replace(name, r"(?s)\.[^.]*$", "")
+    return F.when(F.contains(name, F.lit(".")), _before_last(name, ".")).otherwise(name)
 
 
 def alphanumeric(text: Column) -> Column:
@@ -37,7 +41,7 @@ def alphanumeric(text: Column) -> Column:
 
 
 def parent_dir(path: Column) -> Column:
-    return F.regexp_replace(path, "/?[^/]*$", "")
+    return F.when(F.contains(path, F.lit("/")), _before_last(path, "/")).otherwise("")
 
 
 def segments(path: Column) -> Column:

@@ -41,10 +41,12 @@ def first_per_path(rows: DataFrame) -> DataFrame:
     """First row of each path by ``seq``; the other columns only break ties.
 
     Spark limits each map task to one row per path before the shuffle, so a path repeated without end stays cheap.
+    Paths share long prefixes; sorting by their hash first decides most comparisons on one number.
     """
     order = [F.asc_nulls_last(name) for name in ["seq", *(c for c in rows.columns if c not in ("seq", "path"))]]
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(*order)))
-    return numbered.filter("_n = 1").drop("_n")
+    hashed = rows.withColumn("_hash", F.xxhash64("path"))
+    numbered = hashed.withColumn("_n", F.row_number().over(Window.partitionBy("_hash", "path").orderBy(*order)))
+    return numbered.filter("_n = 1").drop("_n", "_hash")
 
 
 def key_names(rows: DataFrame) -> DataFrame:
