@@ -17,34 +17,26 @@ def _parents(links: DataFrame) -> DataFrame:
     return links.groupBy("node").agg(F.min("lower").alias("parent"), F.count("*").alias("n_lower"))
 
 
-def _climb(parents: DataFrame) -> DataFrame:
-    """Each node with the parent of its parent, where there is one."""
-    above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-    return parents.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"))
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node that has an edge; the root is the lowest id of the component.
 
-    Every edge is kept as (node, lower). One round re-hangs each edge below an ancestor of its lower end (large
-    star, two steps up at once), then hangs all lower ends of a node below its lowest one (small star). Both
-    only move ends downwards. When every node has one lower end and that is a root, the stars are the components.
-    Ids that follow the position of the nodes need fewer rounds than random ones.
+    Every edge is kept as (node, lower). One round re-hangs each edge below the parent of its lower end (large
+    star), then hangs all lower ends of a node below its lowest one (small star). Both only move ends downwards.
+    When every node has one lower end and that is a root, the stars are the components. Ids that follow the
+    position of the nodes need fewer rounds than random ones.
     """
     links = edges.filter(F.col(a) != F.col(b)).select(*_downhill(a, b)).distinct()
     while True:
         links = materialize(links, "links")
-        parents = _parents(links)
         # A table of its own: a hub among the lower ends is then a plain skewed join, which Spark splits.
-        up = materialize(
-            _climb(parents).join(parents.withColumnRenamed("parent", "direct"), "node"), "ancestors"
-        )
-        if up.filter("n_lower > 1 OR direct <> parent").isEmpty():
-            return up.select("node", F.col("parent").alias("root")).unionByName(
-                up.select(F.col("parent").alias("node"), F.col("parent").alias("root")).distinct()
+        parents = materialize(_parents(links), "parents")
+        roots = parents.select(F.col("parent").alias("node")).distinct()
+        if parents.filter("n_lower > 1").isEmpty() and parents.join(roots, "node", "left_semi").isEmpty():
+            return parents.select("node", F.col("parent").alias("root")).unionByName(
+                roots.select("node", F.col("node").alias("root"))
             )
-        ancestors = up.select(F.col("node").alias("lower"), "parent")
-        large = links.join(ancestors, "lower", "left").select("node", F.coalesce("parent", "lower").alias("lower"))
+        up = parents.select(F.col("node").alias("lower"), "parent")
+        large = links.join(up, "lower", "left").select("node", F.coalesce("parent", "lower").alias("lower"))
         lowest = _parents(large)
         small = large.join(lowest, "node").filter("lower > parent").select(F.col("lower").alias("node"), "parent")
         links = lowest.select("node", "parent").unionByName(small).distinct().withColumnRenamed("parent", "lower")

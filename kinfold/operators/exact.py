@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold import labels, schemas
 from kinfold.operators.numbering import number_rows
+from kinfold.sources.scratch import materialize
 
 KEYS = ["content_md5", "size_bytes"]
 
@@ -16,13 +17,18 @@ def group_counts(cleaned: DataFrame) -> DataFrame:
     return cleaned.groupBy(*KEYS).agg(F.count("*").alias("n_copies"))
 
 
+def shared_keys(cleaned: DataFrame) -> DataFrame:
+    """Keys of more than one file; a file without a hash has no copies."""
+    return group_counts(cleaned).na.drop(subset=KEYS).filter("n_copies > 1")
+
+
 def flag_copies(cleaned: DataFrame) -> DataFrame:
     """Every row with the size of its group and whether it is shared.
 
-    Only the shared keys are joined. They are fewer than the rows; the optimiser broadcasts them if they are small
-    and splits skewed partitions of the rows otherwise.
+    Only the shared keys are joined, from a table of their own: the optimiser knows its size, broadcasts it if that
+    is small, and otherwise can split skewed partitions of the rows.
     """
-    shared = group_counts(cleaned).filter("n_copies > 1")
+    shared = materialize(shared_keys(cleaned), "shared-keys")
     return cleaned.join(shared, KEYS, "left").select(
         *cleaned.columns,
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
@@ -32,8 +38,7 @@ def flag_copies(cleaned: DataFrame) -> DataFrame:
 
 def numbered_groups(cleaned: DataFrame) -> DataFrame:
     """Shared keys in order: ``exact_group_id`` from 0 and ``_start``, the number of copies in earlier groups."""
-    shared = group_counts(cleaned).filter("n_copies > 1")
-    return number_rows(shared, KEYS, "exact_group_id", running_sum=("n_copies", "_start"))
+    return number_rows(shared_keys(cleaned), KEYS, "exact_group_id", running_sum=("n_copies", "_start"))
 
 
 def rank_copies(cleaned: DataFrame, groups: DataFrame) -> DataFrame:
@@ -57,11 +62,10 @@ def with_status(rows: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(cleaned: DataFrame) -> DataFrame:
-    # The same non-null filter on both branches lets them share one exchange of the rows.
-    keyed = cleaned.filter(F.col("content_md5").isNotNull() & F.col("size_bytes").isNotNull())
-    groups = numbered_groups(keyed)
-    copies = rank_copies(keyed, groups).withColumn("is_exact_dup", F.lit(True))
-    single = keyed.join(groups.select(*KEYS), KEYS, "left_anti").withColumns(
+    """Every row with group size, rank, group number and status; only rows with a shared key are ranked."""
+    groups = numbered_groups(cleaned)
+    copies = rank_copies(cleaned, groups).withColumn("is_exact_dup", F.lit(True))
+    single = cleaned.join(groups.select(*KEYS), KEYS, "left_anti").withColumns(
         {
             "n_copies": F.lit(1),
             "is_exact_dup": F.lit(False),

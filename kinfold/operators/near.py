@@ -56,31 +56,35 @@ def build_grid(candidates: DataFrame, eps: float = labels.EPS) -> Grid:
     return Grid(eps, rows, cells, blocks, bridges)
 
 
-def _points(rows: DataFrame, pairs: DataFrame, sides: str) -> DataFrame:
-    """Distinct vectors of the items that occur in ``pairs``, with the number of rows of each."""
-    wanted = None
-    for side in sides:
-        ids = pairs.select(F.col(f"{side}_id").alias("id"))
-        wanted = ids if wanted is None else wanted.unionByName(ids)
-    inside = rows.join(wanted.distinct(), "id", "left_semi")
-    return materialize(inside.groupBy("id", *Z).agg(F.count("*").alias("w")), "points")
-
+def _points(
+    space: Grid, pairs: DataFrame, sides: str, cells: DataFrame, single_rows: DataFrame | None = None
+) -> DataFrame:
+    """Distinct vectors of the ``cells`` that occur in ``pairs``, with the number of rows of each.
 
-def _rows_with_cell_id(space: Grid) -> DataFrame:
-    return space.rows.join(space.cells.select("block", *CELL, "id"), ["block", *CELL])
+    ``single_rows`` adds rows of cells that count only in part.
+    """
+    ids = pairs.select(F.explode(F.array(*[f"{side}_id" for side in sides])).alias("id")).distinct()
+    wanted = materialize(cells.select("block", *CELL, "id").join(ids, "id", "left_semi"), "open-cells")
+    inside = space.rows.join(wanted, ["block", *CELL]).select("id", *Z)
+    if single_rows is not None:
+        inside = inside.unionByName(single_rows.join(ids, "id", "left_semi").select("id", *Z))
+    return materialize(inside.groupBy("id", *Z).agg(F.count("*").alias("w")), "points")
 
 
 def linked_cells(space: Grid) -> DataFrame:
     """All pairs of cells that hold rows within eps of each other (each pair once)."""
     met = materialize(grid.nearby_cells(space.cells, space.cells, space.eps, space.bridges, once=True), "cell-pairs")
     open_pairs = met.filter("NOT sure")
-    points = _points(_rows_with_cell_id(space), open_pairs, "ab")
+    points = _points(space, open_pairs, "ab", space.cells)
     inside = grid.settle_pairs(open_pairs, points, points, space.eps, count=False)
     return met.filter("sure").select("a_id", "b_id").unionByName(inside.select("a_id", "b_id"))
 
 
-def _components(space: Grid, cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(id, root)`` of the cells. Open pairs are only looked into if sure links left them apart."""
+def _components(space: Grid, cells: DataFrame, whole: DataFrame, single_rows: DataFrame | None = None) -> DataFrame:
+    """``(id, root)`` of the cells: the ``whole`` ones and those of ``single_rows``.
+
+    Open pairs are only looked into if sure links left them apart.
+    """
     met = materialize(grid.nearby_cells(cells, cells, space.eps, space.bridges, once=True), "cell-pairs")
     sure = connected_components(met.filter("sure"), "a_id", "b_id")
     rooted = cells.select("id").join(sure.withColumnRenamed("node", "id"), "id", "left")
@@ -93,7 +97,7 @@ def _components(space: Grid, cells: DataFrame, rows: DataFrame) -> DataFrame:
     apart = materialize(apart.filter("a_root <> b_root"), "open-pairs")
     if apart.isEmpty():
         return rooted
-    points = _points(rows, apart, "ab")
+    points = _points(space, apart, "ab", whole, single_rows)
     inside = grid.settle_pairs(apart, points, points, space.eps, count=False)
     bridged = apart.join(inside, ["a_id", "b_id"], "left_semi").select("a_root", "b_root")
     merged = connected_components(bridged, "a_root", "b_root").select(
@@ -177,11 +181,11 @@ def near_duplicates(
 
 def _cluster_small_core(space: Grid, min_samples: int) -> DataFrame:
     """With min_samples up to 2 every row with a neighbour is core: clusters are components of cells."""
-    roots = _components(space, space.cells, _rows_with_cell_id(space))
+    roots = _components(space, space.cells, space.cells)
     rooted = space.cells.join(roots, "id")
     numbers = _number_clusters(rooted, min_samples)
     cells = rooted.join(numbers, "root").select("block", *CELL, "n", *_SUMS, "cluster_id")
-    totals = _cluster_totals(cells, space.blocks)
+    totals = materialize(_cluster_totals(cells, space.blocks), "cluster-totals")
     cells = materialize(cells.join(totals, ["cluster_id", "block"]).select("block", *CELL, *_CLUSTER), "cell-labels")
     return space.rows.join(cells, ["block", *CELL], "left")
 
@@ -192,7 +196,6 @@ def _cluster_by_density(space: Grid, min_samples: int) -> DataFrame:
     A row that is not core but within eps of core rows joins the lowest-numbered of their clusters.
     """
     dense = space.cells.filter(F.col("n") >= min_samples)
-    keyed = _rows_with_cell_id(space)
     sparse = materialize(
         space.rows.join(
             space.cells.filter(F.col("n") < min_samples).select("block", *CELL, F.col("id").alias("cell_id")),
@@ -211,7 +214,7 @@ def _cluster_by_density(space: Grid, min_samples: int) -> DataFrame:
 
     met = materialize(grid.nearby_cells(probes, space.cells, space.eps, space.bridges, once=False), "row-cells")
     open_pairs = met.filter("NOT sure")
-    inside = grid.settle_pairs(open_pairs, single, _points(keyed, open_pairs, "b"), space.eps, count=True)
+    inside = grid.settle_pairs(open_pairs, single, _points(space, open_pairs, "b", space.cells), space.eps, count=True)
     counts = met.filter("sure").select(F.col("a_id").alias("id"), F.col("b_n").alias("hits"))
     counts = counts.unionByName(inside.select(F.col("a_id").alias("id"), "hits"))
     core_ids = counts.groupBy("id").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= min_samples)
@@ -226,9 +229,7 @@ def _cluster_by_density(space: Grid, min_samples: int) -> DataFrame:
         ),
         "core-cells",
     )
-    core_rows = keyed.join(dense.select("id"), "id", "left_semi").select("id", *Z)
-    core_rows = core_rows.unionByName(core_sparse.select("id", *Z))
-    roots = _components(space, core_cells, core_rows)
+    roots = _components(space, core_cells, dense, core_sparse)
     rooted = core_cells.join(roots, "id")
     numbers = _number_clusters(rooted, 1)
     cell_numbers = materialize(rooted.join(numbers, "root").select("id", "cluster_id"), "core-labels")
@@ -236,7 +237,8 @@ def _cluster_by_density(space: Grid, min_samples: int) -> DataFrame:
     border = probes.join(core_ids, "id", "left_anti")
     reach = materialize(grid.nearby_cells(border, core_cells, space.eps, space.bridges, once=False), "border-cells")
     open_pairs = reach.filter("NOT sure")
-    inside = grid.settle_pairs(open_pairs, single, _points(core_rows, open_pairs, "b"), space.eps, count=True)
+    core_points = _points(space, open_pairs, "b", dense, core_sparse)
+    inside = grid.settle_pairs(open_pairs, single, core_points, space.eps, count=True)
     joined = reach.filter("sure").select("a_id", "b_id").unionByName(inside.select("a_id", "b_id"))
     border_numbers = (
         joined.join(cell_numbers.withColumnRenamed("id", "b_id"), "b_id")
