@@ -9,6 +9,7 @@ with the cells and the rows, never with the square of a cell's population.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ CROSS_BLOCK_EPS = 8**0.5
 # Two boxes with at most this many pairs of points are compared point by point.
 POINT_PAIRS = 4096
 
+# Up to this many cells (about 100 bytes each) are broadcast to meet their neighbours.
+BROADCAST_CELLS = 500_000
+
 # Slightly below eps/2, so rounding cannot push two rows of one cell beyond eps.
 _SHRINK = 1 - 1e-9
 
@@ -107,16 +111,22 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     return reduce(DataFrame.unionByName, steps).filter(F.col("penalty") <= limit)
 
 
-def _with_offsets(df: DataFrame, target: str, eps: float) -> DataFrame:
-    """Coordinates of all cells around a cell that can be within eps (at most 841, known without the data)."""
-    reach = (eps * eps - F.col("penalty")) / cell_side(eps) ** 2 * (1 + 1e-9)
-    gap = F.lit(0)
-    for k in AXES:
-        df = df.withColumn(f"o{k}", F.explode(F.sequence(F.lit(-3), F.lit(3))))
-        beyond = F.greatest(F.abs(F.col(f"o{k}")) - 1, F.lit(0))
-        gap = gap + beyond * beyond
-        df = df.filter(gap <= reach)
-    return df.withColumns({f"{target}_c{k}": F.col(f"c{k}") + F.col(f"o{k}") for k in AXES})
+def _offsets(ahead: bool) -> Column:
+    """Steps to all cells that can be within eps (841 of them, or the 420 ahead), each with its squared gap in cells.
+
+    A cell side is just below eps/2, so the gap is at most 2 cells; it does not depend on the data.
+    """
+    steps = []
+    for step in product(range(-3, 4), repeat=len(AXES)):
+        gap = sum(max(abs(k) - 1, 0) ** 2 for k in step)
+        if gap <= 4 and (not ahead or step > (0,) * len(AXES)):
+            steps.append(f"array({', '.join(map(str, (*step, gap)))})")
+    return F.expr(f"array({', '.join(steps)})")
+
+
+def _with_offsets(df: DataFrame, target: str, ahead: bool = False) -> DataFrame:
+    spread = df.withColumn("step", F.explode(_offsets(ahead)))
+    return spread.withColumns({f"{target}_c{k}": F.col(f"c{k}") + F.col("step")[k - 1] for k in AXES})
 
 
 def nearby_cells(probes: DataFrame, cells: DataFrame, eps: float, pairs: DataFrame | None, once: bool) -> DataFrame:
@@ -126,25 +136,27 @@ def nearby_cells(probes: DataFrame, cells: DataFrame, eps: float, pairs: DataFra
     if eps reaches across blocks. ``once`` keeps one direction of each pair and leaves out a cell with itself.
     """
     carried = ["id", "n", *BOX]
+    # A small table grows 400-fold here: spread it first, with a number that adaptive execution keeps.
+    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = probes.repartition(tasks, "id")
     own = probes.withColumns({"b_block": F.col("block"), "penalty": F.lit(0.0)})
-    around = _with_offsets(own, "b", eps)
-    if once:
-        ahead = F.lit(False)
-        for k in reversed(AXES):
-            ahead = (F.col(f"o{k}") > 0) | ((F.col(f"o{k}") == 0) & ahead)
-        around = around.filter(ahead)
+    around = _with_offsets(own, "b", ahead=once)
     if pairs is not None:
         both = pairs if once else pairs.unionByName(
             pairs.select(F.col("b_block").alias("a_block"), F.col("a_block").alias("b_block"), "penalty")
         )
         other = probes.join(both, probes["block"] == both["a_block"]).drop("a_block")
-        around = around.unionByName(_with_offsets(other, "b", eps))
+        reach = (eps * eps - F.col("penalty")) / cell_side(eps) ** 2 * (1 + 1e-9)
+        other = _with_offsets(other, "b").filter(F.col("step")[len(AXES)] <= reach)
+        around = around.unionByName(other)
     around = around.select(
         *[F.col(c).alias(f"a_{c}") for c in carried], "b_block", "penalty", *[f"b_{c}" for c in CELL]
     )
-    # All offsets of a cell stay in its task if the cells are small enough to broadcast; else both sides shuffle
-    # on the coordinates, where each occupied cell meets at most 841 probes cells per block.
-    met = around.join(_sided(cells, "b", ["block", *CELL, *carried]), ["b_block", *[f"b_{c}" for c in CELL]])
+    # The optimiser does not see the growth and might broadcast the grown side. So the choice is made here: few
+    # cells are broadcast, many are merged with the probes on the coordinates, where a cell meets at most 841.
+    occupied = _sided(cells, "b", ["block", *CELL, *carried])
+    occupied = F.broadcast(occupied) if cells.count() <= BROADCAST_CELLS else occupied.hint("merge")
+    met = around.join(occupied, ["b_block", *[f"b_{c}" for c in CELL]])
     return met.filter(_nearest() <= eps * eps).select(
         "a_id", "b_id", "penalty", "a_n", "b_n", *[f"{s}_{c}" for s in "ab" for c in BOX],
         (_farthest() <= eps * eps).alias("sure"),

@@ -19,6 +19,9 @@ from kinfold.operators.grid import BOX, CELL
 from kinfold.operators.numbering import number_rows
 from kinfold.sources.scratch import materialize
 
+# Up to this many open pairs of cells are settled without first following the sure links.
+SETTLE_AT_ONCE = 100_000
+
 _SUMS = [*[f"sum{k}" for k in AXES], "sum_inv"]
 _CLUSTER = ["cluster_id", "cluster_size", *[f"total{k}" for k in AXES], "onehot_total"]
 
@@ -71,34 +74,47 @@ def _points(
     return materialize(inside.groupBy("id", *Z).agg(F.count("*").alias("w")), "points")
 
 
+def _near_cells(space: Grid, cells: DataFrame) -> DataFrame:
+    return materialize(grid.nearby_cells(cells, cells, space.eps, space.bridges, once=True), "cell-pairs")
+
+
+def _settled(
+    space: Grid, open_pairs: DataFrame, whole: DataFrame, single_rows: DataFrame | None = None
+) -> DataFrame:
+    points = _points(space, open_pairs, "ab", whole, single_rows)
+    return grid.settle_pairs(open_pairs, points, points, space.eps, count=False).select("a_id", "b_id")
+
+
 def linked_cells(space: Grid) -> DataFrame:
     """All pairs of cells that hold rows within eps of each other (each pair once)."""
-    met = materialize(grid.nearby_cells(space.cells, space.cells, space.eps, space.bridges, once=True), "cell-pairs")
-    open_pairs = met.filter("NOT sure")
-    points = _points(space, open_pairs, "ab", space.cells)
-    inside = grid.settle_pairs(open_pairs, points, points, space.eps, count=False)
-    return met.filter("sure").select("a_id", "b_id").unionByName(inside.select("a_id", "b_id"))
+    met = _near_cells(space, space.cells)
+    inside = _settled(space, met.filter("NOT sure"), space.cells)
+    return met.filter("sure").select("a_id", "b_id").unionByName(inside)
 
 
 def _components(space: Grid, cells: DataFrame, whole: DataFrame, single_rows: DataFrame | None = None) -> DataFrame:
     """``(id, root)`` of the cells: the ``whole`` ones and those of ``single_rows``.
 
-    Open pairs are only looked into if sure links left them apart.
+    A few open pairs are settled at once. Many are only looked into if the sure links left their cells apart.
     """
-    met = materialize(grid.nearby_cells(cells, cells, space.eps, space.bridges, once=True), "cell-pairs")
-    sure = connected_components(met.filter("sure"), "a_id", "b_id")
-    rooted = cells.select("id").join(sure.withColumnRenamed("node", "id"), "id", "left")
+    met = _near_cells(space, cells)
+    links, open_pairs = met.filter("sure").select("a_id", "b_id"), met.filter("NOT sure")
+    few = open_pairs.count() <= SETTLE_AT_ONCE
+    if few:
+        links = links.unionByName(_settled(space, open_pairs, whole, single_rows))
+    rooted = cells.select("id").join(
+        connected_components(links, "a_id", "b_id").withColumnRenamed("node", "id"), "id", "left"
+    )
     rooted = rooted.select("id", F.coalesce("root", "id").alias("root"))
-    apart = met.filter("NOT sure").select("a_id", "b_id", "penalty")
+    if few:
+        return rooted
+    apart = open_pairs.select("a_id", "b_id", "penalty")
     for side in "ab":
         apart = apart.join(
             rooted.select(F.col("id").alias(f"{side}_id"), F.col("root").alias(f"{side}_root")), f"{side}_id"
         )
     apart = materialize(apart.filter("a_root <> b_root"), "open-pairs")
-    if apart.isEmpty():
-        return rooted
-    points = _points(space, apart, "ab", whole, single_rows)
-    inside = grid.settle_pairs(apart, points, points, space.eps, count=False)
+    inside = _settled(space, apart, whole, single_rows)
     bridged = apart.join(inside, ["a_id", "b_id"], "left_semi").select("a_root", "b_root")
     merged = connected_components(bridged, "a_root", "b_root").select(
         F.col("node").alias("root"), F.col("root").alias("merged")

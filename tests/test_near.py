@@ -69,13 +69,16 @@ def test_against_all_pairs(spark, seed, n, eps, min_samples):
     check(spark, dataset(seed, n, extensions), eps, min_samples)
 
 
-def test_result_does_not_depend_on_the_partitions(spark):
+def test_result_does_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(near, "SETTLE_AT_ONCE", -1)
+    monkeypatch.setattr(grid, "BROADCAST_CELLS", -1)
     check(spark, dataset(11, 100, heavy=True), 0.8, 2, partitions=17)
 
 
 def test_boxes_are_split_when_cells_are_full(spark, monkeypatch):
     """With hardly any direct comparisons allowed, open pairs go through several halvings."""
     monkeypatch.setattr(grid, "POINT_PAIRS", 1)
+    monkeypatch.setattr(near, "SETTLE_AT_ONCE", -1)
     check(spark, dataset(21, 140, extensions=(".a",), spread=60), 0.7, 2)
     check(spark, dataset(22, 140, extensions=(".a",), spread=60), 0.7, 5)
 
@@ -150,8 +153,9 @@ def test_counting_inside_a_full_cell(spark, monkeypatch):
 
 
 def test_offsets_cover_all_cells_within_eps(spark):
-    cells = spark.range(1).selectExpr("id", "0L AS c1", "0L AS c2", "0L AS c3", "0L AS c4", "0.0D AS penalty")
-    assert grid._with_offsets(cells, "b", 1.5).count() == 841
+    cells = spark.range(1).selectExpr("0L AS c1", "0L AS c2", "0L AS c3", "0L AS c4")
+    assert grid._with_offsets(cells, "b").count() == 841
+    assert grid._with_offsets(cells, "b", ahead=True).count() == 420
 
 
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
