@@ -58,10 +58,13 @@ def test_hot_group_is_spread_over_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(numbering, "materialize", keep)
     # so small a table would be merged into one task
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     groups = exact.numbered_groups(cleaned)
     ranked = exact.rank_copies(cleaned, groups)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
     hot = sorted(r["path"] for r in rows if r["content_md5"] == "hot")
     got = ranked.filter("content_md5 = 'hot'").orderBy("copy_rank").select("path", "copy_rank").collect()
     assert [r.path for r in got] == hot
