@@ -70,5 +70,26 @@ FROM p LEFT JOIN fit USING (page_id) LEFT JOIN low USING (host)
 """
 
 
+NEAR_COPIES = rf"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN generate_series(1, len(w) - 4)]) END AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a AS node, a AS reached FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT node, min(reached) AS root FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(root, s.doc_id) AS component_id,
+ coalesce(root, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON c.node = s.doc_id
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_decontamination": DECONTAMINATION, "op3_url_reputation": URL_REPUTATION}
+    return {
+        "op2_decontamination": DECONTAMINATION,
+        "op3_url_reputation": URL_REPUTATION,
+        "op4_circulant_minhash": NEAR_COPIES,
+    }

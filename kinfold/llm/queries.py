@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import decontamination, id_blocks, packing, quality_rules, url_reputation
+from kinfold.llm import circulant_minhash, decontamination, id_blocks, packing, quality_rules, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op3_url_reputation(spark, sf_dir):
     return url_reputation.url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op4_circulant_minhash(spark, sf_dir):
+    return circulant_minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op8_id_blocks(spark, sf_dir):
     files = id_blocks.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return id_blocks.id_digests(files)
@@ -38,5 +42,7 @@ def op9_packing(spark, sf_dir):
 
 
 def all_queries() -> dict[str, Query]:
-    named = (op1_quality_rules, op2_decontamination, op3_url_reputation, op8_id_blocks, op9_packing)
+    named = (
+        op1_quality_rules, op2_decontamination, op3_url_reputation, op4_circulant_minhash, op8_id_blocks, op9_packing,
+    )
     return {query.__name__: query for query in named}
