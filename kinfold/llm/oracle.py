@@ -87,9 +87,47 @@ FROM s LEFT JOIN c ON c.node = s.doc_id
 """
 
 
+SUFFIX_DEDUP = """
+WITH
+w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+p AS MATERIALIZED (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+      FROM (SELECT doc_id, h, unnest(generate_series(0, n - 50)) AS i FROM w WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS least FROM p GROUP BY s),
+hit AS (SELECT doc_id, i FROM p JOIN m USING (s) WHERE least < doc_id),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, i + k AS place FROM (SELECT doc_id, i, unnest(generate_series(0, 49)) AS k FROM hit)),
+spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < place - 1) AS n_spans
+          FROM (SELECT doc_id, place, lag(place) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM gone) GROUP BY doc_id),
+kept AS (SELECT b.doc_id, string_agg(x, '' ORDER BY b.place) AS h
+         FROM (SELECT doc_id, place, substr(h, 2 * place + 1, 2) AS x
+               FROM (SELECT doc_id, h, unnest(generate_series(0, n - 1)) AS place FROM w)) AS b
+         ANTI JOIN gone ON gone.doc_id = b.doc_id AND gone.place = b.place GROUP BY b.doc_id)
+SELECT w.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+ CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM w LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+DEBRUIJN_DEDUP = r"""
+WITH
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS s
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM w WHERE len(w) >= 35)),
+hit AS (SELECT doc_id, i FROM p WHERE s IN (SELECT s FROM p GROUP BY s HAVING count(*) > 1)),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, i + k AS place FROM (SELECT doc_id, i, unnest(generate_series(0, 34)) AS k FROM hit)),
+removed AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+kept AS (SELECT b.doc_id, string_agg(x, ' ' ORDER BY b.place) AS t
+         FROM (SELECT doc_id, place, w[place] AS x FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS place FROM w)) AS b
+         ANTI JOIN gone ON gone.doc_id = b.doc_id AND gone.place = b.place GROUP BY b.doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+ sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op2_decontamination": DECONTAMINATION,
         "op3_url_reputation": URL_REPUTATION,
         "op4_circulant_minhash": NEAR_COPIES,
+        "op6_suffix_dedup": SUFFIX_DEDUP,
+        "op10_debruijn_dedup": DEBRUIJN_DEDUP,
     }

@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import circulant_minhash, decontamination, id_blocks, packing, quality_rules, url_reputation
+from kinfold.llm import (
+    circulant_minhash,
+    debruijn_dedup,
+    decontamination,
+    id_blocks,
+    packing,
+    quality_rules,
+    suffix_dedup,
+    url_reputation,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +41,10 @@ def op4_circulant_minhash(spark, sf_dir):
     return circulant_minhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_id_blocks(spark, sf_dir):
     files = id_blocks.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return id_blocks.id_digests(files)
@@ -41,8 +54,19 @@ def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_debruijn_dedup(spark, sf_dir):
+    return debruijn_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
-    named = (
-        op1_quality_rules, op2_decontamination, op3_url_reputation, op4_circulant_minhash, op8_id_blocks, op9_packing,
-    )
+    named = [
+        op1_quality_rules,
+        op2_decontamination,
+        op3_url_reputation,
+        op4_circulant_minhash,
+        op6_suffix_dedup,
+        op8_id_blocks,
+        op9_packing,
+        op10_debruijn_dedup,
+    ]
     return {query.__name__: query for query in named}
