@@ -252,7 +252,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     )
     wanted = pairs.select(F.col("doc").alias("doc_id")).union(pairs.select("centre")).distinct()
     sets = materialize(
-        texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "shingles"
+        texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "shingles"
     )
     both = pairs.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("centre_shingles")), "centre")
     both = both.join(sets.select(F.col("doc_id").alias("doc"), "shingles"), "doc")
@@ -274,4 +274,4 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the lowest of its component."""
     gone = near_copies(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
