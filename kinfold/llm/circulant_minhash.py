@@ -19,7 +19,8 @@ With 25 bands of 5 rows, a pair at 0.85 misses all bands with a chance of 4e-7.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are kept. Fewer than five words are
 one shingle. Rows of one doc_id are one document: it links by any of its rows, and they are kept or dropped together.
-An empty table gives an empty result. Extra columns pass ``drop_near_copies`` by.
+Rows without a doc_id link with nothing and are kept, without
+a component. An empty table gives an empty result. Extra columns pass ``drop_near_copies`` by.
 """
 
 from __future__ import annotations
@@ -237,7 +238,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         texts.mapInArrow(_signed, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signed"
     )
     key = ["set_a", "set_b", "n_shingles"]
-    classes = signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class"))
+    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class"))
     members = materialize(signed.select("doc_id", *key).join(classes, key, "left").drop("set_a", "set_b"), "classes")
     own = signed.filter("n_shingles > 0").join(classes.select("class").distinct(), F.col("doc_id") == F.col("class"), "left_semi")
     banded = own.select("doc_id", F.explode("bands").alias("band")).distinct()
@@ -263,11 +264,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     star = verified.filter("linked").select(F.col("doc").alias("a"), F.col("centre").alias("b"))
     links = materialize(star.union(_links_in_blocks(verified)).distinct(), "near-links")
     roots = connected_components(links).select(F.col("node").alias("class"), "root")
-    component = F.coalesce("root", "class", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "class", "doc_id"))
     return (
         members.join(roots, "class", "left")
         .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 

@@ -11,8 +11,8 @@ spans are cut at these coordinates.
 Each word that lies in a window whose words also start anywhere else, in the same or another document, is removed.
 
 Defined cases: null, empty and blank texts have no words; fewer than ``WIDTH`` words never lose any. An exact copy of a
-document of ``WIDTH`` words or more loses all words, as its source does. An empty table gives an empty result. Extra
-columns pass ``remove_repeats`` by; an untouched text stays byte for byte, a cut one keeps its words and the blanks
+document of ``WIDTH`` words or more loses all words, as its source does. Rows without a doc_id lose nothing. An empty table gives an
+empty result. Extra columns pass ``remove_repeats`` by; an untouched text stays byte for byte, a cut one keeps its words and the blanks
 before them.
 """
 
@@ -71,13 +71,13 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def compact_paths(found: DataFrame, masked: DataFrame) -> DataFrame:
-    """(path, doc_id, start, n_words, runs): spans of maximal nonbranching repeated paths at their source coordinates.
+    """(path, doc_id, tie, start, n_words, runs): spans of maximal nonbranching repeated paths at their source coordinates.
 
     Runs follow each other if one ends where the other begins and both repeat as a whole. Nonbranching successions
     are linked and their components found by joins; the path has the number of its least run.
     """
-    whole = found.join(masked.filter(F.col("copies") > 1), RUN).select("doc_id", "start", "n", "run")
-    order = Window.partitionBy("doc_id").orderBy("start")
+    whole = found.join(masked.filter(F.col("copies") > 1), RUN).select("doc_id", "tie", "start", "n", "run")
+    order = Window.partitionBy("doc_id", "tie").orderBy("start")
     steps = whole.withColumns({"_next": F.lead("run").over(order), "_at": F.lead("start").over(order)})
     follows = materialize(
         steps.filter(F.col("_at") == F.col("start") + F.col("n")).select("run", F.col("_next").alias("next")).distinct(),
@@ -92,28 +92,28 @@ def compact_paths(found: DataFrame, masked: DataFrame) -> DataFrame:
     before = F.lag(F.struct("path", (F.col("start") + F.col("n")).alias("end"))).over(order)
     goes_on = F.coalesce((before["path"] == F.col("path")) & (before["end"] == F.col("start")), F.lit(False))
     span = F.sum((~goes_on).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    spans = on_path.withColumn("_span", span).groupBy("doc_id", "_span")
+    spans = on_path.withColumn("_span", span).groupBy("doc_id", "tie", "_span")
     return spans.agg(
         F.first("path").alias("path"),
         F.min("start").alias("start"),
         (F.max(F.col("start") + F.col("n")) - F.min("start") + WIDTH - 1).alias("n_words"),
         F.count("*").alias("runs"),
-    ).select("path", "doc_id", "start", "n_words", "runs")
+    ).select("path", "doc_id", "tie", "start", "n_words", "runs")
 
 
 def repeated_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): the removed spans of a document as (start, n_words), from its paths and its single edges."""
+    """(doc_id, tie, spans): the removed spans of a document as (start, n_words), from its paths and its single edges."""
     found, masked = repeated_runs(docs)
-    paths = compact_paths(found, masked).select("doc_id", "start", F.col("n_words").alias("n"))
+    paths = compact_paths(found, masked).select("doc_id", "tie", "start", F.col("n_words").alias("n"))
     # A path of n words stands for its n - WIDTH + 1 windows.
-    paths = paths.select("doc_id", F.struct("start", F.col("n").cast("int").alias("n")).alias("span"))
+    paths = paths.select("doc_id", "tie", F.struct("start", F.col("n").cast("int").alias("n")).alias("span"))
     single = found.join(masked.filter(F.col("copies") == 1), RUN).select(
-        "doc_id", F.explode(F.expr("filter(sequence(0, n - 1), i -> (shiftright(mask, i) & 1) = 1)")).alias("i"), "start"
+        "doc_id", "tie", F.explode(F.expr("filter(sequence(0, n - 1), i -> (shiftright(mask, i) & 1) = 1)")).alias("i"), "start"
     )
     single = single.select(
-        "doc_id", F.struct((F.col("start") + F.col("i")).alias("start"), F.lit(WIDTH).alias("n")).alias("span")
+        "doc_id", "tie", F.struct((F.col("start") + F.col("i")).alias("start"), F.lit(WIDTH).alias("n")).alias("span")
     )
-    return paths.unionByName(single).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    return paths.unionByName(single).groupBy("doc_id", "tie").agg(F.collect_list("span").alias("spans"))
 
 
 def _removed(part: pa.RecordBatch, words: A.Words) -> np.ndarray:
@@ -148,7 +148,7 @@ def _digests(batches):
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of ``docs``."""
-    rows = docs.select("doc_id", "text").join(repeated_words(docs), "doc_id", "left")
+    rows = repeats.keyed(docs).join(repeated_words(docs).hint("merge"), ["doc_id", "tie"], "left")
     return rows.mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -177,10 +177,11 @@ def _cut(batches, columns: list[str]):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated words cut out of ``text``; every row stays, a text may become empty."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("_row"))
-    rows = packed.join(repeated_words(docs), "doc_id", "left")
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in packed.columns}
+    row = F.struct(F.lit(0).alias("_"), *others).alias("_row")
+    packed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), row)
+    rows = packed.join(repeated_words(docs).hint("merge"), ["doc_id", "tie"], "left")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "text", "_row")}
     cut = rows.mapInArrow(
-        partial(_cut, columns=packed.columns), ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
+        partial(_cut, columns=list(kinds)), ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
     )
     return cut.select(*[c if c in ("doc_id", "text") else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -16,7 +16,8 @@ A payload, little-endian:
 The width is that of the ``PERCENTILE`` of the differences in the block, so a few large ids do not widen all others.
 
 Defined cases: a null or empty text is the end id alone; rows of equal doc_id are documents of their own, ordered by a
-hash of their text; an empty table has no file. A document lies in one file; its length is bounded by a text's (2 GB).
+hash of their text; a null doc_id comes first and is stored as
+the least i64; an empty table has no file. A document lies in one file; its length is bounded by a text's (2 GB).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,7 @@ PERCENTILE = 90
 FILE_IDS = 1 << 20
 _MAGIC = b"KPF1"
 _WORD = 64
+_NO_ID = -(1 << 63)
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -164,7 +167,7 @@ def _files(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
         place = np.ones(len(ended), bool)
         place[ends] = False
         ended[place] = ids
-        docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        docs = pc.fill_null(batch.column("doc_id").cast(pa.int64()), _NO_ID).to_numpy()
         held.append((docs, np.diff(first) + 1, ended))
         if sum(len(h[2]) for h in held) >= FILE_IDS:
             yield file()
@@ -204,7 +207,9 @@ def _checked(part: int, seq: int, doc_ids: np.ndarray, counts: np.ndarray, ids:
     sums = [zlib.crc32(ids[end - n : end].astype("<u4").tobytes()) for end, n in zip(ends, counts, strict=True)]
     columns = [np.full(len(doc_ids), part), np.full(len(doc_ids), seq), doc_ids, ends - counts, counts, sums]
     names = ["part", "seq", "doc_id", "start", "n_tokens", "ids_crc32"]
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), pa.int64()) for c in columns], names=names)
+    arrays = [pa.array(np.asarray(c), pa.int64()) for c in columns]
+    arrays[2] = pa.array(doc_ids, pa.int64(), mask=doc_ids == _NO_ID)
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def id_digests(files: DataFrame) -> DataFrame:

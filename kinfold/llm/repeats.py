@@ -8,14 +8,15 @@ super-k-mer). Steps, shared by the two operators that remove repeats:
    known to repeat), and send each other anchor once as a 40-bit print to the bucket of its hash. A bucket finds prints
    of more than one document (or place) and returns them by document. A hot anchor costs one print per block.
 2. ``occurrences``: the documents meet their returned prints; each run with such an anchor becomes a row
-   (anchor, run, doc_id, start, n). Prints that clash by chance only make a few rows too many.
+   (anchor, run, doc_id, tie, start, n). Prints that clash by chance only make a few rows too many.
 3. ``run_classes``: equal runs are aggregated. Equal runs repeat as a whole. Runs that share an anchor but differ may share
    some windows: the operators compare these, one copy of each run.
 4. ``covers``: the windows found, as bit masks over runs, go back to every occurrence and to the documents.
 
 Grams, windows and runs are compared by 64-bit hashes, a run by two of them.
 
-Rows of one doc_id are taken to hold one text; where they differ, a place removed in one is removed in all.
+Rows are told by doc_id and a hash of their text (``tie``), so rows of one doc_id may differ or repeat. Rows without a
+doc_id neither lose anything nor make others lose it.
 """
 
 from __future__ import annotations
@@ -241,7 +242,11 @@ def repeated_anchors(docs: DataFrame, kind: Kind) -> DataFrame:
     return met.groupBy("doc_id").agg(F.flatten(F.collect_list("prints")).alias("prints"))
 
 
-_OCCURRENCES = "anchor long, run long, check long, doc_id long, start long, n int"
+_OCCURRENCES = "anchor long, run long, check long, doc_id long, tie long, start long, n int"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
 
 
 def _occurring(batches, kind: Kind):
@@ -266,16 +271,18 @@ def _occurring(batches, kind: Kind):
                 pa.array(run.view(np.int64), pa.int64()),
                 pa.array(check.view(np.int64), pa.int64()),
                 pa.array(ids[runs.docs], pa.int64()),
+                part.column("tie").take(pa.array(runs.docs)),
                 pa.array(runs.starts - symbols.first[runs.docs], pa.int64()),
                 pa.array(runs.counts, pa.int32()),
             ],
-            names=["anchor", "run", "check", "doc_id", "start", "n"],
+            names=["anchor", "run", "check", "doc_id", "tie", "start", "n"],
         )
 
 
 def occurrences(docs: DataFrame, kind: Kind) -> DataFrame:
     """Rows of all runs whose anchor repeats, as a table."""
-    flagged = docs.select("doc_id", "text").join(repeated_anchors(docs, kind), "doc_id")
+    docs = docs.filter("doc_id IS NOT NULL")
+    flagged = keyed(docs).join(repeated_anchors(docs, kind).hint("merge"), "doc_id")
     return materialize(flagged.mapInArrow(lambda batches: _occurring(batches, kind), _OCCURRENCES), "runs")
 
 
@@ -283,8 +290,8 @@ RUN = ["anchor", "run", "check"]
 
 
 def run_classes(found: DataFrame) -> DataFrame:
-    """(anchor, run, check, copies, doc_id, start, n): each distinct run with its number and its first place."""
-    first = F.min(F.struct("doc_id", "start", "n"))
+    """(anchor, run, check, copies, doc_id, tie, start, n): each distinct run with its number and its first place."""
+    first = F.min(F.struct("doc_id", "tie", "start", "n"))
     classes = found.groupBy(*RUN).agg(F.count("*").alias("copies"), first.alias("first"))
     return materialize(classes.select(*RUN, "copies", "first.*"), "run-classes")
 
@@ -297,8 +304,8 @@ def sharing_anchor(classes: DataFrame) -> DataFrame:
 
 def at_places(docs: DataFrame, classes: DataFrame, spread, schema: str) -> DataFrame:
     """Reads the first place of each class: ``spread(batches)`` sees text and ``places``, a list of class rows."""
-    places = classes.groupBy("doc_id").agg(F.collect_list(F.struct(*RUN, "copies", "start", "n")).alias("places"))
-    return docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(places, "doc_id").mapInArrow(spread, schema)
+    places = classes.groupBy("doc_id", "tie").agg(F.collect_list(F.struct(*RUN, "copies", "start", "n")).alias("places"))
+    return keyed(docs).join(places.hint("merge"), ["doc_id", "tie"]).mapInArrow(spread, schema)
 
 
 def place_columns(part: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -314,12 +321,12 @@ def full_mask(n: str = "n") -> F.Column:
 
 
 def covers(found: DataFrame, masks: DataFrame, mask: F.Column) -> DataFrame:
-    """(doc_id, runs): runs of a document (start, n, mask) with a removed window.
+    """(doc_id, tie, runs): runs of a document (start, n, mask) with a removed window.
 
     ``masks`` has one row per class, so a run with many copies is a skewed side that Spark splits.
     """
     rows = found.join(masks, RUN).withColumn("mask", mask).filter("mask <> 0")
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "mask")).alias("runs"))
+    return rows.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "n", "mask")).alias("runs"))
 
 
 def covered_places(part: pa.RecordBatch, first: np.ndarray, width: int) -> np.ndarray:

@@ -12,8 +12,8 @@ are therefore compared across boundaries, by an aggregation of their windows.
 Runs that repeat as a whole are settled by their class alone: in documents above the least that has the run, all
 windows are removed.
 
-Defined cases: null texts are empty; fewer than ``WIDTH`` bytes never lose any. Equal rows of one doc_id do not remove each
-other. An empty table gives an empty result. Cuts may fall inside a UTF-8 character: ``repeat_digests`` hashes the bytes;
+Defined cases: null texts are empty; fewer than ``WIDTH`` bytes never lose any. Rows of one doc_id do not remove each other; rows
+without a doc_id lose nothing. An empty table gives an empty result. Cuts may fall inside a UTF-8 character: ``repeat_digests`` hashes the bytes;
 ``remove_repeats`` drops what is left of a cut character from the text.
 """
 
@@ -187,7 +187,7 @@ def window_masks(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
-    """(doc_id, runs): the removed windows of each document."""
+    """(doc_id, tie, runs): the removed windows of each document."""
     found = repeats.occurrences(docs, KIND)
     classes = repeats.run_classes(found)
     masks = window_masks(docs, classes).withColumnRenamed("mask", "own_mask")
@@ -222,7 +222,7 @@ def _digests(batches):
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``."""
-    rows = docs.select("doc_id", "text").join(repeated_bytes(docs), "doc_id", "left")
+    rows = repeats.keyed(docs).join(repeated_bytes(docs).hint("merge"), ["doc_id", "tie"], "left")
     return rows.mapInArrow(
         _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
@@ -241,5 +241,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 new[i] = texts.data[a:b][~gone[a:b]].tobytes().decode(errors="ignore")
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(new, pa.string())], names=["doc_id", "text"])
 
-    rows = docs.select("doc_id", "text").join(repeated_bytes(docs), "doc_id", "left")
+    rows = repeats.keyed(docs).join(repeated_bytes(docs).hint("merge"), ["doc_id", "tie"], "left")
     return rows.mapInArrow(cut, "doc_id long, text string")
