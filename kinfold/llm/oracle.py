@@ -123,11 +123,44 @@ FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+REVISITS = r"""
+WITH
+v AS (SELECT page_id, url, md5(html) AS tag, page_id % 365 AS day, k FROM pages, (SELECT unnest([0, 1, 2, 3]) AS k)),
+c0 AS (SELECT page_id * 4 + k AS record_id,
+  CASE WHEN k > 0 AND (page_id + k) % 2 = 0 THEN regexp_replace(url, '#.*$', '') || '#part' ELSE url END AS url,
+  page_id * 10 + CASE WHEN k = 0 THEN 0 WHEN (page_id + k) % 13 = 0 THEN -5 ELSE k * 1000 END AS time,
+  CASE WHEN k = 0 THEN 200 ELSE 304 END AS status,
+  CASE WHEN k = 0 THEN '"' || tag || '"' WHEN (page_id + k) % 5 = 0 THEN '"old"' WHEN (page_id + k) % 7 = 0 THEN NULL
+   ELSE 'W/"' || tag || '"' END AS etag,
+  CASE WHEN k > 0 AND (page_id + k) % 7 = 0 THEN NULL ELSE 'day ' || day END AS modified FROM v),
+c1 AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM c0),
+c AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', '')
+   || regexp_replace(regexp_extract(rest, '^[^/?]*(/[^?]*)?', 1), '/$', '')
+   || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical
+  FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+         lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|session)='))) AS q FROM c1)),
+f AS (SELECT r.record_id, max({'t': s.time, 'id': s.record_id}).id AS source_id
+      FROM c AS r JOIN c AS s ON s.canonical = r.canonical AND s.time < r.time AND s.status = 200
+      WHERE r.status = 304 GROUP BY r.record_id),
+j AS (SELECT r.record_id, r.canonical, r.time, r.etag, r.modified, s.record_id AS source_id, s.etag AS s_etag, s.modified AS s_modified, s.time AS s_time
+      FROM c AS r LEFT JOIN f USING (record_id) LEFT JOIN c AS s ON s.record_id = f.source_id WHERE r.status = 304),
+o AS (SELECT *, CASE WHEN source_id IS NULL THEN 'orphan'
+   WHEN coalesce(regexp_replace(etag, '^W/', '') <> s_etag, false) OR coalesce(modified <> s_modified, false) THEN 'changed'
+   WHEN coalesce(regexp_replace(etag, '^W/', '') = s_etag, false) OR coalesce(modified = s_modified, false) THEN 'resolved'
+   ELSE 'unchecked' END AS outcome FROM j)
+SELECT record_id, canonical, source_id, outcome,
+ CASE WHEN outcome IN ('resolved', 'unchecked') THEN 'content-type: text/html' || chr(10) || 'date: t' || time || chr(10)
+  || 'etag: ' || coalesce(etag, s_etag) || chr(10) || 'last-modified: ' || coalesce(modified, s_modified) END AS headers
+FROM o
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op2_decontamination": DECONTAMINATION,
         "op3_url_reputation": URL_REPUTATION,
         "op4_circulant_minhash": NEAR_COPIES,
+        "op5_revisits": REVISITS,
         "op6_suffix_dedup": SUFFIX_DEDUP,
         "op10_debruijn_dedup": DEBRUIJN_DEDUP,
     }

@@ -14,6 +14,7 @@ from kinfold.llm import (
     id_blocks,
     packing,
     quality_rules,
+    revisits,
     suffix_dedup,
     url_reputation,
 )
@@ -41,6 +42,10 @@ def op4_circulant_minhash(spark, sf_dir):
     return circulant_minhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_revisits(spark, sf_dir):
+    return revisits.revisit_report(table(spark, sf_dir, "pages"))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def all_queries() -> dict[str, Query]:
         op2_decontamination,
         op3_url_reputation,
         op4_circulant_minhash,
+        op5_revisits,
         op6_suffix_dedup,
         op8_id_blocks,
         op9_packing,
