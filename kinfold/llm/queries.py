@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm import (
     circulant_minhash,
+    cotraining,
     debruijn_dedup,
     decontamination,
     id_blocks,
@@ -50,6 +51,11 @@ def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_cotraining(spark, sf_dir):
+    docs, labels, pages = (table(spark, sf_dir, name) for name in ("documents", "labels", "pages"))
+    return cotraining.quality_scores(docs, labels, pages)
+
+
 def op8_id_blocks(spark, sf_dir):
     files = id_blocks.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return id_blocks.id_digests(files)
@@ -71,6 +77,7 @@ def all_queries() -> dict[str, Query]:
         op4_circulant_minhash,
         op5_revisits,
         op6_suffix_dedup,
+        op7_cotraining,
         op8_id_blocks,
         op9_packing,
         op10_debruijn_dedup,
