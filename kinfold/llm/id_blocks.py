@@ -91,7 +91,7 @@ def pack_ids(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     area = np.zeros(int(starts[-1]), np.uint8)
 
     def put(at: np.ndarray, values: np.ndarray) -> None:
-        raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(at), -1)
+        raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(at), values.itemsize * values.size // max(len(at), 1))
         area[at[:, None] + np.arange(raw.shape[1])] = raw
 
     put(starts[:-1], least.astype("<u4"))
