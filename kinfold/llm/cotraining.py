@@ -242,7 +242,7 @@ def _features_of(table: DataFrame, vocabulary: np.ndarray) -> tuple[pa.Table, np
     got = table.select(*extra, "text", *meta).mapInArrow(features, schema).toArrow()
     order = np.lexsort((np.arange(got.num_rows), got.column("doc_id").to_numpy()))
     got = got.take(pa.array(order))
-    x = np.array(got.column("x").to_pylist(), np.float64).reshape(got.num_rows, -1)
+    x = np.array(got.column("x").to_pylist(), np.float64).reshape(got.num_rows, len(_SHAPE) + len(vocabulary))
     m = np.zeros((got.num_rows, 1 << _META_BITS), np.float32)
     for i, buckets in enumerate(got.column("meta").to_pylist()):
         m[i, buckets] = 1
@@ -289,12 +289,14 @@ def _surest(p: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def co_train(labelled: DataFrame, pool: DataFrame) -> CoTrained | None:
     """None if one of the classes is missing in the training or the calibration rows."""
-    vocabulary = telling_words(labelled) if not labelled.isEmpty() else np.zeros(0, np.uint64)
+    if labelled.isEmpty():
+        return None
+    vocabulary = telling_words(labelled)
     rows, x, m = _features_of(labelled, vocabulary)
     _, pool_x, pool_m = _features_of(pool, vocabulary)
     y = rows.column("good").to_numpy().astype(np.int64)
     metadata = Metadata(m)
-    views, pools = [x, metadata(m)], [pool_x.reshape(-1, x.shape[1] if len(x) else 0), metadata(pool_m)]
+    views, pools = [x, metadata(m)], [pool_x, metadata(pool_m)]
     held = np.arange(len(y)) % _HOLD_OUT == 0
     if any(len(set(y[side])) < 2 for side in (held, ~held)):
         return None
