@@ -196,7 +196,7 @@ def _sent(batches: Iterator[pa.RecordBatch], kind: Kind, n_buckets: int) -> Iter
 
 
 def _met(table: pa.Table, across: bool) -> pa.Table:
-    """Prints of a bucket that more than one document (or place) has, by document."""
+    """Prints of a bucket that more than one document (or place) has, each with its document."""
 
     def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         raw = np.frombuffer(b"".join(rows.column("prints").to_pylist()), np.uint8).reshape(-1, 5)
@@ -219,12 +219,7 @@ def _met(table: pa.Table, across: bool) -> pa.Table:
         prints, docs = np.concatenate([known, prints[found]]), np.concatenate([known_docs, docs[found]])
     else:
         prints, docs = known, known_docs
-    order = np.argsort(docs, kind="stable")
-    prints, docs = prints[order], docs[order]
-    cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
-    ends = pa.array(np.r_[cuts, len(docs)].astype(np.int32), pa.int32())
-    lists = pa.ListArray.from_arrays(ends, pa.array(prints.astype(np.int64), pa.int64()))
-    return pa.table({"doc_id": pa.array(docs[cuts], pa.int64()), "prints": lists})
+    return pa.table({"doc_id": pa.array(docs, pa.int64()), "print": pa.array(prints.astype(np.int64), pa.int64())})
 
 
 def repeated_anchors(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -237,9 +232,9 @@ def repeated_anchors(docs: DataFrame, kind: Kind) -> DataFrame:
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET_BYTES + 1)
     sent = docs.select("doc_id", "text").mapInArrow(lambda batches: _sent(batches, kind, n_buckets), _PRINTS)
     met = sent.groupBy("bucket").applyInArrow(
-        lambda table: _met(table, kind.across_documents), "doc_id long, prints array<long>"
+        lambda table: _met(table, kind.across_documents), "doc_id long, print long"
     )
-    return met.groupBy("doc_id").agg(F.flatten(F.collect_list("prints")).alias("prints"))
+    return met.groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
 
 
 _OCCURRENCES = "anchor long, run long, check long, doc_id long, tie long, start long, n int"
