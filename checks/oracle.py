@@ -5,8 +5,19 @@ Clusters are found here by comparing all pairs and following the links, similari
 
 from __future__ import annotations
 
-from checks.queries import DENSITY, TERM, WIDE_EPS
-from kinfold import labels
+from checks.queries import TERM
+
+# The indicators and the cards, in order.
+_KPI_NAMES = [
+    "Nombre total de fichiers dupliqués",
+    "Nombre de groupes de duplication distincts",
+    "Doublons exacts",
+    "Quasi-doublons",
+    "Espace total gaspillé (MB)",
+    "Nombre de dépôts impactés",
+    "Nombre d'unités métier impactées",
+]
+_CARD_LABELS = ["Fichiers dupliqués", "Groupes distincts", "Espace gaspillé", "Dépôts impactés", "Unités métier"]
 
 _AS_OF = "TIMESTAMP '2025-01-01 00:00:00'"
 _MOMENT = "strftime((TIMESTAMP '2023-01-01 00:00:00' + to_hours(CAST({} AS INTEGER))), '%Y-%m-%d %H:%M:%S')"
@@ -136,9 +147,9 @@ combined AS (SELECT *, {_SEGMENT.format(1)} AS depot, {_SEGMENT.format(2)} AS un
    'EXACT_' || CAST(exact_group_id AS VARCHAR) AS group_key FROM exact WHERE is_exact_dup
   UNION ALL SELECT name_key, path, parent_dir, size_bytes, extension, 'Quasi',
    'QUASI_' || CAST(cluster_id AS VARCHAR) FROM near WHERE cluster_id <> -1)),
-spots AS (SELECT row_number() OVER (ORDER BY total_bytes DESC, depot, unit) AS rank, * FROM (
-  SELECT depot, unit, count(*) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM combined GROUP BY ALL)
-  ORDER BY rank LIMIT 20),
+all_spots AS (SELECT row_number() OVER (ORDER BY total_bytes DESC, depot, unit) AS rank, * FROM (
+  SELECT depot, unit, count(*) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM combined GROUP BY ALL)),
+spots AS (SELECT * FROM all_spots ORDER BY rank LIMIT 20),
 hotspots AS (SELECT *, {_label('total_bytes')} AS total_label FROM spots),
 indicators AS (SELECT
   CAST(count(*) AS DOUBLE) AS k1, CAST(count(DISTINCT group_key) AS DOUBLE) AS k2,
@@ -151,14 +162,14 @@ indicators AS (SELECT
 _TO_CLEAN = [_FIXTURE, _CLEAN]
 _TO_EXACT = [*_TO_CLEAN, _EXACT]
 _TO_SCORES = [*_TO_EXACT, _SCORES]
-_TO_NEAR = [*_TO_SCORES, _clusters(labels.EPS, labels.MIN_SAMPLES)]
+_TO_NEAR = [*_TO_SCORES, _clusters(1.5, 2)]
 _TO_COMBINED = [*_TO_NEAR, _COMBINED]
 
 _MEASURES = f"""count(*) AS n_files, count(DISTINCT group_key) AS n_groups, CAST(sum(size_bytes) AS BIGINT) AS total_bytes,
  count(*) FILTER (dup_type = 'Exact') AS n_exact, count(*) FILTER (dup_type = 'Quasi') AS n_near,
  {_label('sum(size_bytes)')} AS total_label"""
 _SCORE = "CASE WHEN similarity IS NULL THEN '—' ELSE printf('%.3f', similarity) END"
-_SHARED = "path[:70] AS path, size_label"
+_SHARED = "path, size_label"
 _IN_FACETS = f"{_SEGMENT.format(1)} = 'src1' AND {_SEGMENT.format(2)} = 'en'"
 _PICKED = f"regexp_matches(lower(name_key), '{TERM.lower()}') OR regexp_matches(lower(path), '{TERM.lower()}')"
 
@@ -180,12 +191,12 @@ def _text(value: str) -> str:
 
 
 def _long_kpis() -> str:
-    rows = [f"SELECT {_text(name)} AS metric, k{i} AS value FROM indicators" for i, name in enumerate(labels.KPI_NAMES, 1)]
+    rows = [f"SELECT {_text(name)} AS metric, k{i} AS value FROM indicators" for i, name in enumerate(_KPI_NAMES, 1)]
     return " UNION ALL ".join(rows)
 
 
 def _cards() -> str:
-    cards = zip(labels.CARD_LABELS["fr"], ("k1", "k2", "k5", "k6", "k7"), strict=True)
+    cards = zip(_CARD_LABELS, ("k1", "k2", "k5", "k6", "k7"), strict=True)
     rows = [
         f"SELECT CAST({i} AS BIGINT) AS card, {_text(label)} AS label, "
         + (_spaced(f"round_even({k}, 0)") if i < 4 else f"format('{{:,}}', CAST({k} AS BIGINT))")
@@ -195,28 +206,36 @@ def _cards() -> str:
     return " UNION ALL ".join(rows)
 
 
-_SIDE = labels.EPS / 2 * (1 - 1e-9)
+_SIDE = 1.5 / 2 * (1 - 1e-9)
 _CELLED = f"""celled AS (SELECT *, {', '.join(f'CAST(floor(z{k}/{_SIDE!r}) AS BIGINT) AS c{k}' for k in (1, 2, 3, 4))} FROM vectors)"""
 _LINKED_COLUMNS = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in ("extension", "size_class", "c1", "c2", "c3", "c4"))
 
 _FILES = "SELECT parse_filename(filename) AS file_name, size AS size_bytes, '.parquet' AS extension, md5(content) AS content_md5 FROM read_blob('/root/testdata/sf0.01/*')"
 
 _PAYLOAD = """
-uploads AS (SELECT doc_id AS seq, source || '/' || lang || '/f' || CAST(doc_id // 2 AS VARCHAR) || '.txt' AS path,
+uploads AS (SELECT doc_id AS seq, source || '/' || CASE WHEN doc_id%19 < 2 THEN 'node_modules' ELSE lang END || '/f' || CAST(doc_id // 2 AS VARCHAR) || '.txt' AS path,
   CASE WHEN doc_id%11=4 THEN 'ABC' ELSE text END AS content
  FROM documents WHERE doc_id%7 <> 3 AND (doc_id%11=4 OR doc_id%13=5 OR doc_id%17 <> 6)),
 latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS place FROM uploads)
-  WHERE place = 1)"""
+  WHERE place = 1 AND NOT contains(path, 'node_modules/'))"""
 
 
 def _report(name: str, columns: str, rows: str, filters: str) -> str:
-    return f"SELECT {columns}, name_key[:40] AS file_name, {_SHARED}, {_text(filters)} AS filters FROM {name} WHERE {rows}"
+    return f"SELECT {columns}, name_key AS file_name, {_SHARED}, {_text(filters)} AS filters FROM {name} WHERE {rows}"
 
 
 _EXACT_REPORT = "dup_status AS status, strftime(created_at, '%Y-%m-%d') AS created"
 _NEAR_REPORT = f"cluster_status AS cluster, {_SCORE} AS score"
 _FR_FILTERS, _EN_FILTERS = "Dépôt: src1 · Unité: en", "Repository: src1 · Unit: en"
 
+_EXACT_LINES = (
+    "SELECT dup_status AS status, name_key AS file, path, size_label AS size,"
+    " strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created, exact_group_id, copy_rank"
+)
+_NEAR_LINES = (
+    f"SELECT cluster_status AS cluster, name_key AS file, path, size_label AS size, {_SCORE} AS score, cluster_id"
+)
+
 # key -> (tables it builds on, query)
 _QUERIES: dict[str, tuple[list[str], str]] = {
     "scan_inventory": ([], _FILES),
@@ -310,21 +329,20 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
         [*_TO_SCORES, _CELLED],
         f"SELECT DISTINCT {_LINKED_COLUMNS} FROM celled a JOIN celled b USING (extension, size_class)"
         " WHERE (a.c1, a.c2, a.c3, a.c4) < (b.c1, b.c2, b.c3, b.c4)"
-        f" AND list_distance(a.x, b.x) <= {labels.EPS}",
+        f" AND list_distance(a.x, b.x) <= 1.5",
     ),
     "near_clusters": (_TO_NEAR, "SELECT path, cluster_id, cluster_status FROM near"),
     "near_cluster_sizes": (_TO_NEAR, "SELECT cluster_id, cluster_size FROM sizes"),
     "near_similarity": (_TO_NEAR, "SELECT path, similarity FROM near"),
     "near_duplicates": (_TO_NEAR, "SELECT * FROM near"),
     "near_min5": (
-        [*_TO_SCORES, _clusters(labels.EPS, DENSITY)],
+        [*_TO_SCORES, _clusters(1.5, 5)],
         "SELECT path, cluster_id, cluster_size, similarity FROM near",
     ),
     "near_wide_eps": (
-        [*_TO_SCORES, _clusters(WIDE_EPS, labels.MIN_SAMPLES)],
+        [*_TO_SCORES, _clusters(3.5, 2)],
         "SELECT path, cluster_id, cluster_size, similarity FROM near",
     ),
-    "near_unscored": (_TO_NEAR, "SELECT path, cluster_id, CAST(NULL AS DOUBLE) AS similarity FROM near"),
     "combined_duplicates": (_TO_COMBINED, "SELECT * FROM combined"),
     "path_dimensions": (
         _TO_CLEAN,
@@ -332,9 +350,10 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
         " FROM cleaned",
     ),
     "hotspots_top20": (_TO_COMBINED, "SELECT * FROM hotspots"),
+    "hotspots_all": (_TO_COMBINED, f"SELECT *, {_label('total_bytes')} AS total_label FROM all_spots"),
     "kpis": (
         _TO_COMBINED,
-        "SELECT " + ", ".join(f"k{i} AS {_quoted(name)}" for i, name in enumerate(labels.KPI_NAMES, 1)) + " FROM indicators",
+        "SELECT " + ", ".join(f"k{i} AS {_quoted(name)}" for i, name in enumerate(_KPI_NAMES, 1)) + " FROM indicators",
     ),
     **{f"breakdown_{name}": (_TO_COMBINED, _breakdown(name)) for name in ("depot", "unit", "extension", "owner")},
     "breakdown_all": (
@@ -384,14 +403,21 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     ),
     "exact_listing": (
         _TO_EXACT,
-        "SELECT dup_status AS status, name_key[:80] AS file, path[:80] AS path, size_label AS size,"
-        " strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM exact WHERE is_exact_dup AND contains(path, 'src1')"
-        " ORDER BY exact_group_id, copy_rank LIMIT 500",
+        f"{_EXACT_LINES} FROM exact WHERE is_exact_dup AND contains(path, 'src1')",
+    ),
+    "exact_listing_page": (
+        _TO_EXACT,
+        f"{_EXACT_LINES} FROM exact WHERE is_exact_dup AND contains(path, 'src1') AND (exact_group_id, copy_rank) > (2, 1)"
+        " ORDER BY exact_group_id, copy_rank LIMIT 10",
     ),
     "near_listing": (
         _TO_NEAR,
-        f"SELECT cluster_status AS cluster, name_key[:80] AS file, path[:80] AS path, size_label AS size, {_SCORE} AS score"
-        " FROM (SELECT * FROM near WHERE cluster_id <> -1 AND contains(path, 'src') ORDER BY cluster_id, path LIMIT 500)",
+        f"{_NEAR_LINES} FROM near WHERE cluster_id <> -1 AND contains(path, 'src')",
+    ),
+    "near_listing_page": (
+        _TO_NEAR,
+        f"{_NEAR_LINES} FROM (SELECT * FROM near WHERE cluster_id <> -1 AND contains(path, 'src')"
+        " AND (cluster_id, path) > (0, '/src1') ORDER BY cluster_id, path LIMIT 100)",
     ),
     "listing_counts": (
         _TO_NEAR,

@@ -1,6 +1,6 @@
 """Every operator as a query over the given tables.
 
-The inventory is derived from ``documents`` (see kinfold.plans.fixture). Queries on later stages read the stage
+The inventory is derived from ``documents`` (see checks.fixture). Queries on later stages read the stage
 tables of one pipeline run per session and data folder, as an interactive session does.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import clean, combine, exact, features, grid, listings, near, reports, rollups
 from kinfold.operators.listings import Facets
-from kinfold.plans import fixture
+from checks import fixture
 from kinfold.plans.pipeline import run_pipeline
 from kinfold.sources import stages
 from kinfold.sources.folder import scan_folder
@@ -58,7 +58,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.when(doc % 11 == 4, "QUJD").when(doc % 13 == 5, noisy).when(doc % 17 == 6, "YQ").otherwise(body)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         doc.alias("upload_seq"),
-        F.concat("source", F.lit("\\"), "lang", F.lit("/f"), F.floor(doc / 2).cast("string"), F.lit(".txt")).alias(
+        F.concat("source", F.lit("\\"), F.when(doc % 19 < 2, "node_modules").otherwise(F.col("lang")), F.lit("/f"), F.floor(doc / 2).cast("string"), F.lit(".txt")).alias(
             "name"
         ),
         F.concat(F.lit("data:text/plain;base64"), F.when(doc % 7 == 3, ";").otherwise(","), data).alias("data_uri"),
@@ -113,12 +113,6 @@ def near_wide_eps(spark, sf_dir):
     return rows.select("path", "cluster_id", "cluster_size", "similarity")
 
 
-def near_unscored(spark, sf_dir):
-    """Scores are left out above a number of candidates."""
-    rows = near.near_duplicates(stage("exact")(spark, sf_dir), max_scored=1)
-    return rows.select("path", "cluster_id", "similarity")
-
-
 def exact_rank(spark, sf_dir):
     cleaned = stage("cleaned")(spark, sf_dir)
     return exact.rank_copies(cleaned, exact.numbered_groups(cleaned)).select("path", "copy_rank")
@@ -218,7 +212,7 @@ def all_queries() -> dict[str, Query]:
         # exact copies
         "exact_group_counts": _stage_query(exact.group_counts, "cleaned"),
         "exact_flags": _stage_query(
-            lambda df: exact.flag_copies(df).select("path", "n_copies", "is_exact_dup"), "cleaned"
+            lambda df: exact.exact_duplicates(df).select("path", "n_copies", "is_exact_dup"), "cleaned"
         ),
         "exact_rank": exact_rank,
         "exact_group_ids": exact_group_ids,
@@ -238,7 +232,6 @@ def all_queries() -> dict[str, Query]:
         "near_duplicates": _stage_query(near.near_duplicates, "exact"),
         "near_min5": near_min5,
         "near_wide_eps": near_wide_eps,
-        "near_unscored": near_unscored,
         # combination and roll-ups
         "combined_duplicates": lambda spark, sf_dir: combine.combined_duplicates(
             stage("exact")(spark, sf_dir), stage("near")(spark, sf_dir)
@@ -247,6 +240,7 @@ def all_queries() -> dict[str, Query]:
             lambda df: combine.path_dimensions(df).select("path", "depot", "unit", "owner"), "cleaned"
         ),
         "hotspots_top20": _on_combined(rollups.hotspots),
+        "hotspots_all": stage("hotspots"),
         "kpis": _on_combined(rollups.kpis_wide),
         "breakdown_depot": _on_combined(lambda df: rollups.breakdown(df, "depot")),
         "breakdown_unit": _on_combined(lambda df: rollups.breakdown(df, "unit")),
@@ -263,9 +257,15 @@ def all_queries() -> dict[str, Query]:
         "rows_by_type": _on_combined(lambda df: listings.rows_by_type(df, "en")),
         "hotspot_listing": _stage_query(listings.hotspot_listing, "hotspots"),
         "exact_listing": _stage_query(
-            lambda df: listings.exact_page(listings.exact_selection(df, "src1")), "exact"
+            lambda df: listings.exact_lines(listings.exact_selection(df, "src1")), "exact"
+        ),
+        "near_listing": _stage_query(lambda df: listings.near_lines(listings.near_selection(df, "src")), "near"),
+        "exact_listing_page": _stage_query(
+            lambda df: listings.exact_page(listings.exact_selection(df, "src1"), 10, after=(2, 1)), "exact"
+        ),
+        "near_listing_page": _stage_query(
+            lambda df: listings.near_page(listings.near_selection(df, "src"), 100, after=(0, "/src1")), "near"
         ),
-        "near_listing": _stage_query(lambda df: listings.near_page(listings.near_selection(df, "src")), "near"),
         "listing_counts": _listing_counts,
         "search_exact": _stage_query(
             lambda df: listings.search(df.filter("is_exact_dup"), TERM).select("path", "name_key"), "exact"

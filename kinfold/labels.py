@@ -45,9 +45,6 @@ NO_SCORE = "—"
 
 # Listing limits.
 PAGE_ROWS = 500
-CELL_CHARS = 80
-REPORT_NAME_CHARS = 40
-REPORT_PATH_CHARS = 70
 HOTSPOTS_KEPT = 20
 UNITS_SHOWN = 10
 EXTENSIONS_SHOWN = 8

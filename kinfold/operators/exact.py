@@ -22,36 +22,25 @@ def shared_keys(cleaned: DataFrame) -> DataFrame:
     return group_counts(cleaned).na.drop(subset=KEYS).filter("n_copies > 1")
 
 
-def flag_copies(cleaned: DataFrame) -> DataFrame:
-    """Every row with the size of its group and whether it is shared.
-
-    Only the shared keys are joined, from a table of their own: the optimiser knows its size, broadcasts it if that
-    is small, and otherwise can split skewed partitions of the rows.
-    """
-    shared = materialize(shared_keys(cleaned), "shared-keys")
-    return cleaned.join(shared, KEYS, "left").select(
-        *cleaned.columns,
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.col("n_copies").isNotNull().alias("is_exact_dup"),
-    )
-
-
 def numbered_groups(cleaned: DataFrame) -> DataFrame:
     """Shared keys in order: ``exact_group_id`` from 0 and ``_start``, the number of copies in earlier groups."""
     return number_rows(shared_keys(cleaned), KEYS, "exact_group_id", running_sum=("n_copies", "_start"))
 
 
-def rank_copies(cleaned: DataFrame, groups: DataFrame) -> DataFrame:
-    """Copies with their rank by creation date (then path) in the group.
+def number_copies(copies: DataFrame) -> DataFrame:
+    """Rows of shared keys with their rank by creation date (then path) in the group.
 
     All copies are numbered in one global order and the group's start is subtracted. No task ever holds a whole
     group, so a group may be as large as a third of the table.
     """
-    copies = cleaned.join(groups, KEYS)
     placed = number_rows(copies, ["exact_group_id", "created_at", "path"], "_place_in_all")
     return placed.withColumn("copy_rank", F.col("_place_in_all") - F.col("_start") + 1)
 
 
+def rank_copies(cleaned: DataFrame, groups: DataFrame) -> DataFrame:
+    return number_copies(cleaned.join(groups, KEYS))
+
+
 def with_status(rows: DataFrame) -> DataFrame:
     status = (
         F.when(~F.col("is_exact_dup"), labels.UNIQUE)
@@ -62,10 +51,15 @@ def with_status(rows: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(cleaned: DataFrame) -> DataFrame:
-    """Every row with group size, rank, group number and status; only rows with a shared key are ranked."""
-    groups = numbered_groups(cleaned)
-    copies = rank_copies(cleaned, groups).withColumn("is_exact_dup", F.lit(True))
-    single = cleaned.join(groups.select(*KEYS), KEYS, "left_anti").withColumns(
+    """Every row with group size, rank, group number and status; only rows with a shared key are ranked.
+
+    The groups are a table of their own, so the one join with them is broadcast if they are few, and otherwise Spark
+    can split the rows of a hot key. The joined rows are written once and split into copies and single files.
+    """
+    groups = materialize(numbered_groups(cleaned).select(*KEYS, "n_copies", "exact_group_id", "_start"), "groups")
+    joined = materialize(cleaned.join(groups, KEYS, "left"), "grouped-rows")
+    copies = number_copies(joined.filter("exact_group_id IS NOT NULL")).withColumn("is_exact_dup", F.lit(True))
+    single = joined.filter("exact_group_id IS NULL").withColumns(
         {
             "n_copies": F.lit(1),
             "is_exact_dup": F.lit(False),

@@ -83,8 +83,8 @@ def rows_by_type(combined: DataFrame, language: str = "fr") -> DataFrame:
     return _with_share(counts, "n_files").withColumn("label", label)
 
 
-def hotspot_listing(hotspots: DataFrame) -> DataFrame:
-    return hotspots.select(
+def hotspot_listing(hotspots: DataFrame, shown: int = labels.HOTSPOTS_KEPT) -> DataFrame:
+    return hotspots.filter(F.col("rank") <= shown).select(
         "rank", "depot", "unit", text.spaced_thousands(F.col("n_files")).alias("n_files_label"), "total_label"
     ).orderBy("rank")
 
@@ -118,33 +118,51 @@ def near_selection(near: DataFrame, depot=None, term=None, mode: str = "regex")
     return _selection(near.filter("cluster_id <> -1"), depot, term, mode)
 
 
-def _cell(column: Column | str) -> Column:
-    return F.substring(column if isinstance(column, Column) else F.col(column), 1, labels.CELL_CHARS)
+EXACT_ORDER = ["exact_group_id", "copy_rank"]
+NEAR_ORDER = ["cluster_id", "path"]
 
 
-def exact_page(selection: DataFrame, rows: int = labels.PAGE_ROWS) -> DataFrame:
-    """First page, by group and rank: five text cells. Only the page's rows are kept while sorting."""
-    page = selection.orderBy("exact_group_id", "copy_rank").limit(rows)
-    return page.select(
+def _page(selection: DataFrame, order: list[str], rows: int, after: tuple | None) -> DataFrame:
+    """The next ``rows`` rows behind the key ``after``: a filter, so far pages cost no more than the first."""
+    if after is not None:
+        first, second = (F.col(c) for c in order)
+        selection = selection.filter((first > after[0]) | ((first == after[0]) & (second > after[1])))
+    return selection.orderBy(*order).limit(rows)
+
+
+def exact_lines(selection: DataFrame) -> DataFrame:
+    """The whole selection as text cells, with the keys that order it and start the next page."""
+    return selection.select(
         F.col("dup_status").alias("status"),
-        _cell("name_key").alias("file"),
-        _cell("path").alias("path"),
-        _cell("size_label").alias("size"),
-        _cell(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).alias("created"),
+        F.col("name_key").alias("file"),
+        F.col("path"),
+        F.col("size_label").alias("size"),
+        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"),
+        *EXACT_ORDER,
     )
 
 
-def near_page(selection: DataFrame, rows: int = labels.PAGE_ROWS) -> DataFrame:
-    page = selection.orderBy("cluster_id", "path").limit(rows)
-    return page.select(
+def exact_page(selection: DataFrame, rows: int = labels.PAGE_ROWS, after: tuple[int, int] | None = None) -> DataFrame:
+    """One page by group and rank; ``after`` is the (exact_group_id, copy_rank) of the last row seen."""
+    return exact_lines(_page(selection, EXACT_ORDER, rows, after))
+
+
+def near_lines(selection: DataFrame) -> DataFrame:
+    return selection.select(
         F.col("cluster_status").alias("cluster"),
-        _cell("name_key").alias("file"),
-        _cell("path").alias("path"),
-        _cell("size_label").alias("size"),
+        F.col("name_key").alias("file"),
+        F.col("path"),
+        F.col("size_label").alias("size"),
         text.score_label(F.col("similarity")).alias("score"),
+        "cluster_id",
     )
 
 
+def near_page(selection: DataFrame, rows: int = labels.PAGE_ROWS, after: tuple[int, str] | None = None) -> DataFrame:
+    """One page by cluster and path; ``after`` is the (cluster_id, path) of the last row seen."""
+    return near_lines(_page(selection, NEAR_ORDER, rows, after))
+
+
 def selection_count(selection: DataFrame) -> DataFrame:
     """Size of the whole selection, not of the page, also as shown."""
     counted = selection.agg(F.count("*").alias("n"))

@@ -19,9 +19,6 @@ from kinfold.operators.grid import BOX, CELL
 from kinfold.operators.numbering import number_rows
 from kinfold.sources.scratch import materialize
 
-# Up to this many open pairs of cells are settled without first following the sure links.
-SETTLE_AT_ONCE = 100_000
-
 _SUMS = [*[f"sum{k}" for k in AXES], "sum_inv"]
 _CLUSTER = ["cluster_id", "cluster_size", *[f"total{k}" for k in AXES], "onehot_total"]
 
@@ -95,19 +92,14 @@ def linked_cells(space: Grid) -> DataFrame:
 def _components(space: Grid, cells: DataFrame, whole: DataFrame, single_rows: DataFrame | None = None) -> DataFrame:
     """``(id, root)`` of the cells: the ``whole`` ones and those of ``single_rows``.
 
-    A few open pairs are settled at once. Many are only looked into if the sure links left their cells apart.
+    Open pairs are only looked into if the sure links left their cells apart.
     """
     met = _near_cells(space, cells)
     links, open_pairs = met.filter("sure").select("a_id", "b_id"), met.filter("NOT sure")
-    few = open_pairs.count() <= SETTLE_AT_ONCE
-    if few:
-        links = links.unionByName(_settled(space, open_pairs, whole, single_rows))
     rooted = cells.select("id").join(
         connected_components(links, "a_id", "b_id").withColumnRenamed("node", "id"), "id", "left"
     )
     rooted = rooted.select("id", F.coalesce("root", "id").alias("root"))
-    if few:
-        return rooted
     apart = open_pairs.select("a_id", "b_id", "penalty")
     for side in "ab":
         apart = apart.join(
@@ -166,8 +158,7 @@ def _similarity() -> Column:
     return F.when(F.col("cluster_size") > 1, F.bround(score, 4))
 
 
-def _finish(labelled: DataFrame, columns: list[str], max_scored: int | None, total: int | None) -> DataFrame:
-    scored = max_scored is None or total <= max_scored
+def _finish(labelled: DataFrame, columns: list[str]) -> DataFrame:
     return labelled.select(
         *columns,
         F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"),
@@ -175,24 +166,18 @@ def _finish(labelled: DataFrame, columns: list[str], max_scored: int | None, tot
         .otherwise(F.concat(F.lit(labels.CLUSTER_PREFIX), F.col("cluster_id").cast("string")))
         .alias("cluster_status"),
         F.coalesce("cluster_size", F.lit(1)).cast("long").alias("cluster_size"),
-        (_similarity() if scored else F.lit(None)).cast("double").alias("similarity"),
+        _similarity().cast("double").alias("similarity"),
     )
 
 
-def near_duplicates(
-    exact: DataFrame,
-    eps: float = labels.EPS,
-    min_samples: int = labels.MIN_SAMPLES,
-    max_scored: int | None = None,
-) -> DataFrame:
-    """Cluster the candidates of the exact stage. ``max_scored`` leaves scores out above that many candidates."""
+def near_duplicates(exact: DataFrame, eps: float = labels.EPS, min_samples: int = labels.MIN_SAMPLES) -> DataFrame:
+    """Cluster the candidates of the exact stage and score every row, at any size."""
     space = build_grid(features.candidates(exact), eps)
-    total = space.cells.agg(F.sum("n")).first()[0] or 0 if max_scored is not None else None
     if min_samples <= 2:
         labelled = _cluster_small_core(space, min_samples)
     else:
         labelled = _cluster_by_density(space, min_samples)
-    return _finish(labelled, schemas.EXACT.names, max_scored, total)
+    return _finish(labelled, schemas.EXACT.names)
 
 
 def _cluster_small_core(space: Grid, min_samples: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Report extracts: complete, sorted listings with the text cut to the report's columns."""
+"""Report extracts: complete, sorted listings with whole texts; a page renderer may cut them."""
 
 from __future__ import annotations
 
@@ -38,8 +38,8 @@ def _narrowed(rows: DataFrame, facets: Facets | None, dup_type: str, apply_filte
 
 def _common(facets: Facets | None, language: str) -> list[Column]:
     return [
-        F.substring("name_key", 1, labels.REPORT_NAME_CHARS).alias("file_name"),
-        F.substring("path", 1, labels.REPORT_PATH_CHARS).alias("path"),
+        F.col("name_key").alias("file_name"),
+        F.col("path"),
         F.col("size_label"),
         F.lit(describe_filters(facets, language)).alias("filters"),
     ]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold import labels, schemas
 from kinfold.functions import text
+from kinfold.operators.numbering import number_rows
 
 BREAKDOWNS = ["depot", "unit", "extension", "owner"]
 
@@ -17,8 +18,21 @@ def _is(dup_type: str) -> Column:
     return F.col("dup_type") == dup_type
 
 
+def all_hotspots(combined: DataFrame) -> DataFrame:
+    """All (repository, unit) pairs by bytes, ranked without a window over all of them."""
+    groups = combined.groupBy("depot", "unit").agg(
+        F.count("path").alias("n_files"), F.sum("size_bytes").alias("total_bytes")
+    )
+    placed = number_rows(groups.withColumn("_less", -F.col("total_bytes")), ["_less", "depot", "unit"], "_place")
+    return (
+        placed.withColumn("rank", F.col("_place") + 1)
+        .withColumn("total_label", text.size_label(F.col("total_bytes")))
+        .select(*schemas.HOTSPOTS.names)
+    )
+
+
 def hotspots(combined: DataFrame, kept: int = labels.HOTSPOTS_KEPT) -> DataFrame:
-    """The (repository, unit) pairs with the most bytes. The limit comes first, so the rank sees ``kept`` rows."""
+    """The ``kept`` pairs with the most bytes. The limit comes first, so the rank sees ``kept`` rows."""
     order = [F.desc("total_bytes"), F.asc("depot"), F.asc("unit")]
     top = (
         combined.groupBy("depot", "unit")
@@ -87,12 +101,21 @@ def breakdown_all(combined: DataFrame) -> DataFrame:
 
 
 def kpis_wide(combined: DataFrame) -> DataFrame:
-    """The seven indicators as one row; all 0 without duplicates."""
+    """The seven indicators as one row; all 0 without duplicates.
+
+    Files of one group in one place are summed first, so the distinct counts expand grouped rows only.
+    """
+    combined = combined.groupBy("group_key", "depot", "unit").agg(
+        F.count("*").alias("n_files"),
+        F.count_if(_is(labels.EXACT)).alias("n_exact"),
+        F.count_if(_is(labels.NEAR)).alias("n_near"),
+        F.sum("size_bytes").alias("size_bytes"),
+    )
     values = [
-        F.count("*"),
+        F.coalesce(F.sum("n_files"), F.lit(0)),
         F.count_distinct("group_key"),
-        F.count_if(_is(labels.EXACT)),
-        F.count_if(_is(labels.NEAR)),
+        F.coalesce(F.sum("n_exact"), F.lit(0)),
+        F.coalesce(F.sum("n_near"), F.lit(0)),
         F.coalesce(text.megabytes(F.sum("size_bytes")), F.lit(0)),
         F.count_distinct("depot"),
         F.count_distinct("unit"),

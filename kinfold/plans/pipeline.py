@@ -21,7 +21,6 @@ def run_pipeline(
     run_id: str,
     eps: float = labels.EPS,
     min_samples: int = labels.MIN_SAMPLES,
-    max_scored: int | None = None,
     positions: dict[str, int] = combine.DIMENSIONS,
 ) -> dict[str, DataFrame]:
     """Run all stages on a raw inventory into ``<root>/<run_id>``; the indicators are written last."""
@@ -33,8 +32,8 @@ def run_pipeline(
     out = {"raw": keep("raw", raw)}
     out["cleaned"] = keep("cleaned", clean_inventory(out["raw"], as_of))
     out["exact"] = keep("exact", exact_duplicates(out["cleaned"]))
-    out["near"] = keep("near", near_duplicates(out["exact"], eps, min_samples, max_scored))
+    out["near"] = keep("near", near_duplicates(out["exact"], eps, min_samples))
     out["combined"] = keep("combined", combine.combined_duplicates(out["exact"], out["near"], positions))
-    out["hotspots"] = keep("hotspots", rollups.hotspots(out["combined"]))
+    out["hotspots"] = keep("hotspots", rollups.all_hotspots(out["combined"]))
     out["kpis"] = keep("kpis", rollups.kpis(out["combined"]))
     return out

@@ -12,8 +12,9 @@ import hashlib
 import os
 import stat
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import UTC, datetime
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyarrow import fs
@@ -25,13 +26,19 @@ from kinfold.sources.inventory import describe
 from kinfold.sources.scratch import materialize
 
 FILES_PER_TASK = 10_000
+ENTRIES_AT_ONCE = 10_000
 _BLOCK = 1024 * 1024
 _ENTRY = "path string, is_dir boolean, size_bytes long, created_at_raw string, modified_at_raw string"
 _COLUMNS = ["path", "is_dir", "size_bytes", "created_at_raw", "modified_at_raw"]
 
 
 def _remote(location: str) -> bool:
-    return "://" in location
+    return "://" in location and not location.startswith("file://")
+
+
+def _local_path(location: str) -> str:
+    """``file://`` roots are local paths, escaped."""
+    return unquote(location.removeprefix("file://")) if location.startswith("file://") else location
 
 
 def _text(moment: datetime | None) -> str | None:
@@ -41,15 +48,15 @@ def _text(moment: datetime | None) -> str | None:
 def _local_entries(directory: str) -> Iterator[tuple]:
     with os.scandir(directory) as listing:
         for entry in listing:
-            if entry.is_dir():
-                if not entry.is_symlink():
-                    yield entry.path, True, None, None, None
-                continue
             try:
+                if entry.is_dir():
+                    if not entry.is_symlink():
+                        yield entry.path, True, None, None, None
+                    continue
                 info = entry.stat()
-            except OSError:  # vanished, or a link to nowhere
+            except OSError:  # vanished, a link to nowhere or to itself
                 continue
-            dates = [_text(datetime.fromtimestamp(moment)) for moment in (info.st_ctime, info.st_mtime)]
+            dates = [_text(datetime.fromtimestamp(moment, UTC)) for moment in (info.st_ctime, info.st_mtime)]
             yield entry.path, False, info.st_size, *dates
 
 
@@ -67,16 +74,24 @@ def _lister(root: str, tokens: list[str]) -> Callable[[Iterator[pd.DataFrame]],
         name = entry[0].rsplit("/", 1)[-1]
         return not (entry[1] and any(token in name for token in tokens))
 
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=_COLUMNS).astype({"size_bytes": "Int64"})
+
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system = fs.FileSystem.from_uri(root)[0] if _remote(root) else None
         for batch in batches:
             for directory in batch["path"]:
+                found: list[tuple] = []
                 try:
-                    listed = _remote_entries(system, directory) if system else _local_entries(directory)
-                    found = [entry for entry in listed if wanted(entry)]
-                except OSError:  # vanished or unreadable directory
-                    continue
-                yield pd.DataFrame(found, columns=_COLUMNS).astype({"size_bytes": "Int64"})
+                    for entry in _remote_entries(system, directory) if system else _local_entries(directory):
+                        if wanted(entry):
+                            found.append(entry)
+                        if len(found) == ENTRIES_AT_ONCE:
+                            yield frame(found)
+                            found = []
+                except OSError:  # vanished or unreadable directory; what was listed stays
+                    pass
+                yield frame(found)
 
     return entries
 
@@ -86,12 +101,15 @@ def _stream_md5(system: fs.FileSystem | None, path: str) -> str | None:
     try:
         if not system and not stat.S_ISREG(os.stat(path).st_mode):  # a pipe would block
             return None
+        if not system:
+            with open(path, "rb") as stream:
+                return hashlib.file_digest(stream, "md5").hexdigest()
         digest = hashlib.md5()
-        with system.open_input_stream(path, compression=None) if system else open(path, "rb") as stream:
+        with system.open_input_stream(path, compression=None) as stream:
             while block := stream.read(_BLOCK):
                 digest.update(block)
         return digest.hexdigest()
-    except Exception:
+    except OSError:
         return None
 
 
@@ -110,9 +128,10 @@ def _opened(root: str) -> tuple[str, str]:
         raise ValueError("a folder path is required")
     root = root.strip()
     if not _remote(root):
-        if not os.path.isdir(root):
+        local = _local_path(root)
+        if not os.path.isdir(local):
             raise FileNotFoundError(root)
-        return root.rstrip("/") or "/", ""
+        return local.rstrip("/") or "/", "file://" if root.startswith("file://") else ""
     system, path = fs.FileSystem.from_uri(root)
     if system.get_file_info(path).type != fs.FileType.Directory:
         raise FileNotFoundError(root)

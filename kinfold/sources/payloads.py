@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import text
-from kinfold.sources.inventory import describe
+from kinfold.sources.inventory import describe, drop_excluded
 
 
 def decode_base64(encoded: Column) -> Column:
@@ -40,26 +40,45 @@ def decode_base64(encoded: Column) -> Column:
     return F.filter(F.transform(F.transform(pieces, fold), binary), lambda content: content.isNotNull())
 
 
-def payload_files(payloads: DataFrame) -> DataFrame:
-    """Decodable payloads as ``(seq, path, content)``; of one name the last upload stays."""
+def decoded_payloads(payloads: DataFrame) -> DataFrame:
+    """Decodable payloads as ``(seq, path, content)``.
+
+    Ordinary base64, with padding only at its end, is decoded at once; only other texts are folded piece by piece.
+    """
     comma = F.instr("data_uri", ",")
-    decoded = payloads.filter(comma > 0).select(
-        F.col("upload_seq").alias("seq"),
-        text.forward_slashes(F.col("name")).alias("path"),
-        F.explode(decode_base64(F.substr("data_uri", comma + 1))).alias("content"),
+    encoded = F.regexp_replace(F.substr("data_uri", comma + 1), "[^A-Za-z0-9+/=]", "")
+    ordinary = (F.length("_text") % 4 == 0) & F.col("_text").rlike("^[^=]*={0,2}$")
+    at_once = F.filter(F.array(F.try_to_binary("_text", F.lit("base64"))), lambda content: content.isNotNull())
+    texts = payloads.filter(comma > 0).select(
+        F.col("upload_seq").alias("seq"), text.forward_slashes(F.col("name")).alias("path"), encoded.alias("_text")
+    )
+    contents = F.when(ordinary, at_once).otherwise(decode_base64(F.col("_text")))
+    return texts.select("seq", "path", F.explode(contents).alias("content"))
+
+
+def payload_files(payloads: DataFrame) -> DataFrame:
+    """``(seq, path, size_bytes, content_md5)``; of one name the last upload stays.
+
+    Contents are hashed where they are decoded, so only their hashes are shuffled.
+    """
+    hashed = decoded_payloads(payloads).select(
+        "seq", "path", F.octet_length("content").cast("long").alias("size_bytes"), F.md5("content").alias("content_md5")
     )
-    latest = Window.partitionBy("path").orderBy(F.desc("seq"))
-    return decoded.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
+    last = F.max_by(F.struct("seq", "size_bytes", "content_md5"), "seq")
+    return hashed.groupBy("path").agg(last.alias("last")).select("path", "last.*")
 
 
 def payload_inventory(payloads: DataFrame, received_at: str) -> DataFrame:
-    """The files exist since the upload, so both dates are ``received_at``."""
+    """The files exist since the upload, so both dates are ``received_at``. Excluded directories are left out, as in a
+    folder scan; an upload without any payload is an error."""
+    if payloads.isEmpty():
+        raise ValueError("the upload is empty")
     return describe(
-        payload_files(payloads).select(
+        drop_excluded(payload_files(payloads)).select(
             "seq",
             "path",
-            F.octet_length("content").cast("long").alias("size_bytes"),
-            F.md5("content").alias("content_md5"),
+            "size_bytes",
+            "content_md5",
             F.lit(received_at).alias("created_at_raw"),
             F.lit(received_at).alias("modified_at_raw"),
         )

@@ -22,7 +22,15 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="kinfold-"))
+    if context.applicationId not in _own_roots:
+        _own_roots[context.applicationId] = tempfile.mkdtemp(prefix="kinfold-")
+    return _own_roots[context.applicationId]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark).rstrip('/')}/kinfold/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_location(spark: SparkSession, name: str) -> str:

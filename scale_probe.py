@@ -17,7 +17,7 @@ from kinfold.operators.combine import combined_duplicates
 from kinfold.operators.exact import exact_duplicates
 from kinfold.operators.near import near_duplicates
 from kinfold.operators.rollups import breakdown_all, hotspots, kpis
-from kinfold.plans.fixture import AS_OF, inventory_raw
+from checks.fixture import AS_OF, inventory_raw
 from kinfold.sources.scratch import materialize
 
 SF_DIR = "/root/testdata/sf0.1"

@@ -124,10 +124,12 @@ def test_search_modes(exact):
 
 def test_listings(exact, near):
     page = listings.exact_page(listings.exact_selection(exact, "r2")).collect()
-    assert [tuple(r) for r in page] == [("Doublon #1", "x", "/r2/u1/o2/x.txt", "0.0 MB", "2024-01-01 00:00:00")]
+    assert [tuple(r) for r in page] == [("Doublon #1", "x", "/r2/u1/o2/x.txt", "0.0 MB", "2024-01-01 00:00:00", 0, 2)]
     selection = listings.near_selection(near)
     assert [r.score for r in listings.near_page(selection).collect()] == ["0.643", "0.643"]
-    assert listings.near_page(selection, rows=1).count() == 1
+    first = listings.near_page(selection, rows=1).collect()
+    rest = listings.near_page(selection, rows=5, after=(first[-1].cluster_id, first[-1].path)).collect()
+    assert [r.path for r in first + rest] == [r.path for r in listings.near_lines(selection).orderBy("cluster_id", "path").collect()]
     assert tuple(listings.selection_count(selection).first()) == (2, "2")
 
 
@@ -156,8 +158,8 @@ def test_reports(spark, exact, near, tmp_path):
     long = exact.withColumns({"name_key": F.repeat(F.lit("n"), 50), "path": F.repeat(F.lit("p"), 80)})
     rows = reports.report_exact(long).collect()
     assert [(r.status, len(r.file_name), len(r.path), r.created) for r in rows] == [
-        ("Original", 40, 70, "2024-01-01"),
-        ("Doublon #1", 40, 70, "2024-01-01"),
+        ("Original", 50, 80, "2024-01-01"),
+        ("Doublon #1", 50, 80, "2024-01-01"),
     ]
     unscored = near.withColumn("similarity", F.lit(None).cast("double"))
     assert {r.score for r in reports.report_near(unscored).collect()} == {"—"}

@@ -72,7 +72,7 @@ def test_hot_group_is_spread_over_tasks(spark, monkeypatch):
     ranged = written[-1].filter("content_md5 = 'hot'")
     sizes = [r["count"] for r in ranged.groupBy(F.shiftright("_seq", 33)).count().collect()]
     assert len(sizes) > 4 and max(sizes) < len(hot) / 3
-    flagged = exact.flag_copies(cleaned).groupBy("is_exact_dup").count().collect()
+    flagged = exact.exact_duplicates(cleaned).groupBy("is_exact_dup").count().collect()
     assert sum(r["count"] for r in flagged) == n
 
 

@@ -70,7 +70,6 @@ def test_against_all_pairs(spark, seed, n, eps, min_samples):
 
 
 def test_result_does_not_depend_on_the_partitions(spark, monkeypatch):
-    monkeypatch.setattr(near, "SETTLE_AT_ONCE", -1)
     monkeypatch.setattr(grid, "BROADCAST_CELLS", -1)
     check(spark, dataset(11, 100, heavy=True), 0.8, 2, partitions=17)
 
@@ -78,7 +77,6 @@ def test_result_does_not_depend_on_the_partitions(spark, monkeypatch):
 def test_boxes_are_split_when_cells_are_full(spark, monkeypatch):
     """With hardly any direct comparisons allowed, open pairs go through several halvings."""
     monkeypatch.setattr(grid, "POINT_PAIRS", 1)
-    monkeypatch.setattr(near, "SETTLE_AT_ONCE", -1)
     check(spark, dataset(21, 140, extensions=(".a",), spread=60), 0.7, 2)
     check(spark, dataset(22, 140, extensions=(".a",), spread=60), 0.7, 5)
 
@@ -119,11 +117,6 @@ def test_candidates_leave_out_later_copies(spark):
     assert {r.path for r in features.candidates(rows).collect()} == {"/u", "/o"}
 
 
-def test_max_scored(spark):
-    df = frame(spark, dataset(1, 30))
-    assert near.near_duplicates(df, max_scored=29).filter("similarity IS NOT NULL").isEmpty()
-
-
 def points_space(points):
     """Pairs of single-point cells for settle_pairs."""
     return [(i, *p) for i, p in enumerate(points)]

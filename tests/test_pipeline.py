@@ -16,7 +16,7 @@ AS_OF = "2025-01-01 00:00:00"
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
 # Clustering queries run for a while each; they are compared with brute force in test_near. The scan SQL reads sf0.01.
-SLOW = {"near_duplicates", "near_min5", "near_wide_eps", "near_unscored", "near_cell_links", "scan_inventory"}
+SLOW = {"near_duplicates", "near_min5", "near_wide_eps", "near_cell_links", "scan_inventory"}
 
 
 @needs_data
