@@ -5,8 +5,8 @@ repeat are made at all (see ``repeats``): windows whose anchor occurs twice. Win
 without a branch already; such runs are counted as one row, and single edges are told apart only where runs with one
 anchor differ. ``compact_paths`` then joins repeated runs that follow each other, wherever the first has one successor and
 the second one predecessor, into maximal nonbranching paths. Every occurrence keeps its source coordinates (doc_id, start,
-n); an occurrence counts as a repeat only where both 64-bit hashes of its words agree with another occurrence, and the
-spans are cut at these coordinates.
+n); an occurrence counts as a repeat only where the hashes of its anchor and of all its words agree with those read at
+another source, and the spans are cut at these coordinates.
 
 Each word that lies in a window whose words also start anywhere else, in the same or another document, is removed.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import arrays as A
 from kinfold.llm import repeats
+from kinfold.llm.tables import settle
 from kinfold.operators.components import connected_components
-from kinfold.sources.scratch import materialize
 
 WIDTH, K = 35, 16
 KIND = repeats.Kind(WIDTH, K, False, repeats.word_symbols(WIDTH, K))
@@ -51,13 +51,13 @@ def _edges(batches):
 
 
 def edge_masks(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(anchor, run, check, edge_mask): bits of single edges that other runs with this anchor have too."""
+    """(anchor, run, edge_mask): bits of single edges that other runs with this anchor have too."""
     rows = repeats.at_places(
-        docs, repeats.sharing_anchor(classes), _edges, "anchor long, run long, check long, copies long, edges array<long>"
+        docs, repeats.sharing_anchor(classes), _edges, "anchor long, run long, copies long, edges array<long>"
     )
-    edges = materialize(rows.select(*RUN, "copies", F.posexplode("edges").alias("bit", "edge")), "edges")
+    edges = settle(rows.select(*RUN, "copies", F.posexplode("edges").alias("bit", "edge")), "edges")
     again = edges.groupBy("edge").agg(F.sum("copies").alias("_n")).filter("_n > 1").select("edge")
-    repeated = edges.join(materialize(again, "repeated-edges"), "edge", "left_semi")
+    repeated = edges.join(settle(again, "repeated-edges"), "edge", "left_semi")
     return repeated.groupBy(*RUN).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("edge_mask"))
 
 
@@ -67,7 +67,7 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = repeats.run_classes(found)
     whole = F.when(F.col("copies") > 1, repeats.full_mask()).otherwise(F.coalesce("edge_mask", F.lit(0)))
     masked = classes.join(edge_masks(docs, classes), RUN, "left").withColumn("mask", whole).filter("mask <> 0")
-    return found, materialize(masked.select(*RUN, "copies", "mask"), "masked-runs")
+    return found, settle(masked.select(*RUN, "copies", "mask"), "masked-runs")
 
 
 def compact_paths(found: DataFrame, masked: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def compact_paths(found: DataFrame, masked: DataFrame) -> DataFrame:
     whole = found.join(masked.filter(F.col("copies") > 1), RUN).select("doc_id", "tie", "start", "n", "run")
     order = Window.partitionBy("doc_id", "tie").orderBy("start")
     steps = whole.withColumns({"_next": F.lead("run").over(order), "_at": F.lead("start").over(order)})
-    follows = materialize(
+    follows = settle(
         steps.filter(F.col("_at") == F.col("start") + F.col("n")).select("run", F.col("_next").alias("next")).distinct(),
         "follows",
     )
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated words cut out of ``text``; every row stays, a text may become empty."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(F.lit(0).alias("_"), *others).alias("_row")
-    packed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), row)
+    packed = docs.select("doc_id", "text", F.hash("text").alias("tie"), row)
     rows = packed.join(repeated_words(docs).hint("merge"), ["doc_id", "tie"], "left")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "text", "_row")}
     cut = rows.mapInArrow(

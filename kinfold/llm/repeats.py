@@ -13,7 +13,8 @@ super-k-mer). Steps, shared by the two operators that remove repeats:
    some windows: the operators compare these, one copy of each run.
 4. ``covers``: the windows found, as bit masks over runs, go back to every occurrence and to the documents.
 
-Grams, windows and runs are compared by 64-bit hashes, a run by two of them.
+Grams, windows and runs are compared by 64-bit hashes. A run is told by the hash of its anchor and by that of its own
+symbols, so only a clash among runs of one anchor could join what differs.
 
 Rows are told by doc_id and a hash of their text (``tie``), so rows of one doc_id may differ or repeat. Rows without a
 doc_id neither lose anything nor make others lose it.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import arrays as A
-from kinfold.sources.scratch import materialize
+from kinfold.llm.tables import settle
 
 BLOCK_ANCHORS = 1 << 20
 BUCKET_BYTES = 48 << 20
@@ -46,7 +47,6 @@ class Symbols:
     first: np.ndarray
     grams: np.ndarray
     windows: np.ndarray
-    second: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -63,8 +63,7 @@ def word_symbols(width: int, k: int) -> Callable[[A.Texts], Symbols]:
     def symbols(texts: A.Texts) -> Symbols:
         words = A.words_of(texts, A.NOT_BLANK)
         hashes = A.hash_spans(texts.data, words.starts, words.ends)
-        other = A.mix(hashes * np.uint64(5) + np.uint64(7))
-        return Symbols(words.first, A.window_hashes(hashes, k), A.window_hashes(hashes, width), A.window_hashes(other, width))
+        return Symbols(words.first, A.window_hashes(hashes, k), A.window_hashes(hashes, width))
 
     return symbols
 
@@ -75,18 +74,14 @@ def byte_symbols(width: int) -> Callable[[A.Texts], Symbols]:
     def symbols(texts: A.Texts) -> Symbols:
         n = texts.size
         eight = A.eights(texts.data)
-        parts = []
-        for salt in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)):
-            own = A.mix(eight[: n + A.PAD - 32] + salt)
-            parts.append(A.join_hash(own[:-8], own[8:]))
-        grams, other = parts
-        windows = [
-            A.join_hash(A.join_hash(g[: n - width + 1], g[16 : 16 + n - width + 1]),
-                        A.join_hash(g[32 : 32 + n - width + 1], g[width - 16 : n - 16 + 1]))
-            if n >= width else np.zeros(0, np.uint64)
-            for g in (grams, other)
-        ]
-        return Symbols(texts.bounds, grams[: max(n - 15, 0)], windows[0], windows[1])
+        own = A.mix(eight[: n + A.PAD - 32])
+        g = A.join_hash(own[:-8], own[8:])
+        m = n - width + 1
+        windows = np.zeros(0, np.uint64)
+        if m > 0:
+            ends = A.join_hash(g[32 : 32 + m], g[width - 16 : width - 16 + m])
+            windows = A.join_hash(A.join_hash(g[:m], g[16 : 16 + m]), ends)
+        return Symbols(texts.bounds, g[: max(n - 15, 0)], windows)
 
     return symbols
 
@@ -129,11 +124,10 @@ def runs_of(kind: Kind, symbols: Symbols) -> Runs:
     return Runs(starts, np.diff(np.r_[cuts, len(at)]), anchors[cuts], docs)
 
 
-def run_hashes(symbols: Symbols, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """A run is shorter than a window, so its first and last window hold all its symbols."""
-    last = runs.starts + runs.counts - 1
-    n = runs.counts.astype(np.uint64)
-    return tuple(A.mix(A.join_hash(w[runs.starts], w[last]) + n) for w in (symbols.windows, symbols.second))
+def run_hashes(symbols: Symbols, runs: Runs) -> np.ndarray:
+    """A run has fewer windows than a window has symbols, so its first and last window hold all its symbols."""
+    last = symbols.windows[runs.starts + runs.counts - 1]
+    return A.mix(A.join_hash(symbols.windows[runs.starts], last) + runs.counts.astype(np.uint64))
 
 
 def _block(anchors: np.ndarray, docs: np.ndarray, across: bool):
@@ -237,11 +231,11 @@ def repeated_anchors(docs: DataFrame, kind: Kind) -> DataFrame:
     return met.groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
 
 
-_OCCURRENCES = "anchor long, run long, check long, doc_id long, tie long, start long, n int"
+_OCCURRENCES = "anchor long, run long, doc_id long, tie int, start long, n int"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    return docs.select("doc_id", "text", F.hash("text").alias("tie"))
 
 
 def _occurring(batches, kind: Kind):
@@ -258,19 +252,18 @@ def _occurring(batches, kind: Kind):
         at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
         keep = keys[at] == own if len(keys) else np.zeros(len(own), bool)
         runs = Runs(runs.starts[keep], runs.counts[keep], runs.anchors[keep], runs.docs[keep])
-        run, check = run_hashes(symbols, runs)
+        run = run_hashes(symbols, runs)
         ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(symbols.grams[runs.anchors].view(np.int64), pa.int64()),
                 pa.array(run.view(np.int64), pa.int64()),
-                pa.array(check.view(np.int64), pa.int64()),
                 pa.array(ids[runs.docs], pa.int64()),
                 part.column("tie").take(pa.array(runs.docs)),
                 pa.array(runs.starts - symbols.first[runs.docs], pa.int64()),
                 pa.array(runs.counts, pa.int32()),
             ],
-            names=["anchor", "run", "check", "doc_id", "tie", "start", "n"],
+            names=["anchor", "run", "doc_id", "tie", "start", "n"],
         )
 
 
@@ -278,23 +271,23 @@ def occurrences(docs: DataFrame, kind: Kind) -> DataFrame:
     """Rows of all runs whose anchor repeats, as a table."""
     docs = docs.filter("doc_id IS NOT NULL")
     flagged = keyed(docs).join(repeated_anchors(docs, kind).hint("merge"), "doc_id")
-    return materialize(flagged.mapInArrow(lambda batches: _occurring(batches, kind), _OCCURRENCES), "runs")
+    return settle(flagged.mapInArrow(lambda batches: _occurring(batches, kind), _OCCURRENCES), "runs")
 
 
-RUN = ["anchor", "run", "check"]
+RUN = ["anchor", "run"]
 
 
 def run_classes(found: DataFrame) -> DataFrame:
-    """(anchor, run, check, copies, doc_id, tie, start, n): each distinct run with its number and its first place."""
+    """(anchor, run, copies, doc_id, tie, start, n): each distinct run with its number and its first place."""
     first = F.min(F.struct("doc_id", "tie", "start", "n"))
     classes = found.groupBy(*RUN).agg(F.count("*").alias("copies"), first.alias("first"))
-    return materialize(classes.select(*RUN, "copies", "first.*"), "run-classes")
+    return settle(classes.select(*RUN, "copies", "first.*"), "run-classes")
 
 
 def sharing_anchor(classes: DataFrame) -> DataFrame:
     """The classes whose anchor other classes have too."""
     shared = classes.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1").select("anchor")
-    return classes.join(materialize(shared, "shared-anchors"), "anchor", "left_semi")
+    return classes.join(settle(shared, "shared-anchors"), "anchor", "left_semi")
 
 
 def at_places(docs: DataFrame, classes: DataFrame, spread, schema: str) -> DataFrame:

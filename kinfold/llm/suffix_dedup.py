@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import arrays as A
 from kinfold.llm import repeats
-from kinfold.sources.scratch import materialize
+from kinfold.llm.tables import settle
 
 WIDTH, K = 50, 16
 KIND = repeats.Kind(WIDTH, K, True, repeats.byte_symbols(WIDTH))
 RUN = repeats.RUN
 FLUSH_BYTES = 4 << 20
 _SIGN = np.uint64(1 << 63)
-_SUFFIX = "lead_a long, lead_b long, anchor long, run long, check long, doc_id long, n int, bytes binary"
+_SUFFIX = "lead_a long, lead_b long, anchor long, run long, doc_id long, n int, bytes binary"
 
 
 def multikey_ties(keys: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +89,7 @@ def _suffixes(batches):
         )
 
 
-_SORTED = "anchor long, run long, check long, doc_id long, mask long, edge array<long>"
+_SORTED = "anchor long, run long, doc_id long, mask long, edge array<long>"
 
 
 def _bucket_rows(rows: pa.Table, mask: np.ndarray, windows: list | None) -> pa.RecordBatch:
@@ -174,13 +174,13 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def window_masks(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(anchor, run, check, mask): windows of the class's first document that a smaller document has."""
+    """(anchor, run, mask): windows of the class's first document that a smaller document has."""
     suffixes = repeats.at_places(docs, repeats.sharing_anchor(classes), _suffixes, _SUFFIX)
     ranged = suffixes.repartitionByRange("lead_a", "lead_b", "run").sortWithinPartitions("lead_a", "lead_b", "anchor")
-    buckets = materialize(ranged.mapInArrow(_sort_bucket, _SORTED), "suffix-buckets")
+    buckets = settle(ranged.mapInArrow(_sort_bucket, _SORTED), "suffix-buckets")
     inner = buckets.filter("edge IS NULL").select(*RUN, "mask")
     edges = buckets.filter("edge IS NOT NULL").select(*RUN, "doc_id", F.posexplode("edge").alias("bit", "window"))
-    least = materialize(edges.groupBy("window").agg(F.min("doc_id").alias("least")), "boundary-windows")
+    least = settle(edges.groupBy("window").agg(F.min("doc_id").alias("least")), "boundary-windows")
     later = edges.join(least, "window").filter("least < doc_id")
     outer = later.groupBy(*RUN).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
     return inner.filter("mask <> 0").unionByName(outer)
@@ -192,7 +192,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     classes = repeats.run_classes(found)
     masks = window_masks(docs, classes).withColumnRenamed("mask", "own_mask")
     settled = classes.join(masks, RUN, "left").select(*RUN, F.col("doc_id").alias("least"), "own_mask", "copies")
-    settled = materialize(settled.filter("copies > 1 OR own_mask <> 0"), "settled-runs")
+    settled = settle(settled.filter("copies > 1 OR own_mask <> 0"), "settled-runs")
     mask = F.when(F.col("doc_id") > F.col("least"), repeats.full_mask()).otherwise(F.coalesce("own_mask", F.lit(0)))
     return repeats.covers(found, settled, mask)
 

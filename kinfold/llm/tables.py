@@ -1,0 +1,15 @@
+"""Tables between the steps of an operator."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from kinfold.sources.scratch import materialize
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table on shared storage. Spark drops shuffle files when the driver collects the plans that made them;
+    doing so here keeps the disk to the files of one step instead of those of all steps so far."""
+    table = materialize(df, name)
+    df.sparkSession._jvm.System.gc()
+    return table
