@@ -159,15 +159,19 @@ class Metadata:
         return values[:, self.columns].astype(np.float64)
 
 
-def with_metadata(docs: DataFrame, pages: DataFrame | None) -> DataFrame:
-    """doc_id, text and meta_ columns. ``pages`` (page_id, url) describe the document of the same id; repeated ones once."""
-    rows = docs.select(
+def own_metadata(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the meta_ columns that a document has itself."""
+    return docs.select(
         "doc_id",
         "text",
         F.col("lang").alias("meta_lang"),
         F.col("source").alias("meta_source"),
         F.floor(F.log2(F.greatest(F.col("n_chars"), F.lit(1)))).alias("meta_size"),
     )
+
+
+def with_page_metadata(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """Adds meta_host and meta_path of the page (page_id, url) of the same id; of repeated pages the least url counts."""
     if pages is None:
         return rows
     host, path = split_url(F.col("url"))
@@ -180,7 +184,7 @@ def _hash_order() -> Column:
     return F.xxhash64("doc_id", F.lit(7))
 
 
-def _sample(rows: DataFrame, labels: DataFrame) -> tuple[pa.Table, pa.Table]:
+def _sample(rows: DataFrame, labels: DataFrame, pages: DataFrame | None) -> tuple[pa.Table, pa.Table]:
     """Bounded samples of labelled (with ``good``) and unlabelled rows, in hash order."""
     good = F.when(F.col("quality").isNotNull(), (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
     marked = labels.select("doc_id", good.cast("int").alias("good")).filter("good IS NOT NULL AND doc_id IS NOT NULL")
@@ -189,8 +193,8 @@ def _sample(rows: DataFrame, labels: DataFrame) -> tuple[pa.Table, pa.Table]:
     pool = rows.select("doc_id").filter("doc_id IS NOT NULL").join(marked.select("doc_id"), "doc_id", "left_anti")
     pool = materialize(pool.orderBy(_hash_order(), "doc_id").limit(MAX_POOL), "pool-sample")
     # Both id lists are bounded by the sample sizes, so they may be broadcast.
-    labelled = rows.join(F.broadcast(known), "doc_id").orderBy(_hash_order(), "doc_id", "good")
-    unlabelled = rows.join(F.broadcast(pool.distinct()), "doc_id").orderBy(_hash_order(), "doc_id").limit(MAX_POOL)
+    labelled = with_page_metadata(rows.join(F.broadcast(known), "doc_id"), pages).orderBy(_hash_order(), "doc_id", "good")
+    unlabelled = with_page_metadata(rows.join(F.broadcast(pool.distinct()), "doc_id"), pages).orderBy(_hash_order(), "doc_id").limit(MAX_POOL)
     return materialize(labelled, "labelled"), materialize(unlabelled, "pool")
 
 
@@ -259,12 +263,12 @@ class CoTrained:
     calibration: tuple[tuple[float, float], tuple[float, float]]
     combiner: Logistic
 
-    def score(self, texts: A.Texts, part: pa.RecordBatch) -> np.ndarray:
+    def text_log_odds(self, texts: A.Texts) -> np.ndarray:
+        return self.text.log_odds(text_features(texts, self.vocabulary))
+
+    def score(self, text_log_odds: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
         """Three columns: calibrated text and metadata scores, and the combined score."""
-        views = [
-            self.text.log_odds(text_features(texts, self.vocabulary)),
-            self.meta.log_odds(self.metadata(metadata_features(part))),
-        ]
+        views = [text_log_odds, self.meta.log_odds(self.metadata(metadata_features(part)))]
         calibrated = np.array([a * z + b for (a, b), z in zip(self.calibration, views, strict=True)]).T
         return np.c_[sigmoid(calibrated), sigmoid(self.combiner.log_odds(calibrated))]
 
@@ -322,17 +326,30 @@ _SCORES = "doc_id long, text_score double, metadata_score double, score double"
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """doc_id, text_score, metadata_score, score, kept for each row of ``docs``."""
-    rows = with_metadata(docs, pages)
-    labelled, pool = _sample(rows, labels)
-    model = co_train(labelled, pool)
+    """doc_id, text_score, metadata_score, score, kept for each row of ``docs``.
 
-    def score(batches):
+    Texts are scored where they are read; only narrow rows meet the pages.
+    """
+    rows = own_metadata(docs)
+    model = co_train(*_sample(rows, labels, pages))
+    meta = [c for c in rows.columns if c != "text"]
+
+    def read(batches):
         for part, texts in A.text_slices(batches):
-            scores = model.score(texts, part) if model else np.full((part.num_rows, 3), 0.5)
+            odds = model.text_log_odds(texts) if model else np.zeros(part.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c) for c in meta], pa.array(odds, pa.float64())], names=[*meta, "text_log_odds"]
+            )
+
+    def score(batches):
+        for part in batches:
+            odds = part.column("text_log_odds").to_numpy(zero_copy_only=False)
+            scores = model.score(odds, part) if model else np.full((part.num_rows, 3), 0.5)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), *[pa.array(scores[:, k], pa.float64()) for k in range(3)]],
                 names=["doc_id", "text_score", "metadata_score", "score"],
             )
 
-    return rows.mapInArrow(score, _SCORES).withColumn("kept", F.col("score") >= KEEP)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in meta)
+    narrow = with_page_metadata(rows.mapInArrow(read, f"{kinds}, text_log_odds double"), pages)
+    return narrow.mapInArrow(score, _SCORES).withColumn("kept", F.col("score") >= KEEP)
