@@ -23,12 +23,10 @@ BOX = [f"{edge}{k}" for edge in ("lo", "hi") for k in AXES]
 # Rows of different categories are at least sqrt(8) apart, see features.
 CROSS_BLOCK_EPS = 8**0.5
 
-# Two boxes with at most this many pairs of points are compared point by point.
+# Two boxes with at most this many pairs of points are compared point by point, others are halved. Either way the result
+# is exact; the number only bounds the work on one pair.
 POINT_PAIRS = 4096
 
-# Up to this many cells (about 100 bytes each) are broadcast to meet their neighbours.
-BROADCAST_CELLS = 500_000
-
 # Slightly below eps/2, so rounding cannot push two rows of one cell beyond eps.
 _SHRINK = 1 - 1e-9
 
@@ -152,10 +150,9 @@ def nearby_cells(probes: DataFrame, cells: DataFrame, eps: float, pairs: DataFra
     around = around.select(
         *[F.col(c).alias(f"a_{c}") for c in carried], "b_block", "penalty", *[f"b_{c}" for c in CELL]
     )
-    # The optimiser does not see the growth and might broadcast the grown side. So the choice is made here: few
-    # cells are broadcast, many are merged with the probes on the coordinates, where a cell meets at most 841.
-    occupied = _sided(cells, "b", ["block", *CELL, *carried])
-    occupied = F.broadcast(occupied) if cells.count() <= BROADCAST_CELLS else occupied.hint("merge")
+    # The optimiser does not see the growth and might broadcast the grown side. A merge join on the coordinates holds at
+    # every size; a cell meets at most 841 others.
+    occupied = _sided(cells, "b", ["block", *CELL, *carried]).hint("merge")
     met = around.join(occupied, ["b_block", *[f"b_{c}" for c in CELL]])
     return met.filter(_nearest() <= eps * eps).select(
         "a_id", "b_id", "penalty", "a_n", "b_n", *[f"{s}_{c}" for s in "ab" for c in BOX],
