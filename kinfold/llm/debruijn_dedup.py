@@ -113,7 +113,8 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     single = single.select(
         "doc_id", "tie", F.struct((F.col("start") + F.col("i")).alias("start"), F.lit(WIDTH).alias("n")).alias("span")
     )
-    return paths.unionByName(single).groupBy("doc_id", "tie").agg(F.collect_list("span").alias("spans"))
+    spans = paths.unionByName(single).groupBy("doc_id", "tie").agg(F.collect_list("span").alias("spans"))
+    return settle(spans, "removed-spans")
 
 
 def _removed(part: pa.RecordBatch, words: A.Words) -> np.ndarray:

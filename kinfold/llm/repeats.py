@@ -69,19 +69,18 @@ def word_symbols(width: int, k: int) -> Callable[[A.Texts], Symbols]:
 
 
 def byte_symbols(width: int) -> Callable[[A.Texts], Symbols]:
-    """Grams of 16 bytes."""
+    """Grams of 24 bytes: long enough that few of them recur by chance."""
 
     def symbols(texts: A.Texts) -> Symbols:
         n = texts.size
         eight = A.eights(texts.data)
         own = A.mix(eight[: n + A.PAD - 32])
-        g = A.join_hash(own[:-8], own[8:])
+        g = A.join_hash(A.join_hash(own[:-16], own[8:-8]), own[16:])
         m = n - width + 1
         windows = np.zeros(0, np.uint64)
         if m > 0:
-            ends = A.join_hash(g[32 : 32 + m], g[width - 16 : width - 16 + m])
-            windows = A.join_hash(A.join_hash(g[:m], g[16 : 16 + m]), ends)
-        return Symbols(texts.bounds, g[: max(n - 15, 0)], windows)
+            windows = A.join_hash(A.join_hash(g[:m], g[24 : 24 + m]), g[width - 24 : width - 24 + m])
+        return Symbols(texts.bounds, g[: max(n - 23, 0)], windows)
 
     return symbols
 

@@ -3,8 +3,8 @@
 A byte is removed if a ``WIDTH``-byte string that covers it also starts in a document with a smaller doc_id. A suffix array
 of all bytes would be many times the text; here only suffixes that can matter are made (see ``repeats``): those of
 windows whose anchor occurs in two documents, one copy of each distinct run of windows. These suffixes are
-range-partitioned by sampled splitters on their leading tokens (the sixteen bytes at the anchor, as two 64-bit numbers
-in byte order), so equal windows fall into one range. Each bucket sorts its windows by multikey quicksort: eight bytes at
+range-partitioned by sampled splitters on their leading tokens (the 24 bytes at the anchor, as three 64-bit numbers in
+byte order), so equal windows fall into one range. Each bucket sorts its windows by multikey quicksort: eight bytes at
 a time, going on only among ties. Equal windows stand side by side then, and the least doc_id among them decides. An anchor
 with very many runs may straddle splitters, as ties are broken by the run; the first and the last anchor of each bucket
 are therefore compared across boundaries, by an aggregation of their windows.
@@ -31,12 +31,13 @@ from kinfold.llm import arrays as A
 from kinfold.llm import repeats
 from kinfold.llm.tables import settle
 
-WIDTH, K = 50, 16
+WIDTH, K = 50, 24
 KIND = repeats.Kind(WIDTH, K, True, repeats.byte_symbols(WIDTH))
 RUN = repeats.RUN
 FLUSH_BYTES = 4 << 20
 _SIGN = np.uint64(1 << 63)
-_SUFFIX = "lead_a long, lead_b long, anchor long, run long, doc_id long, n int, bytes binary"
+LEADS = ["lead_a", "lead_b", "lead_c"]
+_SUFFIX = "lead_a long, lead_b long, lead_c long, anchor long, run long, doc_id long, n int, bytes binary"
 
 
 def multikey_ties(keys: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +74,7 @@ def _suffixes(batches):
             at[left] += 1
             left = left[grams[at[left]] != columns["anchor"][left]]
         tokens = np.ascontiguousarray(A.eights(texts.data)).byteswap()
-        leads = [(tokens[at + k] ^ _SIGN).view(np.int64) for k in (0, 8)]
+        leads = [(tokens[at + k] ^ _SIGN).view(np.int64) for k in (0, 8, 16)]
         ends = starts + n - 1 + WIDTH
         raw = [texts.data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
         doc_ids = part.column("doc_id").to_numpy(zero_copy_only=False)[owner]
@@ -85,7 +86,7 @@ def _suffixes(batches):
                 pa.array(n, pa.int32()),
                 pa.array(raw, pa.binary()),
             ],
-            names=["lead_a", "lead_b", *RUN, "doc_id", "n", "bytes"],
+            names=[*LEADS, *RUN, "doc_id", "n", "bytes"],
         )
 
 
@@ -176,7 +177,7 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def window_masks(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(anchor, run, mask): windows of the class's first document that a smaller document has."""
     suffixes = repeats.at_places(docs, repeats.sharing_anchor(classes), _suffixes, _SUFFIX)
-    ranged = suffixes.repartitionByRange("lead_a", "lead_b", "run").sortWithinPartitions("lead_a", "lead_b", "anchor")
+    ranged = suffixes.repartitionByRange(*LEADS, "run").sortWithinPartitions(*LEADS, "anchor")
     buckets = settle(ranged.mapInArrow(_sort_bucket, _SORTED), "suffix-buckets")
     inner = buckets.filter("edge IS NULL").select(*RUN, "mask")
     edges = buckets.filter("edge IS NOT NULL").select(*RUN, "doc_id", F.posexplode("edge").alias("bit", "window"))
@@ -194,7 +195,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     settled = classes.join(masks, RUN, "left").select(*RUN, F.col("doc_id").alias("least"), "own_mask", "copies")
     settled = settle(settled.filter("copies > 1 OR own_mask <> 0"), "settled-runs")
     mask = F.when(F.col("doc_id") > F.col("least"), repeats.full_mask()).otherwise(F.coalesce("own_mask", F.lit(0)))
-    return repeats.covers(found, settled, mask)
+    return settle(repeats.covers(found, settled, mask), "removed-runs")
 
 
 def _digests(batches):
