@@ -90,19 +90,27 @@ def _suffixes(batches):
         )
 
 
-_SORTED = "anchor long, run long, doc_id long, mask long, edge array<long>"
-
-
-def _bucket_rows(rows: pa.Table, mask: np.ndarray, windows: list | None) -> pa.RecordBatch:
-    n = rows.num_rows
-    return pa.RecordBatch.from_arrays(
-        [
-            *[rows.column(c).combine_chunks() for c in (*RUN, "doc_id")],
-            pa.array(mask, pa.int64()),
-            pa.array(windows, pa.list_(pa.int64())) if windows is not None else pa.nulls(n, pa.list_(pa.int64())),
-        ],
-        names=[*RUN, "doc_id", "mask", "edge"],
-    )
+_SORTED = "anchor long, run long, mask long, meeting int, edges binary"
+_EDGE = np.dtype([("window", "<u8"), ("doc_id", "<i8"), ("anchor", "<i8"), ("run", "<i8"), ("bit", "<i8")])
+
+
+def _bucket_rows(rows: pa.Table, mask: np.ndarray) -> pa.RecordBatch:
+    columns = [*[rows.column(c).combine_chunks() for c in RUN], pa.array(mask, pa.int64())]
+    nothing = [pa.nulls(rows.num_rows, kind) for kind in (pa.int32(), pa.binary())]
+    return pa.RecordBatch.from_arrays([*columns, *nothing], names=[*RUN, "mask", "meeting", "edges"])
+
+
+def _edge_rows(edges: np.ndarray, n_meetings: int) -> pa.RecordBatch:
+    """Windows of a bucket's outer anchors in one row per meeting; equal windows meet."""
+    meeting = (edges["window"] % np.uint64(n_meetings)).astype(np.int32)
+    order = np.argsort(meeting, kind="stable")
+    meeting, edges = meeting[order], edges[order]
+    cuts = np.flatnonzero(np.r_[True, meeting[1:] != meeting[:-1]]) if len(edges) else np.zeros(0, np.int64)
+    ends = np.r_[cuts[1:], len(edges)]
+    nothing = [pa.nulls(len(cuts), pa.int64()) for _ in range(3)]
+    packed = [edges[i:j].tobytes() for i, j in zip(cuts, ends, strict=False)]
+    columns = [*nothing, pa.array(meeting[cuts], pa.int32()), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[*RUN, "mask", "meeting", "edges"])
 
 
 def _windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,33 +124,36 @@ def _windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return data, starts, row, starts - begins[row]
 
 
-def _sorted_masks(rows: pa.Table) -> np.ndarray:
-    """Bits of the windows that a smaller document among the rows has."""
+def _sorted_masks(rows: pa.Table, with_edges: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, edges): bits of the windows that a smaller document among the rows has; and, if wanted, the windows of the
+    least document among the rows, which a smaller document elsewhere may have."""
     data, starts, row, bit = _windows(rows)
     keys = np.ascontiguousarray(A.eights(data)).byteswap()
     members, group = multikey_ties(keys, starts, WIDTH)
     mask = np.zeros(rows.num_rows, np.int64)
+    docs = rows.column("doc_id").to_numpy()
+    settled = np.zeros(len(starts), bool)
     if len(members):
-        docs = rows.column("doc_id").to_numpy()[row[members]]
         cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        least = np.repeat(np.minimum.reduceat(docs, cuts), np.diff(np.r_[cuts, len(group)]))
-        later = members[docs > least]
+        own = docs[row[members]]
+        least = np.repeat(np.minimum.reduceat(own, cuts), np.diff(np.r_[cuts, len(group)]))
+        later = members[own > least]
         np.bitwise_or.at(mask, row[later], np.int64(1) << bit[later])
-    return mask
-
-
-def _edge_rows(rows: pa.Table) -> pa.RecordBatch:
-    """Rows of a bucket's outer anchors: hashes of their windows, to be compared across boundaries."""
-    data, starts, row, _ = _windows(rows)
-    texts = A.Texts(data, np.array([0, len(data) - A.PAD], np.int64))
-    hashes = KIND.symbols(texts).windows[starts].view(np.int64)
-    cuts = np.searchsorted(row, np.arange(rows.num_rows + 1))
-    lists = [hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return _bucket_rows(rows, np.zeros(rows.num_rows, np.int64), lists)
-
-
-def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of one range. Whole anchors are sorted together; the first and last go out as edges."""
+        settled[later] = True
+    if not with_edges:
+        return mask, np.zeros(0, _EDGE)
+    left = np.flatnonzero(~settled)
+    edges = np.zeros(len(left), _EDGE)
+    whole = A.Texts(data, np.array([0, len(data) - A.PAD], np.int64))
+    edges["window"] = KIND.symbols(whole).windows[starts[left]]
+    edges["bit"] = bit[left]
+    for name, values in (("doc_id", docs), ("anchor", rows.column("anchor").to_numpy()), ("run", rows.column("run").to_numpy())):
+        edges[name] = values[row[left]]
+    return mask, edges
+
+
+def _sort_bucket(batches: Iterator[pa.RecordBatch], n_meetings: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of one range. Whole anchors are sorted together; of the first and last, windows also go out as edges."""
     held: list[pa.RecordBatch] = []
     first: int | None = None
 
@@ -153,13 +164,13 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = anchors == anchors[-1]
         edge = (anchors == first) | (tail if last else False)
         inner = ~edge if last else ~edge & ~tail
-        if edge.any():
-            rows = table.filter(pa.array(edge))
-            for start in range(0, rows.num_rows, 20_000):
-                yield _edge_rows(rows.slice(start, 20_000))
-        if inner.any():
-            rows = table.filter(pa.array(inner))
-            yield _bucket_rows(rows, _sorted_masks(rows), None)
+        for wanted, outer in ((edge, True), (inner, False)):
+            if wanted.any():
+                rows = table.filter(pa.array(wanted))
+                mask, edges = _sorted_masks(rows, outer)
+                yield _bucket_rows(rows, mask)
+                if outer:
+                    yield _edge_rows(edges, n_meetings)
         rest = ~edge & tail
         held = [] if last or not rest.any() else table.filter(pa.array(rest)).to_batches()
 
@@ -174,17 +185,29 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from split(pa.Table.from_batches(held), True)
 
 
+def _meet(table: pa.Table) -> pa.Table:
+    """Across boundaries: bits of the edges whose window a smaller document has in another bucket."""
+    edges = np.frombuffer(b"".join(table.column("edges").to_pylist()), _EDGE)
+    order = np.argsort(edges["window"], kind="stable")
+    edges = edges[order]
+    cuts = np.flatnonzero(np.r_[True, edges["window"][1:] != edges["window"][:-1]])
+    least = np.repeat(np.minimum.reduceat(edges["doc_id"], cuts), np.diff(np.r_[cuts, len(edges)]))
+    later = edges[edges["doc_id"] > least]
+    columns = [later["anchor"], later["run"], np.int64(1) << later["bit"]]
+    return pa.table({name: pa.array(np.ascontiguousarray(c), pa.int64()) for name, c in zip((*RUN, "mask"), columns, strict=True)})
+
+
 def window_masks(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(anchor, run, mask): windows of the class's first document that a smaller document has."""
     suffixes = repeats.at_places(docs, repeats.sharing_anchor(classes), _suffixes, _SUFFIX)
     ranged = suffixes.repartitionByRange(*LEADS, "run").sortWithinPartitions(*LEADS, "anchor")
-    buckets = settle(ranged.mapInArrow(_sort_bucket, _SORTED), "suffix-buckets")
-    inner = buckets.filter("edge IS NULL").select(*RUN, "mask")
-    edges = buckets.filter("edge IS NOT NULL").select(*RUN, "doc_id", F.posexplode("edge").alias("bit", "window"))
-    least = settle(edges.groupBy("window").agg(F.min("doc_id").alias("least")), "boundary-windows")
-    later = edges.join(least, "window").filter("least < doc_id")
-    outer = later.groupBy(*RUN).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    return inner.filter("mask <> 0").unionByName(outer)
+    n_meetings = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = settle(ranged.mapInArrow(lambda batches: _sort_bucket(batches, n_meetings), _SORTED), "suffix-buckets")
+    inner = buckets.filter("edges IS NULL AND mask <> 0").select(*RUN, "mask")
+    # Each bucket sends a window of its outer anchors once, so a meeting grows with buckets, not with copies.
+    met = buckets.filter("edges IS NOT NULL").select("meeting", "edges").groupBy("meeting")
+    outer = met.applyInArrow(_meet, "anchor long, run long, mask long")
+    return inner.unionByName(outer).groupBy(*RUN).agg(F.bit_or("mask").alias("mask"))
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
