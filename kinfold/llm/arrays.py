@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PAD = 64
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _LONG_WORD = 64
 
 _C1 = np.uint64(0x9E3779B97F4A7C15)

@@ -9,7 +9,8 @@ cutting one more piece. What is left at the end of a partition, less than one wi
 two lengths, which need no padding.
 
 Defined cases: a null or empty text is its end id alone. Repeated rows are packed each. An empty table gives no rows.
-A partition's ids are held in groups of about ``GROUP_IDS``; a longer document is held alone.
+A partition's ids are held in groups of about ``GROUP_IDS``, a longer document alone, and leave the task in batches of
+``SEQUENCES_AT_ONCE``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from kinfold.llm import token_ids
 
 CAPACITY = 4096
-GROUP_IDS = 2 << 20
+GROUP_IDS = 1 << 19
+SEQUENCES_AT_ONCE = 64
 _LOCAL_BITS = 33
 
 Piece = tuple[int, int, int]  # document's place, start, length
@@ -172,11 +175,13 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, with_ids:
             number += 1
             held += len(own)
         if held >= GROUP_IDS:
-            yield rows(all_of(added, 16 * CAPACITY, False))
+            for some in batched(all_of(added, 16 * CAPACITY, False), SEQUENCES_AT_ONCE):
+                yield rows(iter(some))
             waiting = {piece[0] for pieces in packer.pool.values() for piece in pieces}
             docs = {n: docs[n] for n in waiting}
             added, held = [], 0
-    yield rows(all_of(added, 0, True))
+    for some in batched(all_of(added, 0, True), SEQUENCES_AT_ONCE):
+        yield rows(iter(some))
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, with_ids: bool = False) -> DataFrame:

@@ -18,9 +18,9 @@ from kinfold.llm import arrays as A
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _LIMIT = 0x280
-#: The cache keeps one piece in each slot, and starts anew when it holds this many ids: at most about 90 MB.
-_SLOT_BITS = 21
-_CACHED_IDS = 4 << 20
+#: The cache keeps one piece in each slot, and starts anew when it holds this many ids: at most about 45 MB.
+_SLOT_BITS = 20
+_CACHED_IDS = 2 << 20
 _ENDINGS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
 
 _encoders: dict[str, Encoder] = {}
