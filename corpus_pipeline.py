@@ -9,6 +9,8 @@ from kinfold.llm import circulant_minhash, debruijn_dedup, decontamination, pack
 from kinfold.sources.scratch import materialize
 
 TOKENIZER = "word_bpe_49k.json"
+#: Similarity of 5-word shingles from which documents are near-copies here (op4 has its own), and bands that find it.
+NEAR_PERCENT, NEAR_BANDS = 80, 40
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays."""
-    return circulant_minhash.drop_near_copies(docs)
+    return circulant_minhash.drop_near_copies(docs, NEAR_PERCENT, NEAR_BANDS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ values of one shingle stand side by side in the table, so a signature is a minim
    pairs are skipped, as they are in one component already.
 4. Connected components of the links, and back to all documents.
 
-With 25 bands of 5 rows, a pair at 0.85 misses all bands with a chance of 4e-7. Shingles are compared by 64-bit hashes.
+The threshold is a parameter, and the bands belong to it: with 25 bands of 5 rows, a pair at 0.85 misses all bands with a
+chance of 4e-7, and with 40 bands a pair at 0.8 with a chance of 1.3e-7. Shingles are compared by 64-bit hashes.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are kept. Fewer than five words are
 one shingle. Rows of one doc_id are one document: it links by any of its rows, and they are kept or dropped together.
@@ -37,22 +38,22 @@ from kinfold.sources.scratch import materialize
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 UNIVERSE_BITS = 20
+#: The contract of op4, which ``BANDS`` is sized for. Other callers give their own percentage and bands.
 MIN_PERCENT = 85
 SEED = 20240
 #: Members per block where a centre's members are compared among themselves: bounds a task, not a result.
 BLOCK = 1024
 _GATHER = 8192
 
-_coordinates = BANDS * ROWS
 _tables: dict[int, np.ndarray] = {}
 
 
-def _slices_of_table() -> np.ndarray:
-    """Row p holds the second permutation at p under all circular shifts."""
-    if SEED not in _tables:
+def _slices_of_table(width: int) -> np.ndarray:
+    """Row p holds the second permutation at p under the first ``width`` circular shifts."""
+    if width not in _tables:
         table = np.random.default_rng(SEED).permutation(1 << UNIVERSE_BITS).astype(np.uint32)
-        _tables[SEED] = np.concatenate([table, table[: _coordinates - 1]])
-    return np.lib.stride_tricks.sliding_window_view(_tables[SEED], _coordinates)
+        _tables[width] = np.concatenate([table, table[: width - 1]])
+    return np.lib.stride_tricks.sliding_window_view(_tables[width], width)
 
 
 def shingle_sets(texts: A.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +83,12 @@ def shingle_sets(texts: A.Texts) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(docs, np.arange(len(texts) + 1))
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def signatures(hashes: np.ndarray, first: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One row of coordinates per text; a text without shingles has the largest values."""
-    rows = _slices_of_table()
+    width = bands * ROWS
+    rows = _slices_of_table(width)
     places = (A.mix(hashes ^ np.uint64(SEED)) >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)
-    out = np.full((len(first) - 1, _coordinates), np.iinfo(np.uint32).max, np.uint32)
+    out = np.full((len(first) - 1, width), np.iinfo(np.uint32).max, np.uint32)
     owner = A.owners(first)
     for start in range(0, len(places), _GATHER):
         part, docs = places[start : start + _GATHER], owner[start : start + _GATHER]
@@ -98,24 +100,25 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
     """One 64-bit key per text and band."""
-    coordinates = signature.astype(np.uint64).reshape(len(signature), BANDS, ROWS)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signature), BANDS)).copy()
+    bands = signature.shape[1] // ROWS
+    coordinates = signature.astype(np.uint64).reshape(len(signature), bands, ROWS)
+    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(signature), bands)).copy()
     for k in range(ROWS):
         keys = A.join_hash(keys, A.mix(coordinates[:, :, k] + np.uint64(1)))
     return keys
 
 
-def _signed(batches):
+def _signed(batches, bands: int):
     for part, texts in A.text_slices(batches):
         hashes, first = shingle_sets(texts)
-        keys = band_keys(signatures(hashes, first))
+        keys = band_keys(signatures(hashes, first, bands))
         sizes = np.diff(first)
         sums = []
         for salt in (np.uint64(1), np.uint64(0x5851F42D4C957F2D)):
             total = np.zeros(len(hashes) + 1, np.uint64)
             np.cumsum(A.mix(hashes * np.uint64(3) + salt), out=total[1:])
             sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-        width = np.where(sizes > 0, BANDS, 0)
+        width = np.where(sizes > 0, bands, 0)
         ends = np.r_[0, np.cumsum(width)].astype(np.int32)
         flat = keys[sizes > 0].reshape(-1).view(np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -145,11 +148,11 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _enough(both, size_a, size_b):
-    return 100 * both >= MIN_PERCENT * (size_a + size_b - both)
+def _enough(both, size_a, size_b, percent: int):
+    return 100 * both >= percent * (size_a + size_b - both)
 
 
-def _against_centres(batches):
+def _against_centres(batches, percent: int):
     """Verifies (doc, centre) and gives the symmetric difference of their sets."""
     for batch in batches:
         sets, centres = _lists(batch.column("shingles")), _lists(batch.column("centre_shingles"))
@@ -157,7 +160,7 @@ def _against_centres(batches):
         for mine, theirs in zip(sets, centres, strict=True):
             apart = np.setxor1d(mine, theirs, assume_unique=True)
             both = (len(mine) + len(theirs) - len(apart)) // 2
-            linked.append(_enough(both, len(mine), len(theirs)))
+            linked.append(_enough(both, len(mine), len(theirs), percent))
             differences.append(apart.view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [
@@ -171,7 +174,9 @@ def _against_centres(batches):
         )
 
 
-def block_links(docs: np.ndarray, sizes: np.ndarray, linked: np.ndarray, apart: list[np.ndarray]) -> list[tuple[int, int]]:
+def block_links(
+    docs: np.ndarray, sizes: np.ndarray, linked: np.ndarray, apart: list[np.ndarray], percent: int
+) -> list[tuple[int, int]]:
     """Links among members of one centre, without pairs that both link to it; a spanning forest of them.
 
     |a ^ b| follows from the differences to the centre: |da| + |db| - 2 |da & db|.
@@ -189,7 +194,7 @@ def block_links(docs: np.ndarray, sizes: np.ndarray, linked: np.ndarray, apart:
     lengths = np.array([len(a) for a in apart], np.int64)
     unlike = lengths[:, None] + lengths[None, :] - 2 * shared
     total = sizes[:, None] + sizes[None, :]
-    found = _enough((total - unlike) // 2, total, 0) & ~(linked[:, None] & linked[None, :])
+    found = _enough((total - unlike) // 2, total, 0, percent) & ~(linked[:, None] & linked[None, :])
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -206,15 +211,15 @@ def block_links(docs: np.ndarray, sizes: np.ndarray, linked: np.ndarray, apart:
     return links
 
 
-def _within_block(table: pa.Table) -> pa.Table:
+def _within_block(table: pa.Table, percent: int) -> pa.Table:
     table = table.combine_chunks()
     apart = [a for chunk in table.column("apart").chunks for a in _lists(chunk)]
     docs, sizes, linked = (table.column(c).to_numpy() for c in ("doc", "size", "linked"))
-    links = block_links(docs, sizes, linked.astype(bool), apart)
+    links = block_links(docs, sizes, linked.astype(bool), apart, percent)
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def _links_in_blocks(verified: DataFrame) -> DataFrame:
+def _links_in_blocks(verified: DataFrame, percent: int) -> DataFrame:
     """Links among the members of centres that have a member which does not link to them."""
     open_centres = (
         verified.groupBy("centre")
@@ -228,14 +233,19 @@ def _links_in_blocks(verified: DataFrame) -> DataFrame:
         "centre", "doc", "size", "linked", "apart",
         F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
     )
-    return paired.groupBy("centre", "low", "high").applyInArrow(_within_block, "a long, b long")
+    return paired.groupBy("centre", "low", "high").applyInArrow(
+        lambda table: _within_block(table, percent), "a long, b long"
+    )
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+def near_copies(docs: DataFrame, percent: int = MIN_PERCENT, bands: int = BANDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs``; a pair of at least ``percent`` similarity links."""
     texts = docs.select("doc_id", "text")
     signed = materialize(
-        texts.mapInArrow(_signed, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signed"
+        texts.mapInArrow(
+            lambda batches: _signed(batches, bands), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+        ),
+        "signed",
     )
     key = ["set_a", "set_b", "n_shingles"]
     classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class"))
@@ -258,11 +268,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     both = pairs.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("centre_shingles")), "centre")
     both = both.join(sets.select(F.col("doc_id").alias("doc"), "shingles"), "doc")
     verified = materialize(
-        both.mapInArrow(_against_centres, "doc long, centre long, size long, linked boolean, apart array<long>"),
+        both.mapInArrow(
+            lambda batches: _against_centres(batches, percent),
+            "doc long, centre long, size long, linked boolean, apart array<long>",
+        ),
         "verified",
     )
     star = verified.filter("linked").select(F.col("doc").alias("a"), F.col("centre").alias("b"))
-    links = materialize(star.union(_links_in_blocks(verified)).distinct(), "near-links")
+    links = materialize(star.union(_links_in_blocks(verified, percent)).distinct(), "near-links")
     roots = connected_components(links).select(F.col("node").alias("class"), "root")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "class", "doc_id"))
     return (
@@ -272,7 +285,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = MIN_PERCENT, bands: int = BANDS) -> DataFrame:
     """The rows of ``docs`` whose document is the lowest of its component."""
-    gone = near_copies(docs).filter(~F.col("kept")).select("doc_id")
+    gone = near_copies(docs, percent, bands).filter(~F.col("kept")).select("doc_id")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

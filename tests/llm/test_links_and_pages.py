@@ -71,6 +71,19 @@ def test_near_copies(spark, monkeypatch):
     assert circulant_minhash.near_copies(rows.limit(0)).collect() == []
 
 
+def test_near_copies_of_the_pipeline(spark):
+    """The stage links from 0.8 on, op4 from 0.85: of a pair between, the stage keeps one document."""
+    words = [f"p{i}" for i in range(120)]
+    texts = [" ".join(words[:100]), " ".join(words[9:109]), " ".join(words[:100]).replace("p60 ", "q "), " ".join(words[13:113])]
+    sets = [shingles(t) for t in texts]
+    alike = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
+    assert 0.8 <= alike[0] < 0.85 <= alike[1] and alike[2] < 0.8
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[0].replace("p", "o")), (4, texts[3].replace("p", "o"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()} == {1, 3, 4}
+    assert {r.doc_id for r in circulant_minhash.drop_near_copies(docs).collect()} == {1, 2, 3, 4}
+
+
 def test_urls(spark):
     cases = [
         ("http://a.net/x", "a.net", "/x", "net/", "block"),
