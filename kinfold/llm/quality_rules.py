@@ -2,10 +2,11 @@
 
 Each document's character classes and common words are histogrammed and compared with the reference of its language
 by Jensen-Shannon distance. A reference is the summed histogram of all documents of the language that pass the base
-rules, so it covers the whole table. Short documents have noisy histograms: below ``MIN_CHARS`` (character classes)
-or ``MIN_JUDGED_WORDS`` (common words) a distance is not judged. A language with fewer than ``MIN_REFERENCE`` reference
-words, an unknown or a null one, is compared with the reference of all languages together; if that is too small
-as well, only the base rules hold.
+rules, so it covers the whole table. The common words of the languages in ``COMMON_WORDS`` are given; every other
+language has its ``OWN_WORDS`` most frequent words, counted over the same documents. Short documents have noisy
+histograms: below ``MIN_CHARS`` (character classes) or ``MIN_JUDGED_WORDS`` (common words) a distance is not judged.
+For a language with fewer than ``MIN_REFERENCE`` reference words, or a null one, only the base rules hold: no document
+is judged by the mixture of other languages. Letters beyond ASCII keep their case.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are judged alike. Extra columns pass
 ``quality_verdicts`` by. ``drop_rejected`` decides row by row, without a join.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import arrays as A
@@ -30,6 +31,7 @@ MAX_REPEATED_PCT = 20
 MIN_CHARS = 200
 MIN_JUDGED_WORDS = 100
 MIN_REFERENCE = 200
+OWN_WORDS = 20
 #: Jensen-Shannon distances (square root of the divergence in bits, 0 to 1) above which a document is rejected.
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.3
@@ -111,9 +113,73 @@ def _repeated_words(hashes: np.ndarray, words: A.Words) -> np.ndarray:
     return A.sums(A.covered(len(hashes), at[again], WINDOW), words.first)
 
 
-def _histograms(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _spelled(texts: A.Texts) -> tuple[A.Words, np.ndarray]:
+    """Words and their hashes without ASCII case and surrounding marks."""
+    plain = texts.map_bytes(A.LOWER)
+    words = A.words_of(plain, A.ALNUM)
+    return words, A.hash_spans(plain.data, words.starts, words.ends)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the documents that pass the base rules, summed by language within a slice."""
+    for part, texts in A.text_slices(batches):
+        words = A.words_of(texts, A.NOT_BLANK)
+        repeated = _repeated_words(A.hash_spans(texts.data, words.starts, words.ends), words)
+        good = (words.counts >= MIN_WORDS) & (repeated * 100 <= words.counts * MAX_REPEATED_PCT)
+        spelled, hashes = _spelled(texts)
+        langs = part.column("lang").to_pylist()
+        names = sorted(set(langs))
+        place = {lang: i for i, lang in enumerate(names)}
+        owner = A.owners(spelled.first)
+        lang_of = np.array([place[lang] for lang in langs], np.int64)[owner]
+        lang_of, hashes = lang_of[good[owner]], hashes[good[owner]]
+        order = np.lexsort((hashes, lang_of))
+        lang_of, hashes = lang_of[order], hashes[order]
+        new = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (lang_of[1:] != lang_of[:-1])][: len(hashes)])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([names[i] for i in lang_of[new]], pa.string()),
+                pa.array(hashes[new].view(np.int64), pa.int64()),
+                pa.array(np.diff(np.r_[new, len(hashes)]), pa.int64()),
+            ],
+            names=["lang", "word", "n"],
+        )
+
+
+def own_vocabularies(docs: DataFrame) -> dict[str, np.ndarray]:
+    """Hashes of the most frequent words of each language that ``COMMON_WORDS`` does not know.
+
+    ``OWN_WORDS`` hashes per language of at least ``MIN_REFERENCE`` words reach the driver.
+    """
+    others = docs.filter(F.col("lang").isNotNull() & ~F.col("lang").isin(*COMMON_WORDS)).select("lang", "text")
+    counts = others.mapInArrow(_word_counts, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "language-words")
+    large = counts.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= MIN_REFERENCE).select("lang")
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    best = ranked.filter(F.col("rank") <= OWN_WORDS).join(large, "lang").groupBy("lang").agg(F.collect_list("word").alias("words"))
+    return {row.lang: np.sort(np.array(row.words, np.int64).view(np.uint64)) for row in best.collect()}
+
+
+def _common_words(spelled: A.Words, hashes: np.ndarray, langs: list[str | None], own: dict[str, np.ndarray]) -> np.ndarray:
+    """Counts of the common words of each document's language, and of all other words in the last column."""
     vocabulary, places = _vocabulary_hashes()
-    size = len(vocabulary)
+    size, n = len(vocabulary), len(spelled.counts)
+    owner = A.owners(spelled.first)
+    common = np.zeros((n, size + 1), np.int64)
+    for lang in {lang if lang in own else None for lang in langs}:
+        words, at_place = (vocabulary, places) if lang is None else (own[lang], np.arange(len(own[lang])))
+        mine = np.array([(other if other in own else None) == lang for other in langs], bool)[owner]
+        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+        found = np.flatnonzero(mine & (words[at] == hashes))
+        keys = owner[found] * (size + 1) + at_place[at[found]]
+        common += np.bincount(keys, minlength=n * (size + 1)).reshape(n, size + 1)
+    common[:, size] = spelled.counts - common.sum(axis=1)
+    return common
+
+
+def _histograms(
+    batches: Iterator[pa.RecordBatch], columns: list[str], own: dict[str, np.ndarray]
+) -> Iterator[pa.RecordBatch]:
     for part, texts in A.text_slices(batches):
         n = len(texts)
         bins = np.zeros((n, 256), np.int64)
@@ -123,14 +189,7 @@ def _histograms(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterat
         hashes = A.hash_spans(texts.data, words.starts, words.ends)
         classes = bins @ _CLASS_MATRIX
         # Common words ignore case and surrounding marks.
-        plain = texts.map_bytes(A.LOWER)
-        spelled = A.words_of(plain, A.ALNUM)
-        spelled_hashes = A.hash_spans(plain.data, spelled.starts, spelled.ends)
-        at = np.minimum(np.searchsorted(vocabulary, spelled_hashes), size - 1)
-        found = np.flatnonzero(vocabulary[at] == spelled_hashes)
-        owner = np.searchsorted(spelled.first, found, side="right") - 1
-        common = np.bincount(owner * (size + 1) + places[at[found]], minlength=n * (size + 1)).reshape(n, size + 1)
-        common[:, size] = spelled.counts - common.sum(axis=1)
+        common = _common_words(*_spelled(texts), part.column("lang").to_pylist(), own)
         lines = [_duplicate_lines(text) if text else 0 for text in part.column("text").to_pylist()]
         counts = [
             words.counts,
@@ -151,11 +210,11 @@ def _histograms(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterat
         )
 
 
-def document_histograms(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Base counts and histograms of every document, beside ``columns`` (which must not clash with them)."""
+def document_histograms(docs: DataFrame, columns: list[str], own: dict[str, np.ndarray]) -> DataFrame:
+    """Base counts and histograms of every document, beside ``columns`` (which have lang and must not clash with them)."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return docs.select(*columns, *(["text"] if "text" not in columns else [])).mapInArrow(
-        lambda batches: _histograms(batches, columns), f"{schema}, {_COUNTS}, {_HISTOGRAMS}"
+        lambda batches: _histograms(batches, columns, own), f"{schema}, {_COUNTS}, {_HISTOGRAMS}"
     )
 
 
@@ -167,22 +226,20 @@ def _summed(counts: str, size: int) -> list[F.Column]:
     return [F.sum(F.col(counts)[i]).alias(f"{counts}_{i}") for i in range(size)]
 
 
-def language_references(histograms: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Summed class and word counts by language; the key None has all languages together.
+def language_references(histograms: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Summed class and word counts by language.
 
     One row per language reaches the driver; a language is a short code, and languages below ``MIN_REFERENCE``
     words are left out before.
     """
     n_classes, n_words = len(_CLASSES), len(_VOCABULARY) + 1
     sums = [*_summed("class_counts", n_classes), *_summed("word_counts", n_words)]
-    good = histograms.filter(~base_failed())
-    known = good.filter(F.col("lang").isin(*COMMON_WORDS)).groupBy("lang").agg(*sums)
-    rows = [*known.collect(), *good.agg(F.lit(None).cast("string").alias("lang"), *sums).collect()]
+    summed = histograms.filter(~base_failed() & F.col("lang").isNotNull()).groupBy("lang").agg(*sums)
+    n_reference = sum((F.col(f"word_counts_{i}") for i in range(n_words)), F.lit(0))
     out = {}
-    for row in rows:
-        values = np.array([value or 0 for value in row[1:]], np.int64)
-        if values[n_classes:].sum() >= MIN_REFERENCE:
-            out[row[0]] = values[:n_classes], values[n_classes:]
+    for row in summed.filter(n_reference >= MIN_REFERENCE).collect():
+        values = np.array(row[1:], np.int64)
+        out[row[0]] = values[:n_classes], values[n_classes:]
     return out
 
 
@@ -205,7 +262,7 @@ def _judged(batch: pa.RecordBatch, references) -> tuple[np.ndarray, np.ndarray]:
     langs = batch.column("lang").to_pylist()
     counts = [np.array(batch.column(c).to_pylist(), np.int64) for c in ("class_counts", "word_counts")]
     for lang in set(langs):
-        reference = references.get(lang) or references.get(None)
+        reference = references.get(lang)
         if reference is None:
             continue
         rows = np.array([i for i, other in enumerate(langs) if other == lang])
@@ -237,14 +294,16 @@ def with_distances(histograms: DataFrame, references) -> DataFrame:
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, both distances and kept, for every row of ``docs``."""
-    histograms = materialize(document_histograms(docs, ["doc_id", "lang"]), "histograms")
+    histograms = materialize(document_histograms(docs, ["doc_id", "lang"], own_vocabularies(docs)), "histograms")
     return with_distances(histograms, language_references(histograms)).drop("lang")
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Reads the texts twice and joins nothing."""
-    references = language_references(materialize(document_histograms(docs, ["doc_id", "lang"]), "histograms"))
+    """The rows of ``docs`` that are kept, with their columns. Reads the texts twice, those of languages that
+    ``COMMON_WORDS`` does not know once more, and joins no text."""
+    own = own_vocabularies(docs)
+    references = language_references(materialize(document_histograms(docs, ["doc_id", "lang"], own), "histograms"))
     columns = docs.columns
     packed = docs.select("text", "lang", F.struct(*columns).alias("_row"))
-    kept = with_distances(document_histograms(packed, ["lang", "_row"]), references).filter("kept")
+    kept = with_distances(document_histograms(packed, ["lang", "_row"], own), references).filter("kept")
     return kept.select(*[F.col("_row")[c].alias(c) for c in columns])

@@ -78,6 +78,27 @@ def test_divergence_rejects_and_guards(spark):
     assert kept == {*range(60), 102, 103, 104}
 
 
+def test_every_language_has_its_own_reference(spark):
+    """A language without given common words is judged by its own documents; one without a reference is not judged."""
+    rng = random.Random(3)
+
+    def prose(frequent, others, n):
+        return " ".join(rng.choice(frequent.split()) if rng.random() < 0.4 else rng.choice(others.split()) + rng.choice("abcdefgh") for _ in range(n))
+
+    english = "the of and to in a is that for it was on are as with be", "house tree river stone water light"
+    russian = "и в не на я что тот быть с а весь это как она по но", "дом дерево река камень вода свет"
+    italian = "di e il la che in un a per non una sono si da con come", "casa albero fiume pietra acqua luce"
+    rows = [(i, prose(*english, 300), "en") for i in range(60)]
+    rows += [(100 + i, prose(*russian, 300), "ru") for i in range(20)] + [(200 + i, prose(*italian, 300), "it") for i in range(20)]
+    rows += [(300, prose(*english, 300), "ru"), (301, " ".join(f"QZ{i}" for i in range(300)), "it"), (302, prose(*russian, 150), "uk"), (303, prose(*russian, 300), None)]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in quality_rules.quality_verdicts(docs).collect()}
+    kept = {i for i, r in got.items() if r.kept}
+    assert kept == {*range(60), *range(100, 120), *range(200, 220), 302, 303}
+    assert got[100].word_distance is not None and got[302].word_distance is None and got[303].class_distance is None
+    assert {r.doc_id for r in quality_rules.drop_rejected(docs).collect()} == kept
+
+
 def brute_contamination(docs, items, width=10):
     grams = {}
     for item, text in items:
