@@ -171,6 +171,24 @@ def test_co_training(spark):
     assert cotraining.quality_scores(odd, train.limit(0), pages).count() == 2
 
 
+def test_co_training_learns_from_all_unlabelled(spark):
+    """A source that only unlabelled documents have is known to the metadata view by what the text view says of them."""
+    rng = random.Random(8)
+
+    def text(good):
+        words = "clear plain useful careful" if good else "spam junk casino click"
+        return " ".join(rng.choice([rng.choice(words.split()), f"w{rng.randrange(40)}"]) for _ in range(60))
+
+    rows = [(i, text(i % 2), "en", ("a", "b")[i % 2] if rng.random() < 0.8 else "c", 300) for i in range(400)]
+    rows += [(i, text(i % 2), "en", "c", 300) for i in range(400, 600)]
+    rows += [(i, text(0), "en", "rare", 300) for i in range(600, 640)] + [(i, text(1), "en", "fine", 300) for i in range(640, 680)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in cotraining.quality_scores(docs, labels).collect()}
+    assert len(got) == len(rows) and all(r.kept == (i >= 640 or (i < 600 and i % 2 == 1)) for i, r in got.items())
+    assert got[600].metadata_score < 0.3 and got[640].metadata_score > 0.7
+
+
 def test_pipeline(spark):
     docs = queries.table(spark, SF, "documents")
     kept = docs
