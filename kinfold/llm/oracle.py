@@ -155,6 +155,58 @@ FROM o
 """
 
 
+def _secret_sql(number: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""SELECT doc_id, {number} AS k, '{kind}' AS kind,
+  regexp_split_to_array(t, '{pattern}') AS gaps, [length(x) FOR x IN regexp_extract_all(t, '{pattern}', 0)] AS sizes,
+  [length(x) >= {least} FOR x IN regexp_extract_all(t, '{pattern}', {group})] AS good
+ FROM d WHERE regexp_matches(t, '{pattern}')"""
+
+
+# Patterns as in the definition; quotes are doubled for SQL, and letters of either case are spelled out for RE2.
+_ASSIGN = (
+    r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+_SECRETS = [
+    (0, "assign", _ASSIGN, 2, 6),
+    (1, "access", r"AKIA[A-Z0-9]+", 0, 20),
+    (2, "hex", r"[0-9a-f]+", 0, 24),
+    (3, "pem", r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----", 0, 1),
+    (4, "jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
+]
+BLOB_LEDGER = f"""
+WITH
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_secret_sql(*rule) for rule in _SECRETS)}),
+e AS (SELECT doc_id, k, kind, sizes, good, [length(x) FOR x IN gaps] AS gaps, unnest(generate_series(1, len(sizes))) AS i FROM m),
+f AS (SELECT doc_id, k, kind, CAST(list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS BIGINT) AS b, sizes[i] AS n
+      FROM e WHERE good[i]),
+t AS (SELECT doc_id, k, b, kind || ':' || b || ':' || (b + n) AS s FROM f),
+a AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+       string_agg(s, ',' ORDER BY b, k) FILTER (WHERE k < 3) AS base, string_agg(s, ',' ORDER BY b, k) AS spans FROM t GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+ CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+DOCUMENT_FP_TREE = rf"""
+WITH
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dn AS (SELECT doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM dn),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_ASCII}),
+       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM dn)
+       WHERE term IN (SELECT term FROM b) GROUP BY doc_id, n, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+        * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM b JOIN tf USING (term) JOIN df USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op2_decontamination": DECONTAMINATION,
@@ -163,4 +215,6 @@ def all_sql() -> dict[str, str]:
         "op5_revisits": REVISITS,
         "op6_suffix_dedup": SUFFIX_DEDUP,
         "op10_debruijn_dedup": DEBRUIJN_DEDUP,
+        "op11_blob_ledger": BLOB_LEDGER,
+        "op13_document_fp_tree": DOCUMENT_FP_TREE,
     }

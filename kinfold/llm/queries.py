@@ -8,17 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm import (
+    blob_ledger,
     circulant_minhash,
     cotraining,
     debruijn_dedup,
     decontamination,
     id_blocks,
+    lexical_trees,
     packing,
     quality_rules,
     revisits,
     suffix_dedup,
     url_reputation,
+    whitening,
 )
+from kinfold.sources.scratch import new_location
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +73,19 @@ def op10_debruijn_dedup(spark, sf_dir):
     return debruijn_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_blob_ledger(spark, sf_dir):
+    ledger = blob_ledger.create(spark, new_location(spark, "blob-ledger"))
+    return blob_ledger.secret_digests(table(spark, sf_dir, "documents"), ledger)
+
+
+def op12_feast_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_document_fp_tree(spark, sf_dir):
+    return lexical_trees.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def all_queries() -> dict[str, Query]:
     named = [
         op1_quality_rules,
@@ -81,5 +98,8 @@ def all_queries() -> dict[str, Query]:
         op8_id_blocks,
         op9_packing,
         op10_debruijn_dedup,
+        op11_blob_ledger,
+        op12_feast_whitening,
+        op13_document_fp_tree,
     ]
     return {query.__name__: query for query in named}
