@@ -46,7 +46,7 @@ def compare(spark: SparkSession, connection, sf_dir: str, key: str) -> str | Non
     theirs = rows_of([d[0] for d in result.description], result.fetchall())
     types = {d[0]: str(d[1]) for d in result.description}
     spark_types = dict(df.dtypes)
-    kinds = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+    kinds = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER", "timestamp_ntz": "TIMESTAMP"}
     for column, kind in spark_types.items():
         if column in types and types[column] != kinds.get(kind):
             return f"type of {column}: {kind} / {types[column]}"
