@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.tables import settle
+from kinfold.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def scan(versions: DataFrame, ledger: str, rules: list[Rule]) -> DataFrame:
     Texts are shuffled once, those of blobs with something to scan only.
     """
     versions = versions.select("path", "text")
-    todo = settle(unseen(versions, ledger, rules), "unseen-blobs")
+    todo = materialize(unseen(versions, ledger, rules), "unseen-blobs")
     texts = versions.select("path", F.coalesce("text", F.lit("")).alias("text"), _blob().alias("blob"))
     same = (texts.blob == todo.blob) & texts.path.eqNullSafe(todo.path)
     chosen = texts.join(todo.hint("merge"), same).select(todo.blob, "text", "rules")

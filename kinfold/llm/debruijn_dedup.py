@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import arrays as A
 from kinfold.llm import repeats
-from kinfold.llm.tables import settle
+from kinfold.llm.columns import plainly_named
 from kinfold.operators.components import connected_components
+from kinfold.sources.scratch import drop, materialize
 
 WIDTH, K = 35, 16
 KIND = repeats.Kind(WIDTH, K, False, repeats.word_symbols(WIDTH, K))
@@ -50,15 +51,18 @@ def _edges(batches):
         )
 
 
-def edge_masks(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(anchor, run, edge_mask): bits of single edges that other runs with this anchor have too."""
+def edge_masks(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(anchor, run, edge_mask): bits of single edges that other runs with this anchor have too; and the tables behind it."""
+    shared = repeats.shared_anchors(classes)
     rows = repeats.at_places(
-        docs, repeats.sharing_anchor(classes), _edges, "anchor long, run long, copies long, edges array<long>"
+        docs, classes.join(shared, "anchor", "left_semi"), _edges, "anchor long, run long, copies long, edges array<long>"
     )
-    edges = settle(rows.select(*RUN, "copies", F.posexplode("edges").alias("bit", "edge")), "edges")
+    edges = materialize(rows.select(*RUN, "copies", F.posexplode("edges").alias("bit", "edge")), "edges")
+    drop(shared)
     again = edges.groupBy("edge").agg(F.sum("copies").alias("_n")).filter("_n > 1").select("edge")
-    repeated = edges.join(settle(again, "repeated-edges"), "edge", "left_semi")
-    return repeated.groupBy(*RUN).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("edge_mask"))
+    again = materialize(again, "repeated-edges")
+    masks = edges.join(again, "edge", "left_semi").groupBy(*RUN).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("edge_mask"))
+    return masks, [edges, again]
 
 
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,8 +70,11 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = repeats.occurrences(docs, KIND)
     classes = repeats.run_classes(found)
     whole = F.when(F.col("copies") > 1, repeats.full_mask()).otherwise(F.coalesce("edge_mask", F.lit(0)))
-    masked = classes.join(edge_masks(docs, classes), RUN, "left").withColumn("mask", whole).filter("mask <> 0")
-    return found, settle(masked.select(*RUN, "copies", "mask"), "masked-runs")
+    masks, used = edge_masks(docs, classes)
+    masked = classes.join(masks, RUN, "left").withColumn("mask", whole).filter("mask <> 0")
+    masked = materialize(masked.select(*RUN, "copies", "mask"), "masked-runs")
+    drop(classes, *used)
+    return found, masked
 
 
 def compact_paths(found: DataFrame, masked: DataFrame) -> DataFrame:
@@ -79,7 +86,7 @@ def compact_paths(found: DataFrame, masked: DataFrame) -> DataFrame:
     whole = found.join(masked.filter(F.col("copies") > 1), RUN).select("doc_id", "tie", "start", "n", "run")
     order = Window.partitionBy("doc_id", "tie").orderBy("start")
     steps = whole.withColumns({"_next": F.lead("run").over(order), "_at": F.lead("start").over(order)})
-    follows = settle(
+    follows = materialize(
         steps.filter(F.col("_at") == F.col("start") + F.col("n")).select("run", F.col("_next").alias("next")).distinct(),
         "follows",
     )
@@ -114,7 +121,9 @@ def repeated_words(docs: DataFrame) -> DataFrame:
         "doc_id", "tie", F.struct((F.col("start") + F.col("i")).alias("start"), F.lit(WIDTH).alias("n")).alias("span")
     )
     spans = paths.unionByName(single).groupBy("doc_id", "tie").agg(F.collect_list("span").alias("spans"))
-    return settle(spans, "removed-spans")
+    spans = materialize(spans, "removed-spans")
+    drop(found, masked)
+    return spans
 
 
 def _removed(part: pa.RecordBatch, words: A.Words) -> np.ndarray:
@@ -177,12 +186,6 @@ def _cut(batches, columns: list[str]):
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated words cut out of ``text``; every row stays, a text may become empty."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct(F.lit(0).alias("_"), *others).alias("_row")
-    packed = docs.select("doc_id", "text", F.hash("text").alias("tie"), row)
-    rows = packed.join(repeated_words(docs).hint("merge"), ["doc_id", "tie"], "left")
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "text", "_row")}
-    cut = rows.mapInArrow(
-        partial(_cut, columns=list(kinds)), ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
-    )
-    return cut.select(*[c if c in ("doc_id", "text") else F.col("_row")[c].alias(c) for c in docs.columns])
+    rows = plainly_named(docs, "doc_id", "text")
+    tied = rows.withColumn("tie", repeats.tie_of()).join(repeated_words(docs).hint("merge"), ["doc_id", "tie"], "left")
+    return tied.mapInArrow(partial(_cut, columns=rows.columns), rows.schema).toDF(*docs.columns)

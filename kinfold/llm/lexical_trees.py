@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import arrays as A
-from kinfold.llm.tables import settle
+from kinfold.sources.scratch import materialize
 
 BEST = 10
 ITEM_BYTES = 1 << 18
@@ -262,7 +262,7 @@ def _search_part(docs: DataFrame, rows: list, best: int) -> DataFrame | None:
     terms = sorted({term for row in rows for term in row.terms})
     number, size = {term: i for i, term in enumerate(terms)}, len(terms)
     vocabulary = Vocabulary(terms)
-    vectors = settle(docs.mapInArrow(lambda batches: _vectors(batches, vocabulary, size), _VECTORS), "term-vectors")
+    vectors = materialize(docs.mapInArrow(lambda batches: _vectors(batches, vocabulary, size), _VECTORS), "term-vectors")
     counted = vectors.mapInArrow(lambda batches: _frequencies(batches, size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = dict(counted.collect())
     n_docs, n_terms = df.pop(size, 0), df.pop(size + 1, 0)
@@ -285,7 +285,7 @@ def _search_part(docs: DataFrame, rows: list, best: int) -> DataFrame | None:
 def search(docs: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
     """item_id, rank, doc_id, score: the ``best`` documents of each item with a score above 0."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = settle(item_terms(items.select(F.col("item_id").cast("long").alias("item_id"), "text")), "item-terms")
+    wanted = materialize(item_terms(items.select(F.col("item_id").cast("long").alias("item_id"), "text")), "item-terms")
     size = F.coalesce(F.sum(F.aggregate("terms", F.lit(0), lambda n, t: n + F.octet_length(t))), F.lit(0))
     parts = int(wanted.agg(size).first()[0]) // ITEM_BYTES + 1
     out = []
@@ -293,7 +293,7 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
         rows = wanted.filter(F.pmod(F.xxhash64("item_id", "terms"), F.lit(parts)) == i).collect()
         found = _search_part(docs, rows, best) if rows else None
         if found is not None:
-            out.append(found if parts == 1 else settle(found, "search-part"))
+            out.append(found if parts == 1 else materialize(found, "search-part"))
     if not out:
         return docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     result = out[0]

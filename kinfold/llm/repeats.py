@@ -5,7 +5,8 @@ least hash, so equal windows have equal anchors at equal places. Neighbouring wi
 super-k-mer). Steps, shared by the two operators that remove repeats:
 
 1. ``repeated_anchors``: tasks collect the anchors of blocks of documents, drop what repeats inside the block (that is
-   known to repeat), and send each other anchor once as a 40-bit print to the bucket of its hash. A bucket finds prints
+   known to repeat), and send each anchor once as a 39-bit print to the bucket of its hash, marked by one more bit if it
+   is known. A bucket finds prints
    of more than one document (or place) and returns them by document. A hot anchor costs one print per block.
 2. ``occurrences``: the documents meet their returned prints; each run with such an anchor becomes a row
    (anchor, run, doc_id, tie, start, n). Prints that clash by chance only make a few rows too many.
@@ -16,8 +17,8 @@ super-k-mer). Steps, shared by the two operators that remove repeats:
 Grams, windows and runs are compared by 64-bit hashes. A run is told by the hash of its anchor and by that of its own
 symbols, so only a clash among runs of one anchor could join what differs.
 
-Rows are told by doc_id and a hash of their text (``tie``), so rows of one doc_id may differ or repeat. Rows without a
-doc_id neither lose anything nor make others lose it.
+Rows are told by doc_id, which may be any number, and a 64-bit hash of their text and its length (``tie``), so rows of one
+doc_id may differ or repeat. Rows without a doc_id neither lose anything nor make others lose it.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import arrays as A
-from kinfold.llm.tables import settle
+from kinfold.sources.scratch import materialize
 
 BLOCK_ANCHORS = 1 << 20
 BUCKET_BYTES = 48 << 20
-_PRINT_SHIFT = np.uint64(24)
+_PRINT_SHIFT = np.uint64(25)
+_ONE = np.uint64(1)
 _PLACE_BITS = np.uint64(22)
 _CHUNK = 1 << 18
 
@@ -130,23 +132,24 @@ def run_hashes(symbols: Symbols, runs: Runs) -> np.ndarray:
 
 
 def _block(anchors: np.ndarray, docs: np.ndarray, across: bool):
-    """(known, sent): (anchor, doc) that repeat inside the block, and one (anchor, doc or -1) for each anchor."""
+    """(known, sent): (anchor, doc) that repeat inside the block, and one (anchor, doc, whether known) for each anchor."""
     order = np.argsort(anchors, kind="stable")
     anchors, docs = anchors[order], docs[order]
     cuts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
     counts = np.diff(np.r_[cuts, len(anchors)])
     again = np.maximum.reduceat(docs, cuts) != np.minimum.reduceat(docs, cuts) if across else counts > 1
     every = np.repeat(again, counts)
-    return (anchors[every], docs[every]), (anchors[cuts], np.where(again, -1, docs[cuts]))
+    return (anchors[every], docs[every]), (anchors[cuts], docs[cuts], again)
 
 
 _PRINTS = "bucket int, known boolean, prints binary, docs binary"
 
 
-def _print_rows(bucket: np.ndarray, known: bool, anchors: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket; prints as five bytes each, documents in ascending order beside them."""
+def _print_rows(bucket: np.ndarray, known: bool, anchors: np.ndarray, docs: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket; prints and marks as five bytes each, documents in ascending order beside them."""
     order = np.lexsort((docs, bucket))
-    bucket, prints, docs = bucket[order], anchors[order] >> _PRINT_SHIFT, docs[order]
+    prints = (anchors >> _PRINT_SHIFT) << _ONE | marks.astype(np.uint64)
+    bucket, prints, docs = bucket[order], prints[order], docs[order]
     raw = prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     ends = np.r_[cuts[1:], len(bucket)]
@@ -168,11 +171,11 @@ def _sent(batches: Iterator[pa.RecordBatch], kind: Kind, n_buckets: int) -> Iter
     def flush():
         nonlocal blocks
         anchors, docs = (np.concatenate(c) for c in zip(*held, strict=True))
-        (known, known_docs), (once, once_docs) = _block(anchors, docs, kind.across_documents)
+        (known, known_docs), (once, once_docs, again) = _block(anchors, docs, kind.across_documents)
         # What is known needs no meeting and is dealt by document, so a hot anchor does not gather.
         spread = (A.mix(known_docs.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
-        yield _print_rows(spread, True, known, known_docs)
-        yield _print_rows((once % np.uint64(n_buckets)).astype(np.int32), False, once, once_docs)
+        yield _print_rows(spread, True, known, known_docs, np.ones(len(known), bool))
+        yield _print_rows((once % np.uint64(n_buckets)).astype(np.int32), False, once, once_docs, again)
         blocks += 1
 
     for part, texts in A.text_slices(batches):
@@ -191,24 +194,25 @@ def _sent(batches: Iterator[pa.RecordBatch], kind: Kind, n_buckets: int) -> Iter
 def _met(table: pa.Table, across: bool) -> pa.Table:
     """Prints of a bucket that more than one document (or place) has, each with its document."""
 
-    def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = np.frombuffer(b"".join(rows.column("prints").to_pylist()), np.uint8).reshape(-1, 5)
         prints = np.zeros((len(raw), 8), np.uint8)
         prints[:, :5] = raw
         docs = np.frombuffer(b"".join(rows.column("docs").to_pylist()), "<i8")
-        return prints.view("<u8")[:, 0], docs
+        packed = prints.view("<u8")[:, 0]
+        return packed >> _ONE, docs, (packed & _ONE).astype(bool)
 
     flags = table.column("known").to_numpy().astype(bool)
-    known, known_docs = unpacked(table.filter(pa.array(flags)))
-    prints, docs = unpacked(table.filter(pa.array(~flags)))
+    known, known_docs, _ = unpacked(table.filter(pa.array(flags)))
+    prints, docs, marks = unpacked(table.filter(pa.array(~flags)))
     if len(prints):
         order = np.argsort(prints, kind="stable")
-        prints, docs = prints[order], docs[order]
+        prints, docs, marks = prints[order], docs[order], marks[order]
         cuts = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])
         counts = np.diff(np.r_[cuts, len(prints)])
         low, high = np.minimum.reduceat(docs, cuts), np.maximum.reduceat(docs, cuts)
-        again = (low != high) | (low == -1) if across else (counts > 1) | (low == -1)
-        found = np.repeat(again, counts) & (docs >= 0)
+        again = ((low != high) if across else (counts > 1)) | np.logical_or.reduceat(marks, cuts)
+        found = np.repeat(again, counts) & ~marks
         prints, docs = np.concatenate([known, prints[found]]), np.concatenate([known_docs, docs[found]])
     else:
         prints, docs = known, known_docs
@@ -230,11 +234,15 @@ def repeated_anchors(docs: DataFrame, kind: Kind) -> DataFrame:
     return met.groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
 
 
-_OCCURRENCES = "anchor long, run long, doc_id long, tie int, start long, n int"
+_OCCURRENCES = "anchor long, run long, doc_id long, tie long, start long, n int"
+
+
+def tie_of() -> F.Column:
+    return F.xxhash64("text", F.octet_length("text"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.hash("text").alias("tie"))
+    return docs.select("doc_id", "text", tie_of().alias("tie"))
 
 
 def _occurring(batches, kind: Kind):
@@ -270,7 +278,7 @@ def occurrences(docs: DataFrame, kind: Kind) -> DataFrame:
     """Rows of all runs whose anchor repeats, as a table."""
     docs = docs.filter("doc_id IS NOT NULL")
     flagged = keyed(docs).join(repeated_anchors(docs, kind).hint("merge"), "doc_id")
-    return settle(flagged.mapInArrow(lambda batches: _occurring(batches, kind), _OCCURRENCES), "runs")
+    return materialize(flagged.mapInArrow(lambda batches: _occurring(batches, kind), _OCCURRENCES), "runs")
 
 
 RUN = ["anchor", "run"]
@@ -280,13 +288,13 @@ def run_classes(found: DataFrame) -> DataFrame:
     """(anchor, run, copies, doc_id, tie, start, n): each distinct run with its number and its first place."""
     first = F.min(F.struct("doc_id", "tie", "start", "n"))
     classes = found.groupBy(*RUN).agg(F.count("*").alias("copies"), first.alias("first"))
-    return settle(classes.select(*RUN, "copies", "first.*"), "run-classes")
+    return materialize(classes.select(*RUN, "copies", "first.*"), "run-classes")
 
 
-def sharing_anchor(classes: DataFrame) -> DataFrame:
-    """The classes whose anchor other classes have too."""
+def shared_anchors(classes: DataFrame) -> DataFrame:
+    """The anchors that more than one class has, as a table."""
     shared = classes.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1").select("anchor")
-    return classes.join(settle(shared, "shared-anchors"), "anchor", "left_semi")
+    return materialize(shared, "shared-anchors")
 
 
 def at_places(docs: DataFrame, classes: DataFrame, spread, schema: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import arrays as A
 from kinfold.llm import repeats
-from kinfold.llm.tables import settle
+from kinfold.sources.scratch import drop, materialize
 
 WIDTH, K = 50, 24
 KIND = repeats.Kind(WIDTH, K, True, repeats.byte_symbols(WIDTH))
@@ -197,28 +197,33 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({name: pa.array(np.ascontiguousarray(c), pa.int64()) for name, c in zip((*RUN, "mask"), columns, strict=True)})
 
 
-def window_masks(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(anchor, run, mask): windows of the class's first document that a smaller document has."""
-    suffixes = repeats.at_places(docs, repeats.sharing_anchor(classes), _suffixes, _SUFFIX)
+def window_masks(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(anchor, run, mask): windows of the class's first document that a smaller document has; and the table behind it."""
+    shared = repeats.shared_anchors(classes)
+    suffixes = repeats.at_places(docs, classes.join(shared, "anchor", "left_semi"), _suffixes, _SUFFIX)
     ranged = suffixes.repartitionByRange(*LEADS, "run").sortWithinPartitions(*LEADS, "anchor")
     n_meetings = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = settle(ranged.mapInArrow(lambda batches: _sort_bucket(batches, n_meetings), _SORTED), "suffix-buckets")
+    buckets = materialize(ranged.mapInArrow(lambda batches: _sort_bucket(batches, n_meetings), _SORTED), "suffix-buckets")
+    drop(shared)
     inner = buckets.filter("edges IS NULL AND mask <> 0").select(*RUN, "mask")
     # Each bucket sends a window of its outer anchors once, so a meeting grows with buckets, not with copies.
     met = buckets.filter("edges IS NOT NULL").select("meeting", "edges").groupBy("meeting")
     outer = met.applyInArrow(_meet, "anchor long, run long, mask long")
-    return inner.unionByName(outer).groupBy(*RUN).agg(F.bit_or("mask").alias("mask"))
+    return inner.unionByName(outer).groupBy(*RUN).agg(F.bit_or("mask").alias("mask")), buckets
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, runs): the removed windows of each document."""
     found = repeats.occurrences(docs, KIND)
     classes = repeats.run_classes(found)
-    masks = window_masks(docs, classes).withColumnRenamed("mask", "own_mask")
-    settled = classes.join(masks, RUN, "left").select(*RUN, F.col("doc_id").alias("least"), "own_mask", "copies")
-    settled = settle(settled.filter("copies > 1 OR own_mask <> 0"), "settled-runs")
+    masks, buckets = window_masks(docs, classes)
+    settled = classes.join(masks.withColumnRenamed("mask", "own_mask"), RUN, "left").select(*RUN, F.col("doc_id").alias("least"), "own_mask", "copies")
+    settled = materialize(settled.filter("copies > 1 OR own_mask <> 0"), "settled-runs")
+    drop(classes, buckets)
     mask = F.when(F.col("doc_id") > F.col("least"), repeats.full_mask()).otherwise(F.coalesce("own_mask", F.lit(0)))
-    return settle(repeats.covers(found, settled, mask), "removed-runs")
+    removed = materialize(repeats.covers(found, settled, mask), "removed-runs")
+    drop(found, settled)
+    return removed
 
 
 def _digests(batches):

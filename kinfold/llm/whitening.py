@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import feast
-from kinfold.llm.tables import settle
+from kinfold.sources.scratch import materialize
 
 COMPONENTS = 4
 SCALE = 256
@@ -79,7 +79,7 @@ def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 def fit_list(rows: DataFrame, width: int) -> DataFrame:
     """Each distinct vector once, as little-endian 64-bit numbers, in a table."""
     keys = rows.select("vector").mapInArrow(lambda batches: _keys(batches, width), "x binary")
-    return settle(keys.distinct(), "whitening-fit")
+    return materialize(keys.distinct(), "whitening-fit")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:

@@ -99,6 +99,26 @@ def test_bytes(spark, docs):
     assert ordered(got.select(*columns).collect()) == ordered(brute_bytes(docs))
 
 
+@pytest.mark.parametrize("shift", [-600, -10_000, 1 << 40])
+def test_ids_of_any_sign(spark, docs, shift):
+    moved = [(None if i is None else i + shift, t) for i, t in docs]
+    words = debruijn_dedup.repeat_digests(frame(spark, moved)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert ordered(words.collect()) == ordered(brute_words(moved))
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert ordered(suffix_dedup.repeat_digests(frame(spark, moved)).select(*columns).collect()) == ordered(brute_bytes(moved))
+
+
+def test_marks_are_no_ids():
+    """What a block knows to repeat is told by a bit, whatever the least document's id; its print stays the same."""
+    anchors = np.array([9, 9, 5], np.uint64) << np.uint64(32)
+    (known, known_docs), sent = repeats._block(anchors, np.array([-1, -7, -1]), True)
+    assert known.tolist() == [9 << 32] * 2 and sorted(known_docs.tolist()) == [-7, -1]
+    rows = repeats._print_rows(np.zeros(2, np.int32), False, *sent)
+    other = repeats._print_rows(np.zeros(2, np.int32), False, sent[0], np.array([-2, -3]), np.zeros(2, bool))
+    met = repeats._met(pa.Table.from_batches([rows, other]), True).to_pydict()
+    assert sorted(zip(met["doc_id"], met["print"], strict=True)) == [(-3, 9 << 7), (-2, 5 << 7), (-1, 5 << 7)]
+
+
 def test_small_blocks_and_buckets(spark, docs, monkeypatch):
     """Known-in-block prints, flushes and boundary anchors are used here."""
     rows = frame(spark, docs)
@@ -142,6 +162,10 @@ def test_cut_texts(spark):
     assert out.columns == ["doc_id", "text", "prints"]
     got = {r.doc_id: (r.text, r.prints) for r in out.collect()}
     assert got == {1: ("one  two\tend\n", "de"), 2: (" é", None), 3: ("alone ", "x"), 4: (None, "y")}
+    names = ["doc_id", "text", "_", "a.b", "tie", "spans", "c0"]
+    clash = spark.createDataFrame([(*r, 1, None, r[2], 5) for r in rows], "doc_id long, text string, x string, y int, z int, w string, v int")
+    clash = debruijn_dedup.remove_repeats(clash.toDF(*names))
+    assert clash.columns == names and {r[0]: (r[1], r[2]) for r in clash.collect()} == got and {r[3] for r in clash.collect()} == {1}
     cut = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()}
     assert cut[1] == rows[0][1] and cut[3] == "alone " and cut[2].endswith("é") and len(cut[2]) < 12
 
