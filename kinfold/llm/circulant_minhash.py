@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import arrays as A
+from kinfold.llm.columns import plainly_named
 from kinfold.operators.components import connected_components
 from kinfold.sources.scratch import materialize
 
@@ -213,6 +214,9 @@ def block_links(
 
 def _within_block(table: pa.Table, percent: int) -> pa.Table:
     table = table.combine_chunks()
+    # Who is held against all is among all as well.
+    _, once = np.unique(table.column("doc").to_numpy(), return_index=True)
+    table = table.take(pa.array(once)).combine_chunks()
     apart = [a for chunk in table.column("apart").chunks for a in _lists(chunk)]
     docs, sizes, linked = (table.column(c).to_numpy() for c in ("doc", "size", "linked"))
     links = block_links(docs, sizes, linked.astype(bool), apart, percent)
@@ -220,19 +224,24 @@ def _within_block(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _links_in_blocks(verified: DataFrame, percent: int) -> DataFrame:
-    """Links among the members of centres that have a member which does not link to them."""
+    """Links among the members of centres that have a member which does not link to them.
+
+    Members that link to a centre are linked with each other by it, so only the others are held against all. A member goes
+    out once per block of those others, and each of those once per block of members.
+    """
     open_centres = (
         verified.groupBy("centre")
         .agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("outside"))
         .filter("outside > 0 AND members > 1")
-        .select("centre", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        .select("centre", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("members", "outside")])
     )
-    rows = verified.join(open_centres, "centre").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = rows.withColumn("other", other).select(
-        "centre", "doc", "size", "linked", "apart",
-        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-    )
+    rows = verified.join(open_centres, "centre")
+    own = {c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int") for c in ("members", "outside")}
+    every = {c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("members", "outside")}
+    row = ["centre", "doc", "size", "linked", "apart"]
+    all_members = rows.select(*row, every["outside"].alias("low"), own["members"].alias("high"))
+    outsiders = rows.filter("NOT linked").select(*row, own["outside"].alias("low"), every["members"].alias("high"))
+    paired = all_members.unionByName(outsiders)
     return paired.groupBy("centre", "low", "high").applyInArrow(
         lambda table: _within_block(table, percent), "a long, b long"
     )
@@ -288,4 +297,5 @@ def near_copies(docs: DataFrame, percent: int = MIN_PERCENT, bands: int = BANDS)
 def drop_near_copies(docs: DataFrame, percent: int = MIN_PERCENT, bands: int = BANDS) -> DataFrame:
     """The rows of ``docs`` whose document is the lowest of its component."""
     gone = near_copies(docs, percent, bands).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    rows = plainly_named(docs, "doc_id")
+    return rows.join(gone.hint("merge"), "doc_id", "left_anti").select(*rows.columns).toDF(*docs.columns)

@@ -16,13 +16,16 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from kinfold.llm import arrays as A
+from kinfold.llm.columns import plainly_named
 from kinfold.sources.scratch import materialize
 
 WIDTH = 10
@@ -181,9 +184,9 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any hit, with their columns."""
-    packed = docs.select("text", F.struct(*docs.columns).alias("_row"))
-    clean = contamination(packed, benchmark, ["_row"]).filter(F.size("hit_words") == 0)
-    return clean.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    rows = plainly_named(docs, "text")
+    clean = contamination(rows, benchmark, rows.columns).filter(F.size("hit_words") == 0)
+    return clean.select(*rows.columns).toDF(*docs.columns)
 
 
 def _without(text: str | None, hit_words: list[int]) -> str | None:
@@ -201,16 +204,30 @@ def _without(text: str | None, hit_words: list[int]) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def _cut_hits(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``rows`` without their hit words, and whether there were any, as a table."""
+    hits = contamination(rows, benchmark, rows.columns)
+    names = rows.columns
+
+    def cut(batches):
+        for batch in batches:
+            found = batch.column("hit_words").to_pylist()
+            texts = [_without(t, hit) for t, hit in zip(batch.column("text").to_pylist(), found, strict=True)]
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(hit) for hit in found], pa.bool_())], names=[*names, "_hit"])
+
+    schema = StructType([*rows.schema, StructField("_hit", BooleanType())])
+    return materialize(hits.mapInArrow(cut, schema), "spans-removed")
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with hit words cut out of ``text``; other texts and columns stay. Words around a cut become
     neighbours, so rounds follow until no document has a hit (each round only shortens texts)."""
-    columns = docs.columns
-    while True:
-        packed = docs.select("text", F.struct(*columns).alias("_row"))
-        hits = contamination(packed, benchmark, ["text", "_row"])
-        cut = F.when(F.size("hit_words") > 0, F.udf(_without, "string")("text", "hit_words")).otherwise(F.col("text"))
-        fields = [cut.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns]
-        docs = materialize(hits.select(*fields, (F.size("hit_words") > 0).alias("_hit")), "spans-removed")
-        if docs.filter("_hit").isEmpty():
-            return docs.select(*columns)
-        docs = docs.select(*columns)
+    rows = plainly_named(docs, "text")
+    out, cut = [], _cut_hits(rows, benchmark)
+    while not cut.filter("_hit").isEmpty():
+        # Only documents that lost something can have new neighbours.
+        out.append(cut.filter("NOT _hit").drop("_hit"))
+        cut = _cut_hits(cut.filter("_hit").drop("_hit"), benchmark)
+    out.append(cut.drop("_hit"))
+    return reduce(DataFrame.unionByName, out).toDF(*docs.columns)

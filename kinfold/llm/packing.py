@@ -134,7 +134,8 @@ class Packer:
 def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     base = TaskContext.get().partitionId() << _LOCAL_BITS
     packer, n_sequences = Packer(), 0
-    docs: dict[int, tuple[int | None, np.ndarray]] = {}
+    # By number: doc_id, its number of ids, and those from some start on that are still needed.
+    docs: dict[int, tuple[int | None, int, int, np.ndarray]] = {}
     number = held = 0
 
     def rows(sequences: Iterator[list[Piece]]) -> pa.RecordBatch:
@@ -143,9 +144,9 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, with_ids:
         for sequence in sequences:
             offset = 0
             for doc, start, length in sequence:
-                doc_id, ids = docs[doc]
-                part = ids[start : start + length]
-                out.append((doc_id, start, length, zlib.crc32(part.tobytes()), len(ids), base + n_sequences, offset))
+                doc_id, total, begin, ids = docs[doc]
+                part = ids[start - begin : start - begin + length]
+                out.append((doc_id, start, length, zlib.crc32(part.tobytes()), total, base + n_sequences, offset))
                 if with_ids:
                     ids_out.append(part)
                 offset += length
@@ -170,16 +171,20 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, with_ids:
     for batch, ids, first in token_ids.encoded_slices(batches, path):
         for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
             own = np.append(ids[first[i] : first[i + 1]], np.uint32(end_id)).astype("<u4")
-            docs[number] = doc_id, own
+            docs[number] = doc_id, len(own), 0, own
             added += packer.add(number, len(own))
             number += 1
             held += len(own)
         if held >= GROUP_IDS:
             for some in batched(all_of(added, 16 * CAPACITY, False), SEQUENCES_AT_ONCE):
                 yield rows(iter(some))
-            waiting = {piece[0] for pieces in packer.pool.values() for piece in pieces}
-            docs = {n: docs[n] for n in waiting}
-            added, held = [], 0
+            # One piece of a document waits at most; what was before it is out.
+            waiting = {doc: start for pieces in packer.pool.values() for doc, start, _ in pieces}
+            kept = {}
+            for doc, start in waiting.items():
+                doc_id, total, begin, own = docs[doc]
+                kept[doc] = doc_id, total, start, own[start - begin :].copy()
+            docs, added, held = kept, [], 0
     for some in batched(all_of(added, 0, True), SEQUENCES_AT_ONCE):
         yield rows(iter(some))
 

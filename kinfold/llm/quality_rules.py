@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import arrays as A
-from kinfold.sources.scratch import materialize
+from kinfold.llm.columns import plainly_named
+from kinfold.sources.scratch import drop, materialize
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -177,37 +178,46 @@ def _common_words(spelled: A.Words, hashes: np.ndarray, langs: list[str | None],
     return common
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).ravel(), pa.int64()))
+
+
+def _histogram_rows(part: pa.RecordBatch, texts: A.Texts, columns: list[str], own: dict[str, np.ndarray]) -> pa.RecordBatch:
+    n = len(texts)
+    bins = np.zeros((n, 256), np.int64)
+    for i in range(n):
+        bins[i] = np.bincount(texts.data[texts.bounds[i] : texts.bounds[i + 1]], minlength=256)
+    words = A.words_of(texts, A.NOT_BLANK)
+    hashes = A.hash_spans(texts.data, words.starts, words.ends)
+    classes = bins @ _CLASS_MATRIX
+    # Common words ignore case and surrounding marks.
+    common = _common_words(*_spelled(texts), part.column("lang").to_pylist(), own)
+    lines = [_duplicate_lines(text) if text else 0 for text in part.column("text").to_pylist()]
+    counts = [
+        words.counts,
+        classes.sum(axis=1) - classes[:, 3],
+        bins @ _IS_SYMBOL,
+        lines,
+        _repeated_words(hashes, words),
+    ]
+    return pa.RecordBatch.from_arrays(
+        [
+            *[part.column(c) for c in columns],
+            *[pa.array(np.asarray(c), pa.int64()) for c in counts],
+            _lists(classes),
+            _lists(common),
+        ],
+        names=[*columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+               "class_counts", "word_counts"],
+    )
+
+
 def _histograms(
     batches: Iterator[pa.RecordBatch], columns: list[str], own: dict[str, np.ndarray]
 ) -> Iterator[pa.RecordBatch]:
     for part, texts in A.text_slices(batches):
-        n = len(texts)
-        bins = np.zeros((n, 256), np.int64)
-        for i in range(n):
-            bins[i] = np.bincount(texts.data[texts.bounds[i] : texts.bounds[i + 1]], minlength=256)
-        words = A.words_of(texts, A.NOT_BLANK)
-        hashes = A.hash_spans(texts.data, words.starts, words.ends)
-        classes = bins @ _CLASS_MATRIX
-        # Common words ignore case and surrounding marks.
-        common = _common_words(*_spelled(texts), part.column("lang").to_pylist(), own)
-        lines = [_duplicate_lines(text) if text else 0 for text in part.column("text").to_pylist()]
-        counts = [
-            words.counts,
-            classes.sum(axis=1) - classes[:, 3],
-            bins @ _IS_SYMBOL,
-            lines,
-            _repeated_words(hashes, words),
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *[part.column(c) for c in columns],
-                *[pa.array(np.asarray(c), pa.int64()) for c in counts],
-                pa.array(list(classes), pa.list_(pa.int64())),
-                pa.array(list(common), pa.list_(pa.int64())),
-            ],
-            names=[*columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                   "class_counts", "word_counts"],
-        )
+        yield _histogram_rows(part, texts, columns, own)
 
 
 def document_histograms(docs: DataFrame, columns: list[str], own: dict[str, np.ndarray]) -> DataFrame:
@@ -260,7 +270,7 @@ def _judged(batch: pa.RecordBatch, references) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return out[0], out[1]
     langs = batch.column("lang").to_pylist()
-    counts = [np.array(batch.column(c).to_pylist(), np.int64) for c in ("class_counts", "word_counts")]
+    counts = [batch.column(c).flatten().to_numpy().reshape(n, -1) for c in ("class_counts", "word_counts")]
     for lang in set(langs):
         reference = references.get(lang)
         if reference is None:
@@ -302,8 +312,19 @@ def drop_rejected(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns. Reads the texts twice, those of languages that
     ``COMMON_WORDS`` does not know once more, and joins no text."""
     own = own_vocabularies(docs)
-    references = language_references(materialize(document_histograms(docs, ["doc_id", "lang"], own), "histograms"))
-    columns = docs.columns
-    packed = docs.select("text", "lang", F.struct(*columns).alias("_row"))
-    kept = with_distances(document_histograms(packed, ["lang", "_row"], own), references).filter("kept")
-    return kept.select(*[F.col("_row")[c].alias(c) for c in columns])
+    histograms = materialize(document_histograms(docs, ["lang"], own), "histograms")
+    references = language_references(histograms)
+    drop(histograms)
+    rows = plainly_named(docs, "text", "lang")
+
+    def keep(batches):
+        for part, texts in A.text_slices(batches):
+            counts = _histogram_rows(part, texts, ["lang"], own)
+            n_words, repeated = (counts.column(c).to_numpy() for c in ("n_words", "n_repeat_words"))
+            good = (n_words >= MIN_WORDS) & (repeated * 100 <= n_words * MAX_REPEATED_PCT)
+            for distances, most in zip(_judged(counts, references), (MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE), strict=True):
+                good &= np.isnan(distances) | (distances <= most)
+            yield part.filter(pa.array(good))
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(keep, rows.schema).toDF(*docs.columns)
