@@ -5,11 +5,15 @@ all pieces of a slice of documents at once in numpy, encodes each distinct piece
 pieces it has seen. The cuts follow the two patterns below for code points under U+0280, whose classes and lower case
 are asked of the library itself; a text with any other code point, with the start of a special token, or with a
 character whose normal form is not one such character, goes to the library whole. Tests compare both ways on random
-strings. A cached piece is found by a 64-bit hash (exact among pieces of equal length up to eight bytes).
+strings. The library's model merges each piece that is not cached. A cached piece is found by a 64-bit hash (exact among
+pieces of equal length up to eight bytes).
 """
 
 from __future__ import annotations
 
+import os
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
@@ -23,21 +27,20 @@ _SLOT_BITS = 20
 _CACHED_IDS = 2 << 20
 _ENDINGS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """One encoder per tokenizer file and worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+# Byte-level models read bytes as visible characters: printable Latin-1 as itself, the others from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_VISIBLE = np.arange(256, dtype="<u4")
+_VISIBLE[np.setdiff1d(_VISIBLE, _PRINTED)] = 0x100 + np.arange(256 - len(_PRINTED))
 
 
 class Encoder:
     def __init__(self, path: str):
+        # Spark has a task per core already; the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         #: Some patterns put one blank before a piece into it; the others drop blanks and cut numbers digit by digit.
         self.keeps_blanks = bool(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.model = self.tokenizer.model
         self._classes()
         self._clear()
 
@@ -103,6 +106,14 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in encoded]
 
+    def _pieces_by_library(self, data: np.ndarray, starts: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of pieces by the library's model alone, as they are cut already."""
+        # One character per byte, so pieces are slices of one string.
+        visible = _VISIBLE[data].tobytes().decode("utf-32-le")
+        merged = [[token.id for token in self.model.tokenize(visible[a:b])] for a, b in zip(starts, ends, strict=True)]
+        sizes = np.fromiter(map(len, merged), np.int64, len(merged))
+        return np.fromiter(chain.from_iterable(merged), np.uint32, int(sizes.sum())), sizes
+
     def _cut(self, data: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of all pieces.
 
@@ -160,11 +171,9 @@ class Encoder:
         if len(new):
             distinct, example, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
             spans = new[example]
-            strings = [data[a:b].tobytes().decode() for a, b in zip(starts[spans], ends[spans], strict=True)]
-            ids = self._by_library(strings)
-            new_sizes = np.array([len(i) for i in ids], np.int64)
+            ids, new_sizes = self._pieces_by_library(data, starts[spans].tolist(), ends[spans].tolist())
             new_starts = self._used + np.cumsum(new_sizes) - new_sizes
-            self._append(np.concatenate(ids))
+            self._append(ids)
             at[new], sizes[new] = new_starts[inverse], new_sizes[inverse]
             # Of pieces that share a slot the last stays; the others are encoded again when they return.
             slots = slots[spans]
@@ -186,10 +195,12 @@ class Encoder:
 
 
 def encoded_slices(batches, path: str):
-    """(slice of the batch, ids, first) with the encoder of this worker."""
-    encoder = encoder_of(path)
+    """(slice of the batch, ids, first), by an encoder that lives as long as the task."""
+    encoder = Encoder(path)
     for part, texts in A.text_slices(batches):
         yield part, *encoder.encode(texts)
+    del encoder
+    pa.default_memory_pool().release_unused()
 
 
 def id_list(ids: np.ndarray, first: np.ndarray) -> pa.Array:
