@@ -70,3 +70,21 @@ def inventory_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("seq", doc * 2 + F.col("copy"))
         .select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RAW])
     )
+
+
+def inventory_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier scan of the same storage: some files were not there yet, had other content or another place, and some
+    copies have gone since. Every file of ``inventory_raw`` is new, changed, moved or the same."""
+    rows, number = inventory_raw(spark, sf_dir), F.floor(F.col("seq") / 2)
+    older = F.col("content_md5").isNotNull() & (number % 31 == 8)
+    was = rows.filter(number % 23 != 6).withColumns(
+        {
+            "content_md5": F.when(older, F.md5(F.concat("content_md5", F.lit("older")))).otherwise(F.col("content_md5")),
+            "size_bytes": F.when(older, F.col("size_bytes") + 8192).otherwise(F.col("size_bytes")),
+            "path": F.when(number % 37 == 9, F.concat(F.lit("/moved"), "path")).otherwise(F.col("path")),
+        }
+    )
+    gone = rows.filter(number % 29 == 3).withColumns(
+        {"path": F.concat("path", F.lit(".gone.txt")), "seq": -F.col("seq") - 1}
+    )
+    return was.unionByName(gone).select(*rows.columns)

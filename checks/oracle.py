@@ -434,6 +434,30 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
 }
 
 
+# Other ways to results that are defined above.
+_QUERIES |= {
+    "exact_next_scan": _QUERIES["exact_duplicates"],
+    "search_exact_indexed": _QUERIES["search_exact"],
+    "search_near_indexed": _QUERIES["search_near"],
+    "cell_breakdowns": _QUERIES["breakdown_all"],
+    "cell_kpis": _QUERIES["kpis"],
+    "observed_counts": _QUERIES["stage_counts"],
+    "cell_breakdown_selected": (
+        _TO_COMBINED,
+        f"SELECT extension, {_MEASURES} FROM combined WHERE depot = 'src1' AND unit = 'en' GROUP BY extension",
+    ),
+    "run_history": (
+        _TO_COMBINED,
+        f"SELECT h.*, {_label('total_bytes')} AS total_label, run_id FROM all_spots AS h, (SELECT unnest(['monday', 'tuesday']) AS run_id)",
+    ),
+    "near_single": (
+        _TO_EXACT,
+        "SELECT path, CAST(-1 AS BIGINT) AS cluster_id, 'Isolé' AS cluster_status, CAST(1 AS BIGINT) AS cluster_size,"
+        " CAST(NULL AS DOUBLE) AS similarity FROM exact WHERE dup_status IN ('Unique', 'Original') ORDER BY size_bytes DESC, path LIMIT 1",
+    ),
+}
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     for key, (tables, query) in _QUERIES.items():

@@ -11,15 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.operators import clean, combine, exact, features, grid, listings, near, reports, rollups
+from kinfold.operators import clean, combine, exact, features, grid, incremental, listings, near, path_index, reports, rollups
 from kinfold.operators.listings import Facets
 from checks import fixture
-from kinfold.plans.pipeline import run_pipeline
+from kinfold.plans.pipeline import read_counters, run_pipeline
 from kinfold.sources import stages
 from kinfold.sources.folder import scan_folder
 from kinfold.sources.inventory import describe, drop_excluded
 from kinfold.sources.payloads import payload_inventory
-from kinfold.sources.scratch import new_location
+from kinfold.sources.scratch import materialize, new_location
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,6 +127,40 @@ def scan_inventory(spark, sf_dir):
     return scan_folder(spark, sf_dir).select("file_name", "size_bytes", "extension", "content_md5")
 
 
+def exact_next_scan(spark, sf_dir):
+    """The state of an earlier scan, brought up to date with this one."""
+    location = new_location(spark, "exact-state")
+    before = clean.clean_inventory(drop_excluded(fixture.inventory_before(spark, sf_dir)), AS_OF)
+    incremental.start(materialize(before, "earlier-scan"), location)
+    incremental.update(stage("cleaned")(spark, sf_dir), location)
+    return incremental.exact_rows(spark, location, AS_OF)
+
+
+def _indexed(rows: DataFrame, term: str, mode: str) -> DataFrame:
+    location = new_location(rows.sparkSession, "path-index")
+    path_index.build(rows, location)
+    return path_index.indexed_search(rows.sparkSession, location, term, mode).select("path", "name_key")
+
+
+def run_history(spark, sf_dir):
+    """Three writes of two runs; the third replaces the first."""
+    root = new_location(spark, "history")
+    hotspots = stage("hotspots")(spark, sf_dir)
+    for run_id, rows in (("monday", hotspots.filter("rank > 1")), ("tuesday", hotspots), ("monday", hotspots)):
+        stages.write_run_rows(rows, root, run_id, "hotspots")
+    return stages.read_runs(spark, root, "hotspots")
+
+
+def near_single(spark, sf_dir):
+    """The one largest file alone: nothing to cluster."""
+    largest = stage("exact")(spark, sf_dir).filter("dup_status IN ('Unique', 'Original')").orderBy(F.desc("size_bytes"), "path").limit(1)
+    return near.near_duplicates(largest).select("path", "cluster_id", "cluster_status", "cluster_size", "similarity")
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    return materialize(rollups.group_cells(stage("combined")(spark, sf_dir)), "group-cells")
+
+
 def stage_roundtrip(spark, sf_dir):
     root, run_id = run_of(spark, sf_dir)
     if not stages.has_results(spark, root, run_id):
@@ -220,6 +254,7 @@ def all_queries() -> dict[str, Query]:
             lambda df: exact.exact_duplicates(df).select("path", "copy_rank", "exact_group_id", "dup_status"), "cleaned"
         ),
         "exact_duplicates": _stage_query(exact.exact_duplicates, "cleaned"),
+        "exact_next_scan": exact_next_scan,
         # near copies
         "near_candidates": _stage_query(lambda df: features.candidates(df).select("path", "dup_status"), "exact"),
         "near_category_stats": near_category_stats,
@@ -231,6 +266,7 @@ def all_queries() -> dict[str, Query]:
         "near_similarity": _stage_query(lambda df: df.select("path", "similarity"), "near"),
         "near_duplicates": _stage_query(near.near_duplicates, "exact"),
         "near_min5": near_min5,
+        "near_single": near_single,
         "near_wide_eps": near_wide_eps,
         # combination and roll-ups
         "combined_duplicates": lambda spark, sf_dir: combine.combined_duplicates(
@@ -247,7 +283,14 @@ def all_queries() -> dict[str, Query]:
         "breakdown_extension": _on_combined(lambda df: rollups.breakdown(df, "extension")),
         "breakdown_owner": _on_combined(lambda df: rollups.breakdown(df, "owner")),
         "breakdown_all": _on_combined(rollups.breakdown_all),
+        "cell_breakdowns": lambda spark, sf_dir: rollups.cell_breakdowns(_cells(spark, sf_dir)),
+        "cell_breakdown_selected": lambda spark, sf_dir: rollups.cell_breakdown(
+            _cells(spark, sf_dir).filter("depot = 'src1' AND unit = 'en'"), "extension"
+        ),
+        "cell_kpis": lambda spark, sf_dir: rollups.cell_kpis(_cells(spark, sf_dir)),
+        "approximate_groups": lambda spark, sf_dir: rollups.approximate_groups(_cells(spark, sf_dir), "unit"),
         "stage_counts": _stage_counts,
+        "observed_counts": lambda spark, sf_dir: read_counters(spark, *run_of(spark, sf_dir)),
         # interactive queries
         "facet_filter": _on_combined(lambda df: listings.facet_filter(df, FACETS)),
         "facet_options": _on_combined(listings.facet_options),
@@ -274,5 +317,10 @@ def all_queries() -> dict[str, Query]:
             lambda df: listings.search(df.filter("cluster_id <> -1"), "7V1", "literal").select("path", "name_key"),
             "near",
         ),
+        "search_exact_indexed": _stage_query(lambda df: _indexed(df.filter("is_exact_dup"), TERM, "regex"), "exact"),
+        "search_near_indexed": _stage_query(
+            lambda df: _indexed(df.filter("cluster_id <> -1"), "7V1", "literal"), "near"
+        ),
+        "run_history": run_history,
         "kpi_cards": _stage_query(listings.kpi_cards, "kpis"),
     }

@@ -158,3 +158,68 @@ def stage_counts(raw: DataFrame, cleaned: DataFrame, exact: DataFrame, near: Dat
             counter(combined, "combined_files"),
         ],
     )
+
+
+_CELL_SUMS = ["n_files", "total_bytes", "n_exact", "n_near"]
+SKETCH_BITS = 14
+
+
+def group_cells(combined: DataFrame) -> DataFrame:
+    """Measures by (depot, unit, extension, owner) and range of group numbers, with the set of groups as a bitmap and as a
+    sketch. Cells of any selection can be merged, so this small table serves every breakdown of it.
+
+    Group numbers are dense, so a bitmap of 32,768 of them is well filled where a cell has many groups.
+    """
+    prefix = F.when(_is(labels.EXACT), labels.EXACT_KEY).otherwise(labels.NEAR_KEY)
+    number = F.replace("group_key", prefix, F.lit("")).cast("long") * 2 + F.when(_is(labels.EXACT), 0).otherwise(1)
+    rows = combined.withColumn("_group", number)
+    return rows.groupBy(*BREAKDOWNS, F.bitmap_bucket_number("_group").alias("bucket")).agg(
+        F.count("path").alias("n_files"),
+        F.sum("size_bytes").alias("total_bytes"),
+        F.count_if(_is(labels.EXACT)).alias("n_exact"),
+        F.count_if(_is(labels.NEAR)).alias("n_near"),
+        F.bitmap_construct_agg(F.bitmap_bit_position("_group")).alias("groups"),
+        F.hll_sketch_agg("_group", SKETCH_BITS).alias("sketch"),
+    )
+
+
+def _merged(cells: DataFrame, dimensions: list[str]) -> DataFrame:
+    """Sums and the exact number of groups by any dimensions, by two aggregations and no row more than there are cells."""
+    ranges = cells.groupBy(*dimensions, "bucket").agg(
+        *[F.sum(c).alias(c) for c in _CELL_SUMS], F.bitmap_count(F.bitmap_or_agg("groups")).alias("n_groups")
+    )
+    return ranges.groupBy(*dimensions).agg(*[F.sum(c).cast("long").alias(c) for c in [*_CELL_SUMS, "n_groups"]])
+
+
+def cell_breakdown(cells: DataFrame, dimension: str) -> DataFrame:
+    """``breakdown`` of the files in some cells."""
+    return _merged(cells, [dimension]).transform(_labelled).select(
+        dimension, "n_files", "n_groups", "total_bytes", "n_exact", "n_near", "total_label"
+    )
+
+
+def cell_breakdowns(cells: DataFrame) -> DataFrame:
+    """``breakdown_all`` of the files in some cells."""
+    parts = [cell_breakdown(cells, name).withColumnRenamed(name, "value").withColumn("dimension", F.lit(name)) for name in BREAKDOWNS]
+    columns = ["dimension", "value", "n_files", "n_groups", "total_bytes", "n_exact", "n_near", "total_label"]
+    return reduce(DataFrame.unionByName, parts).select(*columns)
+
+
+def cell_kpis(cells: DataFrame) -> DataFrame:
+    """``kpis_wide`` of the files in some cells; places are counted where they are values already."""
+    totals = _merged(cells, [])
+    places = [cells.select(name).distinct().agg(F.count(name).alias(f"n_{name}")) for name in ("depot", "unit")]
+    # One row each.
+    row = totals.join(F.broadcast(places[0])).join(F.broadcast(places[1]))
+    zero = F.lit(0)
+    values = [
+        F.coalesce("n_files", zero), F.coalesce("n_groups", zero), F.coalesce("n_exact", zero), F.coalesce("n_near", zero),
+        F.coalesce(text.megabytes(F.col("total_bytes")), zero), F.col("n_depot"), F.col("n_unit"),
+    ]
+    return row.select(*[value.cast("double").alias(name) for value, name in zip(values, labels.KPI_NAMES, strict=True)])
+
+
+def approximate_groups(cells: DataFrame, dimension: str) -> DataFrame:
+    """The number of groups by value from sketches, within about 2 %; a sketch has a fixed size whatever the groups."""
+    merged = cells.groupBy(dimension).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(dimension, F.hll_sketch_estimate("sketch").alias("n_groups"))
