@@ -26,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = fixture.AS_OF
 DENSITY = 5
 WIDE_EPS = 3.5
+STATE_BUCKETS = 16
 FACETS = Facets(depot="src1", unit="en", dup_type="Quasi")
 REPORT_FACETS = Facets(depot="src1", unit="en")
 TERM = "SRC1[0-4]/.*/u[13]/"
@@ -131,7 +132,7 @@ def exact_next_scan(spark, sf_dir):
     """The state of an earlier scan, brought up to date with this one."""
     location = new_location(spark, "exact-state")
     before = clean.clean_inventory(drop_excluded(fixture.inventory_before(spark, sf_dir)), AS_OF)
-    incremental.start(materialize(before, "earlier-scan"), location)
+    incremental.start(materialize(before, "earlier-scan"), location, STATE_BUCKETS)
     incremental.update(stage("cleaned")(spark, sf_dir), location)
     return incremental.exact_rows(spark, location, AS_OF)
 

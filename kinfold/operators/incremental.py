@@ -8,8 +8,8 @@ numbers, which any new group shifts, are given when the state is read.
 
 A scan's cost: one narrow pass over both inventories, and work in proportion to the touched buckets.
 
-An update writes what will replace the buckets first, then replaces them one table after the other. An update that died
-in between is carried on by the next one (or ``recover``), as replacing a bucket twice does no harm. One writer at a time.
+An update writes what will replace the buckets first, then moves it to its place bucket by bucket. An update that died
+in between is carried on by the next one (or ``recover``). One writer at a time, and readers wait for it.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from kinfold.operators.clean import derive_ages
 from kinfold.operators.exact import KEYS, number_copies, with_status
 from kinfold.operators.numbering import number_rows
 from kinfold.sources.scratch import drop, materialize
-from kinfold.sources.stages import path_exists, remove_path
+from kinfold.sources.stages import move_path, path_exists, remove_path
 
 #: Buckets of a state; more buckets mean less to write for a change, and more files.
 BUCKETS = 64
 _PRINT = ["print_a", "print_b"]
+_BUCKETS = "name string, bucket int, has_rows boolean"
 _GROUPS = "content_md5 string, size_bytes long, n_copies long, bucket int"
 #: Ages change with the clock; they are derived when the state is read.
 _TOLD = [f for f in schemas.CLEANED if f.name not in ("age_days", "idle_days")]
@@ -61,22 +62,21 @@ def _in(buckets: list[int]) -> Column:
 def _write(rows: DataFrame, path: str) -> None:
     """A large bucket is written by several tasks, small ones share a task."""
     spread = rows.repartitionByRange("bucket", *KEYS, *(["path"] if "path" in rows.columns else []))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    spread.write.partitionBy("bucket").parquet(path)
 
 
-def _replace(spark: SparkSession, location: str, only: tuple[str, ...] = ("groups", "files")) -> None:
-    """Puts the pending buckets in place; a bucket without rows goes."""
+def _replace(spark: SparkSession, location: str) -> None:
+    """Moves the pending buckets to their places; a bucket that has no rows any more goes. One that was moved stays."""
     pending = f"{location}/pending"
-    touched = [row.bucket for row in spark.read.parquet(f"{pending}/buckets").collect()]
-    for name in only:
-        rows = _table(spark, pending, name)
-        _write(rows, f"{location}/{name}")
-        full = {row.bucket for row in rows.select("bucket").distinct().collect()}
-        for bucket in set(touched) - full:
-            remove_path(spark, f"{location}/{name}/bucket={bucket}")
-    if len(only) == 2:
-        remove_path(spark, f"{pending}/buckets")
-        remove_path(spark, pending)
+    for name, bucket, has_rows in spark.read.schema(_BUCKETS).parquet(f"{pending}/buckets").collect():
+        folder = f"{name}/bucket={bucket}"
+        if not has_rows:
+            remove_path(spark, f"{location}/{folder}")
+        elif path_exists(spark, f"{pending}/{folder}"):
+            remove_path(spark, f"{location}/{folder}")
+            move_path(spark, f"{pending}/{folder}", f"{location}/{folder}")
+    remove_path(spark, f"{pending}/buckets")
+    remove_path(spark, pending)
 
 
 def recover(spark: SparkSession, location: str) -> bool:
@@ -146,8 +146,9 @@ def update(cleaned: DataFrame, location: str) -> list[int]:
         ranked = _ranked(mine, groups.join(keys, KEYS, "left_semi"))
         _write(groups, f"{location}/pending/groups")
         _write(untouched.unionByName(ranked), f"{location}/pending/files")
-        marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
-        marks.write.parquet(f"{location}/pending/buckets")
+        pending = f"{location}/pending"
+        marks = [(name, b, path_exists(spark, f"{pending}/{name}/bucket={b}")) for name in ("groups", "files") for b in touched]
+        spark.createDataFrame(marks, _BUCKETS).coalesce(1).write.parquet(f"{pending}/buckets")
         _replace(spark, location)
         drop(groups)
     drop(signed)

@@ -32,6 +32,14 @@ def remove_path(spark: SparkSession, location: str) -> None:
     system.delete(path, True)
 
 
+def move_path(spark: SparkSession, location: str, target: str) -> None:
+    system, path = _filed(spark, location)
+    place = _filed(spark, target)[1]
+    system.mkdirs(place.getParent())
+    if not system.rename(path, place):
+        raise OSError(f"{location} could not be moved to {target}")
+
+
 def _marker(spark: SparkSession, root: str, run_id: str):
     return _filed(spark, stage_path(root, run_id, LAST_STAGE) + "/_SUCCESS")
 

@@ -77,24 +77,26 @@ def test_touches_only_buckets_of_changed_keys(spark):
     assert rows_of(incremental.exact_rows(spark, location, AS_OF)) == whole(scan(spark, files))
 
 
-@pytest.mark.parametrize("done", [(), ("groups",), ("groups", "files")])
-def test_an_update_that_died_is_carried_on(spark, monkeypatch, done):
+@pytest.mark.parametrize("moves", [0, 1, 3])
+def test_an_update_that_died_is_carried_on(spark, monkeypatch, moves):
     files = {f"/d/{i}": {"content_md5": f"h{i % 5}"} for i in range(20)}
     location = new_location(spark, "state")
     incremental.start(scan(spark, files), location, 4)
     files["/d/20"] = {"content_md5": "h3"}
     del files["/d/2"]
-    replace = incremental._replace
+    move, done = incremental.move_path, []
 
-    def dies(session, place):
-        for name in done:
-            replace(session, place, (name,))
-        raise OSError("lost")
+    def dies(session, place, target):
+        if len(done) == moves:
+            raise OSError("lost")
+        done.append(target)
+        move(session, place, target)
 
     with monkeypatch.context() as patch:
-        patch.setattr(incremental, "_replace", dies)
+        patch.setattr(incremental, "move_path", dies)
         with pytest.raises(OSError):
             incremental.update(scan(spark, files), location)
+    assert len(done) == moves
     assert rows_of(incremental.exact_rows(spark, location, AS_OF)) == whole(scan(spark, files))
     assert incremental.update(scan(spark, files), location) == []
 
