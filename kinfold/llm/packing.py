@@ -8,7 +8,7 @@ stops at the first length with which the capacity is met exactly. A window that
 cutting one more piece. What is left at the end of a partition, less than one window, is cut into sequences of powers of
 two lengths, which need no padding.
 
-Defined cases: a null or empty text is its end id alone. Repeated rows are packed each. An empty table gives no rows.
+Defined cases: a null or empty text is its end id alone. Repeated rows are packed each. An empty table gives no rows. Columns other than doc_id and text are not read.
 A partition's ids are held in groups of about ``GROUP_IDS``, a longer document alone, and leave the task in batches of
 ``SEQUENCES_AT_ONCE``.
 """
