@@ -212,6 +212,9 @@ _LINKED_COLUMNS = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in ("exten
 
 _FILES = "SELECT parse_filename(filename) AS file_name, size AS size_bytes, '.parquet' AS extension, md5(content) AS content_md5 FROM read_blob('/root/testdata/sf0.01/*')"
 
+_UPLOADS = """
+sent AS (SELECT doc_id AS seq, source || '/' || CASE WHEN doc_id%19 < 2 THEN 'node_modules' ELSE lang END || '/f' || CAST(doc_id // 2 AS VARCHAR) || '.txt' AS path,
+  doc_id%7 <> 3 AS has_data, doc_id%11=4 OR doc_id%13=5 OR doc_id%17 <> 6 AS whole FROM documents)"""
 _PAYLOAD = """
 uploads AS (SELECT doc_id AS seq, source || '/' || CASE WHEN doc_id%19 < 2 THEN 'node_modules' ELSE lang END || '/f' || CAST(doc_id // 2 AS VARCHAR) || '.txt' AS path,
   CASE WHEN doc_id%11=4 THEN 'ABC' ELSE text END AS content
@@ -254,6 +257,19 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
         " '.txt' AS extension, md5(content) AS content_md5, '2025-01-01 00:00:00' AS created_at_raw,"
         " '2025-01-01 00:00:00' AS modified_at_raw FROM latest",
     ),
+    "payload_accepted": (
+        [_PAYLOAD],
+        "SELECT seq, string_split(path, '/')[-1] AS file_name, path, CAST(strlen(content) AS BIGINT) AS size_bytes,"
+        " '.txt' AS extension, md5(content) AS content_md5, '2025-01-01 00:00:00' AS created_at_raw,"
+        " '2025-01-01 00:00:00' AS modified_at_raw FROM latest",
+    ),
+    "payload_rejects": (
+        [_UPLOADS],
+        "SELECT * FROM (SELECT seq, path, CASE WHEN contains(path, 'node_modules/') THEN 'excluded directory'"
+        " WHEN NOT has_data THEN 'no data' WHEN NOT whole THEN 'not decodable'"
+        " WHEN seq < max(CASE WHEN has_data AND whole THEN seq END) OVER (PARTITION BY path)"
+        " THEN 'replaced by a later upload' END AS reason FROM sent) WHERE reason IS NOT NULL",
+    ),
     "stage_roundtrip": (_TO_CLEAN, "SELECT * FROM cleaned"),
     "kpi_long": (_TO_COMBINED, _long_kpis()),
     "report_exact": (_TO_EXACT, _report("exact", _EXACT_REPORT, "is_exact_dup", _FR_FILTERS)),
@@ -419,6 +435,16 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
         f"{_NEAR_LINES} FROM (SELECT * FROM near WHERE cluster_id <> -1 AND contains(path, 'src')"
         " AND (cluster_id, path) > (0, '/src1') ORDER BY cluster_id, path LIMIT 100)",
     ),
+    "exact_numbered_page": (
+        _TO_EXACT,
+        f"{_EXACT_LINES}, position FROM (SELECT *, row_number() OVER (ORDER BY exact_group_id, copy_rank) - 1 AS position"
+        " FROM exact WHERE is_exact_dup) WHERE position BETWEEN 75 AND 99",
+    ),
+    "near_selected_page": (
+        _TO_NEAR,
+        f"{_NEAR_LINES}, position FROM (SELECT *, row_number() OVER (ORDER BY cluster_id, path) - 1 AS position"
+        " FROM near WHERE cluster_id <> -1) WHERE position >= 30 AND contains(path, 'src1') ORDER BY position LIMIT 40",
+    ),
     "listing_counts": (
         _TO_NEAR,
         f"SELECT listing, n, {_spaced('n')} AS shown FROM ("

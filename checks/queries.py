@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.operators import clean, combine, exact, features, grid, incremental, listings, near, path_index, reports, rollups
+from kinfold.operators import clean, combine, exact, features, grid, incremental, listings, near, pages, path_index, reports, rollups
 from kinfold.operators.listings import Facets
 from checks import fixture
 from kinfold.plans.pipeline import read_counters, run_pipeline
 from kinfold.sources import stages
 from kinfold.sources.folder import scan_folder
 from kinfold.sources.inventory import describe, drop_excluded
-from kinfold.sources.payloads import payload_inventory
+from kinfold.sources.payloads import accepted_payloads, payload_inventory, payload_outcomes, rejected_payloads
 from kinfold.sources.scratch import materialize, new_location
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,26 @@ def _indexed(rows: DataFrame, term: str, mode: str) -> DataFrame:
     return path_index.indexed_search(rows.sparkSession, location, term, mode).select("path", "name_key")
 
 
+def _paged(rows: DataFrame, order: list[str]) -> DataFrame:
+    location = new_location(rows.sparkSession, "pages")
+    pages.store(rows, order, location)
+    return pages.stored(rows.sparkSession, location, rows.schema)
+
+
+def exact_numbered_page(spark, sf_dir):
+    """The fourth page of 25 rows of all exact copies."""
+    rows = listings.exact_selection(stage("exact")(spark, sf_dir))
+    found = pages.page(_paged(rows, listings.EXACT_ORDER), 3, 25)
+    return listings.exact_lines(found, pages.POSITION)
+
+
+def near_selected_page(spark, sf_dir):
+    """40 rows of one repository, from row 30 of all clustered files on."""
+    table = _paged(listings.near_selection(stage("near")(spark, sf_dir)), listings.NEAR_ORDER)
+    found = pages.page_from(table, 30, lambda rows: listings.near_selection(rows, "src1"), 40)
+    return listings.near_lines(found, pages.POSITION)
+
+
 def run_history(spark, sf_dir):
     """Three writes of two runs; the third replaces the first."""
     root = new_location(spark, "history")
@@ -218,6 +238,8 @@ def all_queries() -> dict[str, Query]:
             "doc_id", F.md5("text").alias("content_md5")
         ),
         "payload_inventory": lambda spark, sf_dir: payload_inventory(payloads(spark, sf_dir), AS_OF),
+        "payload_accepted": lambda spark, sf_dir: accepted_payloads(payload_outcomes(payloads(spark, sf_dir)), AS_OF),
+        "payload_rejects": lambda spark, sf_dir: rejected_payloads(payload_outcomes(payloads(spark, sf_dir))),
         "stage_roundtrip": stage_roundtrip,
         "kpi_long": _on_combined(rollups.kpis),
         "report_exact": _stage_query(lambda df: reports.report_exact(df, REPORT_FACETS), "exact"),
@@ -310,6 +332,8 @@ def all_queries() -> dict[str, Query]:
         "near_listing_page": _stage_query(
             lambda df: listings.near_page(listings.near_selection(df, "src"), 100, after=(0, "/src1")), "near"
         ),
+        "exact_numbered_page": exact_numbered_page,
+        "near_selected_page": near_selected_page,
         "listing_counts": _listing_counts,
         "search_exact": _stage_query(
             lambda df: listings.search(df.filter("is_exact_dup"), TERM).select("path", "name_key"), "exact"

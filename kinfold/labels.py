@@ -43,6 +43,17 @@ CARD_LABELS = {
 }
 NO_SCORE = "—"
 
+# Why a scan or an upload did not take something; these texts are this library's own.
+VANISHED = "vanished or unreadable"
+LINKED_DIR = "linked directory"
+UNLISTED_DIR = "directory not listed to its end"
+EXCLUDED = "excluded directory"
+UNREAD = "content not readable"
+NO_NAME = "no name"
+NO_DATA = "no data"
+NOT_DECODABLE = "not decodable"
+REPLACED = "replaced by a later upload"
+
 # Listing limits.
 PAGE_ROWS = 500
 HOTSPOTS_KEPT = 20

@@ -130,8 +130,8 @@ def _page(selection: DataFrame, order: list[str], rows: int, after: tuple | None
     return selection.orderBy(*order).limit(rows)
 
 
-def exact_lines(selection: DataFrame) -> DataFrame:
-    """The whole selection as text cells, with the keys that order it and start the next page."""
+def exact_lines(selection: DataFrame, *keys: str) -> DataFrame:
+    """The whole selection as text cells, with the keys that order it and start the next page, and further ``keys``."""
     return selection.select(
         F.col("dup_status").alias("status"),
         F.col("name_key").alias("file"),
@@ -139,6 +139,7 @@ def exact_lines(selection: DataFrame) -> DataFrame:
         F.col("size_label").alias("size"),
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"),
         *EXACT_ORDER,
+        *keys,
     )
 
 
@@ -147,7 +148,7 @@ def exact_page(selection: DataFrame, rows: int = labels.PAGE_ROWS, after: tuple[
     return exact_lines(_page(selection, EXACT_ORDER, rows, after))
 
 
-def near_lines(selection: DataFrame) -> DataFrame:
+def near_lines(selection: DataFrame, *keys: str) -> DataFrame:
     return selection.select(
         F.col("cluster_status").alias("cluster"),
         F.col("name_key").alias("file"),
@@ -155,6 +156,7 @@ def near_lines(selection: DataFrame) -> DataFrame:
         F.col("size_label").alias("size"),
         text.score_label(F.col("similarity")).alias("score"),
         "cluster_id",
+        *keys,
     )
 
 

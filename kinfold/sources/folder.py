@@ -28,8 +28,8 @@ from kinfold.sources.scratch import materialize
 FILES_PER_TASK = 10_000
 ENTRIES_AT_ONCE = 10_000
 _BLOCK = 1024 * 1024
-_ENTRY = "path string, is_dir boolean, size_bytes long, created_at_raw string, modified_at_raw string"
-_COLUMNS = ["path", "is_dir", "size_bytes", "created_at_raw", "modified_at_raw"]
+_ENTRY = "path string, is_dir boolean, size_bytes long, created_at_raw string, modified_at_raw string, reason string"
+_COLUMNS = ["path", "is_dir", "size_bytes", "created_at_raw", "modified_at_raw", "reason"]
 
 
 def _remote(location: str) -> bool:
@@ -50,29 +50,32 @@ def _local_entries(directory: str) -> Iterator[tuple]:
         for entry in listing:
             try:
                 if entry.is_dir():
-                    if not entry.is_symlink():
-                        yield entry.path, True, None, None, None
+                    linked = entry.is_symlink()
+                    yield entry.path, True, None, None, None, labels.LINKED_DIR if linked else None
                     continue
                 info = entry.stat()
-            except OSError:  # vanished, a link to nowhere or to itself
+            except OSError:  # also a link to nowhere or to itself
+                yield entry.path, False, None, None, None, labels.VANISHED
                 continue
             dates = [_text(datetime.fromtimestamp(moment, UTC)) for moment in (info.st_ctime, info.st_mtime)]
-            yield entry.path, False, info.st_size, *dates
+            yield entry.path, False, info.st_size, *dates, None
 
 
 def _remote_entries(system: fs.FileSystem, directory: str) -> Iterator[tuple]:
     """Object stores know one date, the last change."""
     for info in system.get_file_info(fs.FileSelector(directory)):
         if info.type == fs.FileType.Directory:
-            yield info.path, True, None, None, None
+            yield info.path, True, None, None, None, None
         else:
-            yield info.path, False, info.size, _text(info.mtime), _text(info.mtime)
+            yield info.path, False, info.size, _text(info.mtime), _text(info.mtime), None
 
 
 def _lister(root: str, tokens: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def wanted(entry: tuple) -> bool:
-        name = entry[0].rsplit("/", 1)[-1]
-        return not (entry[1] and any(token in name for token in tokens))
+    def judged(entry: tuple) -> tuple:
+        path, is_dir, *facts, reason = entry
+        name = path.rsplit("/", 1)[-1]
+        excluded = is_dir and not reason and any(token in name for token in tokens)
+        return path, is_dir, *facts, labels.EXCLUDED if excluded else reason
 
     def frame(found: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(found, columns=_COLUMNS).astype({"size_bytes": "Int64"})
@@ -84,13 +87,12 @@ def _lister(root: str, tokens: list[str]) -> Callable[[Iterator[pd.DataFrame]],
                 found: list[tuple] = []
                 try:
                     for entry in _remote_entries(system, directory) if system else _local_entries(directory):
-                        if wanted(entry):
-                            found.append(entry)
+                        found.append(judged(entry))
                         if len(found) == ENTRIES_AT_ONCE:
                             yield frame(found)
                             found = []
-                except OSError:  # vanished or unreadable directory; what was listed stays
-                    pass
+                except OSError:  # what was listed stays
+                    found.append((directory, True, None, None, None, labels.UNLISTED_DIR))
                 yield frame(found)
 
     return entries
@@ -138,8 +140,8 @@ def _opened(root: str) -> tuple[str, str]:
     return path, root.removesuffix(path) if root.endswith(path) else root.split("://")[0] + "://"
 
 
-def list_folder(spark: SparkSession, root: str, exclusions: list[str] | None = None) -> DataFrame:
-    """All files below ``root`` that are not under an excluded directory, with size and dates."""
+def _entries(spark: SparkSession, root: str, exclusions: list[str] | None) -> DataFrame:
+    """Everything met below ``root``: files, and what was not taken with its reason. Nothing below the latter is met."""
     lister = _lister(root.strip(), exclusions or labels.EXCLUDED_DIRS)
     # Explicit partition counts: adaptive execution would merge such small rows into one task.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -147,17 +149,44 @@ def list_folder(spark: SparkSession, root: str, exclusions: list[str] | None = N
     levels = []
     while not frontier.isEmpty():
         entries = materialize(frontier.repartition(tasks).mapInPandas(lister, _ENTRY), "folder-level")
-        levels.append(entries.filter(~F.col("is_dir")).drop("is_dir"))
-        frontier = entries.filter("is_dir").select("path")
+        levels.append(entries.filter("NOT is_dir OR reason IS NOT NULL"))
+        frontier = entries.filter("is_dir AND reason IS NULL").select("path")
     return reduce(DataFrame.unionByName, levels)
 
 
-def scan_folder(spark: SparkSession, root: str, exclusions: list[str] | None = None) -> DataFrame:
-    prefix = _opened(root)[1]
-    files = list_folder(spark, root, exclusions)
+def list_folder(spark: SparkSession, root: str, exclusions: list[str] | None = None) -> DataFrame:
+    """All files below ``root`` that are not under an excluded directory, with size and dates."""
+    return _entries(spark, root, exclusions).filter("reason IS NULL").drop("is_dir", "reason")
+
+
+def _hashed(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), files.count() // FILES_PER_TASK)
     hashed = files.repartition(tasks).mapInPandas(
         _hasher(root.strip()),
         "path string, size_bytes long, created_at_raw string, modified_at_raw string, content_md5 string",
     )
-    return describe(hashed.withColumn("path", F.concat(F.lit(prefix), "path")))
+    return hashed.withColumn("path", F.concat(F.lit(_opened(root)[1]), "path"))
+
+
+def scan_folder(spark: SparkSession, root: str, exclusions: list[str] | None = None) -> DataFrame:
+    return describe(_hashed(spark, root, list_folder(spark, root, exclusions)))
+
+
+def scan_with_rejects(
+    spark: SparkSession, root: str, exclusions: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The inventory of ``scan_folder``, and ``(path, is_dir, reason)`` of what the same pass could not take.
+
+    A file whose content cannot be read is in both: it has a size and dates, but no MD5. Every file that was met is in
+    the inventory or rejected; of a directory that was left out or could not be listed to its end, only the directory is told.
+    """
+    entries = _entries(spark, root, exclusions)
+    files = entries.filter("reason IS NULL").drop("is_dir", "reason")
+    inventory = materialize(_hashed(spark, root, files), "scanned-files")
+    left_out = entries.filter("reason IS NOT NULL").select(
+        F.concat(F.lit(_opened(root)[1]), "path").alias("path"), "is_dir", "reason"
+    )
+    unread = inventory.filter("content_md5 IS NULL").select(
+        "path", F.lit(False).alias("is_dir"), F.lit(labels.UNREAD).alias("reason")
+    )
+    return describe(inventory), left_out.unionByName(unread)

@@ -11,18 +11,20 @@ from kinfold import labels, schemas
 from kinfold.functions import text
 
 
+def in_excluded(path: Column, exclusions: list[str] | None = None) -> Column:
+    """Whether a directory of the path has an excluded token in its name. The file name is not tested."""
+    tokens = exclusions or labels.EXCLUDED_DIRS
+    parts = F.split(path, r"[/\\]")
+    directories = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    return F.exists(directories, lambda name: reduce(Column.__or__, [name.contains(token) for token in tokens]))
+
+
 def drop_excluded(files: DataFrame, exclusions: list[str] | None = None, relative: Column | None = None) -> DataFrame:
     """Drop files below a directory whose name contains an excluded token.
 
     ``relative`` is the path below the scanned root (default: ``path``), with ``/`` or ``\\`` between its parts.
-    The file name is not tested.
     """
-    tokens = exclusions or labels.EXCLUDED_DIRS
-    parts = F.split(F.col("path") if relative is None else relative, r"[/\\]")
-    directories = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return files.filter(
-        ~F.exists(directories, lambda name: reduce(Column.__or__, [name.contains(token) for token in tokens]))
-    )
+    return files.filter(~in_excluded(F.col("path") if relative is None else relative, exclusions))
 
 
 def describe(files: DataFrame) -> DataFrame:

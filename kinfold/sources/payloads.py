@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold import labels
 from kinfold.functions import text
-from kinfold.sources.inventory import describe, drop_excluded
+from kinfold.sources.inventory import describe, drop_excluded, in_excluded
+from kinfold.sources.scratch import materialize
 
 
 def decode_base64(encoded: Column) -> Column:
@@ -40,8 +42,8 @@ def decode_base64(encoded: Column) -> Column:
     return F.filter(F.transform(F.transform(pieces, fold), binary), lambda content: content.isNotNull())
 
 
-def decoded_payloads(payloads: DataFrame) -> DataFrame:
-    """Decodable payloads as ``(seq, path, content)``.
+def _contents(payloads: DataFrame) -> DataFrame:
+    """``(seq, path, has_data, contents)``: the content as an array, empty if it cannot be decoded.
 
     Ordinary base64, with padding only at its end, is decoded at once; only other texts are folded piece by piece.
     """
@@ -49,32 +51,78 @@ def decoded_payloads(payloads: DataFrame) -> DataFrame:
     encoded = F.regexp_replace(F.substr("data_uri", comma + 1), "[^A-Za-z0-9+/=]", "")
     ordinary = (F.length("_text") % 4 == 0) & F.col("_text").rlike("^[^=]*={0,2}$")
     at_once = F.filter(F.array(F.try_to_binary("_text", F.lit("base64"))), lambda content: content.isNotNull())
-    texts = payloads.filter(comma > 0).select(
-        F.col("upload_seq").alias("seq"), text.forward_slashes(F.col("name")).alias("path"), encoded.alias("_text")
+    texts = payloads.select(
+        F.col("upload_seq").alias("seq"),
+        text.forward_slashes(F.col("name")).alias("path"),
+        F.coalesce(comma > 0, F.lit(False)).alias("has_data"),
+        F.when(comma > 0, encoded).alias("_text"),
     )
     contents = F.when(ordinary, at_once).otherwise(decode_base64(F.col("_text")))
-    return texts.select("seq", "path", F.explode(contents).alias("content"))
+    return texts.select("seq", "path", "has_data", F.when(F.col("has_data"), contents).alias("contents"))
+
+
+def decoded_payloads(payloads: DataFrame) -> DataFrame:
+    """Decodable payloads as ``(seq, path, content)``."""
+    return _contents(payloads).filter("has_data").select("seq", "path", F.explode("contents").alias("content"))
+
+
+def _hashes() -> list[Column]:
+    return [F.octet_length("content").cast("long").alias("size_bytes"), F.md5("content").alias("content_md5")]
 
 
 def payload_files(payloads: DataFrame) -> DataFrame:
-    """``(seq, path, size_bytes, content_md5)``; of one name the last upload stays.
+    """``(seq, path, size_bytes, content_md5)``; of one name the last upload stays, of equal numbers the largest content.
 
     Contents are hashed where they are decoded, so only their hashes are shuffled.
     """
-    hashed = decoded_payloads(payloads).select(
-        "seq", "path", F.octet_length("content").cast("long").alias("size_bytes"), F.md5("content").alias("content_md5")
-    )
-    last = F.max_by(F.struct("seq", "size_bytes", "content_md5"), "seq")
+    hashed = decoded_payloads(payloads).select("seq", "path", *_hashes())
+    last = F.max(F.struct("seq", "size_bytes", "content_md5"))
     return hashed.groupBy("path").agg(last.alias("last")).select("path", "last.*")
 
 
+def payload_outcomes(payloads: DataFrame) -> DataFrame:
+    """Every upload once, ``(seq, path, size_bytes, content_md5, reason)``; accepted ones have no reason.
+
+    Uploads are decoded once, into a table without contents. Of one name the last decodable upload is accepted, as in
+    ``payload_files``; of equal rows, one. The first reason that holds is told.
+    """
+    decoded = _contents(payloads).select("seq", "path", "has_data", F.explode_outer("contents").alias("content"))
+    lost = (
+        F.when(F.col("path").isNull(), labels.NO_NAME)
+        .when(in_excluded(F.col("path")), labels.EXCLUDED)
+        .when(~F.col("has_data"), labels.NO_DATA)
+        .when(F.col("content").isNull(), labels.NOT_DECODABLE)
+    )
+    judged = decoded.select("seq", "path", *_hashes(), lost.alias("reason"), F.monotonically_increasing_id().alias("_row"))
+    judged = materialize(judged, "judged-payloads")
+    # A name may be that of many uploads: it is aggregated, and joined back by row.
+    place = F.max(F.struct("seq", "size_bytes", "content_md5", "_row"))["_row"]
+    last = judged.filter("reason IS NULL").groupBy("path").agg(place.alias("_row"))
+    kept = judged.join(last.select("_row", F.lit(True).alias("_last")), "_row", "left")
+    replaced = F.when(F.col("_last").isNull(), labels.REPLACED)
+    return kept.select("seq", "path", "size_bytes", "content_md5", F.coalesce("reason", replaced).alias("reason"))
+
+
 def payload_inventory(payloads: DataFrame, received_at: str) -> DataFrame:
     """The files exist since the upload, so both dates are ``received_at``. Excluded directories are left out, as in a
     folder scan; an upload without any payload is an error."""
     if payloads.isEmpty():
         raise ValueError("the upload is empty")
+    return _inventory(drop_excluded(payload_files(payloads)), received_at)
+
+
+def accepted_payloads(outcomes: DataFrame, received_at: str) -> DataFrame:
+    """The inventory of ``payload_inventory`` from the outcomes of the same uploads."""
+    return _inventory(outcomes.filter("reason IS NULL"), received_at)
+
+
+def rejected_payloads(outcomes: DataFrame) -> DataFrame:
+    return outcomes.filter("reason IS NOT NULL").select("seq", "path", "reason")
+
+
+def _inventory(files: DataFrame, received_at: str) -> DataFrame:
     return describe(
-        drop_excluded(payload_files(payloads)).select(
+        files.select(
             "seq",
             "path",
             "size_bytes",

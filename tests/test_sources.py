@@ -3,15 +3,23 @@ import binascii
 import hashlib
 import os
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kinfold import schemas
+from kinfold import labels, schemas
 from kinfold.sources import folder, stages
 from kinfold.sources.inventory import drop_excluded
-from kinfold.sources.payloads import decode_base64, payload_files, payload_inventory
+from kinfold.sources.payloads import (
+    accepted_payloads,
+    decode_base64,
+    payload_files,
+    payload_inventory,
+    payload_outcomes,
+    rejected_payloads,
+)
 from kinfold.sources.scratch import materialize, scratch_root
 
 
@@ -156,3 +164,54 @@ def test_scratch_uses_the_configured_folder(spark):
         assert scratch_root(spark) == configured
     assert materialize(spark.range(3), "t").count() == 3
     assert materialize(spark.range(0), "t").collect() == []
+
+
+def test_scan_rejects(spark, tree):
+    """Files met = files of the inventory and files that vanished; everything not taken has one reason."""
+    root, files = tree
+    (root / "broken").symlink_to(root / "nowhere")
+    (root / "again").symlink_to(root / "sub")
+    os.mkfifo(root / "pipe.txt")
+    inventory, rejects = folder.scan_with_rejects(spark, str(root))
+    assert facts(inventory) == facts(folder.scan_folder(spark, str(root)))
+    found = {(os.path.relpath(r.path, root), r.is_dir, r.reason) for r in rejects.collect()}
+    assert found == {
+        ("broken", False, labels.VANISHED),
+        ("again", True, labels.LINKED_DIR),
+        ("sub/node_modules", True, labels.EXCLUDED),
+        ("pipe.txt", False, labels.UNREAD),
+    }
+
+
+def test_unlisted_directory_is_told(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_bytes(b"a")
+    lister = folder._lister(str(tmp_path), labels.EXCLUDED_DIRS)
+    batches = list(lister(iter([pd.DataFrame({"path": [str(tmp_path), str(tmp_path / "gone")]})])))
+    rows = {(r.path, r.is_dir, r.reason) for b in batches for r in b.itertuples()}
+    assert rows == {(f"{tmp_path}/a.txt", False, None), (f"{tmp_path}/gone", True, labels.UNLISTED_DIR)}
+
+
+def test_payload_outcomes(spark):
+    rows = [
+        (1, "d\\a.txt", "data:;base64,aGk="),
+        (2, "b.txt", "data:;base64,aGk"),
+        (3, "c.txt", "no comma"),
+        (4, "d/a.txt", "data:;base64,aGV5"),
+        (4, "d/a.txt", "data:;base64,aGV5"),  # the same upload twice: one stays
+        (5, "d/a.txt", "data:;base64,Y"),
+        (6, ".git/x", "data:;base64,Y"),
+        (7, None, "data:;base64,aGk="),
+        (8, "e.txt", None),
+        (9, "f.txt", "data:,"),
+        (None, "g.txt", "data:;base64,aGk="),
+    ]
+    uploads = spark.createDataFrame(rows, "upload_seq long, name string, data_uri string")
+    outcomes = payload_outcomes(uploads)
+    accepted, rejected = accepted_payloads(outcomes, "2024-01-01 00:00:00"), rejected_payloads(outcomes)
+    assert accepted.count() + rejected.count() == len(rows)
+    assert accepted.orderBy("path").collect() == payload_inventory(uploads, "2024-01-01 00:00:00").orderBy("path").collect()
+    assert sorted((r.seq or 0, r.reason) for r in rejected.collect()) == [
+        (1, labels.REPLACED), (2, labels.NOT_DECODABLE), (3, labels.NO_DATA), (4, labels.REPLACED), (5, labels.NOT_DECODABLE),
+        (6, labels.EXCLUDED), (7, labels.NO_NAME), (8, labels.NO_DATA),
+    ]
+    assert payload_outcomes(uploads.limit(0)).collect() == []
