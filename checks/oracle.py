@@ -242,6 +242,7 @@ _NEAR_LINES = (
 # key -> (tables it builds on, query)
 _QUERIES: dict[str, tuple[list[str], str]] = {
     "scan_inventory": ([], _FILES),
+    "scan_source": ([], _FILES),
     "scan_exclusions": ([_FIXTURE], "SELECT seq, path FROM raw"),
     "scan_metadata": (
         [_FIXTURE],

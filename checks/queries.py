@@ -17,6 +17,7 @@ from checks import fixture
 from kinfold.plans.pipeline import read_counters, run_pipeline
 from kinfold.sources import stages
 from kinfold.sources.folder import scan_folder
+from kinfold.sources.folder_source import read_folder
 from kinfold.sources.inventory import describe, drop_excluded
 from kinfold.sources.payloads import accepted_payloads, payload_inventory, payload_outcomes, rejected_payloads
 from kinfold.sources.scratch import materialize, new_location
@@ -128,6 +129,11 @@ def scan_inventory(spark, sf_dir):
     return scan_folder(spark, sf_dir).select("file_name", "size_bytes", "extension", "content_md5")
 
 
+def scan_source(spark, sf_dir):
+    """The folder by the data source; the same files as ``scan_inventory``."""
+    return read_folder(spark, sf_dir).select("file_name", "size_bytes", "extension", "content_md5")
+
+
 def exact_next_scan(spark, sf_dir):
     """The state of an earlier scan, brought up to date with this one."""
     location = new_location(spark, "exact-state")
@@ -230,6 +236,7 @@ def all_queries() -> dict[str, Query]:
     return {
         # sources and sinks
         "scan_inventory": scan_inventory,
+        "scan_source": scan_source,
         "scan_exclusions": _pathed(columns=["seq", "path"]),
         "scan_metadata": lambda spark, sf_dir: describe(
             fixture.document_files(spark, sf_dir).withColumn("content_md5", F.md5("text"))
