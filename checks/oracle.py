@@ -473,6 +473,10 @@ _QUERIES |= {
         _TO_COMBINED,
         f"SELECT extension, {_MEASURES} FROM combined WHERE depot = 'src1' AND unit = 'en' GROUP BY extension",
     ),
+    "approximate_groups": (
+        _TO_COMBINED,
+        f"SELECT unit, n_groups, TRUE AS within_bound FROM (SELECT unit, {_MEASURES} FROM combined GROUP BY unit)",
+    ),
     "run_history": (
         _TO_COMBINED,
         f"SELECT h.*, {_label('total_bytes')} AS total_label, run_id FROM all_spots AS h, (SELECT unnest(['monday', 'tuesday']) AS run_id)",
