@@ -9,7 +9,6 @@ with the cells and the rows, never with the square of a cell's population.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,57 +108,6 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     return reduce(DataFrame.unionByName, steps).filter(F.col("penalty") <= limit)
 
 
-def _offsets(ahead: bool) -> Column:
-    """Steps to all cells that can be within eps (841 of them, or the 420 ahead), each with its squared gap in cells.
-
-    A cell side is just below eps/2, so the gap is at most 2 cells; it does not depend on the data.
-    """
-    steps = []
-    for step in product(range(-3, 4), repeat=len(AXES)):
-        gap = sum(max(abs(k) - 1, 0) ** 2 for k in step)
-        if gap <= 4 and (not ahead or step > (0,) * len(AXES)):
-            steps.append(f"array({', '.join(map(str, (*step, gap)))})")
-    return F.expr(f"array({', '.join(steps)})")
-
-
-def _with_offsets(df: DataFrame, target: str, ahead: bool = False) -> DataFrame:
-    spread = df.withColumn("step", F.explode(_offsets(ahead)))
-    return spread.withColumns({f"{target}_c{k}": F.col(f"c{k}") + F.col("step")[k - 1] for k in AXES})
-
-
-def nearby_cells(probes: DataFrame, cells: DataFrame, eps: float, pairs: DataFrame | None, once: bool) -> DataFrame:
-    """Pairs of probe ``a`` and occupied cell ``b`` whose boxes are within eps, with ``sure`` if all rows are.
-
-    Probes have the columns of cells (``id``, ``block``, cell, box, ``n``). ``pairs`` are the block pairs to bridge,
-    if eps reaches across blocks. ``once`` keeps one direction of each pair and leaves out a cell with itself.
-    """
-    carried = ["id", "n", *BOX]
-    # A small table grows 400-fold here: spread it first, with a number that adaptive execution keeps.
-    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probes = probes.repartition(tasks, "id")
-    own = probes.withColumns({"b_block": F.col("block"), "penalty": F.lit(0.0)})
-    around = _with_offsets(own, "b", ahead=once)
-    if pairs is not None:
-        both = pairs if once else pairs.unionByName(
-            pairs.select(F.col("b_block").alias("a_block"), F.col("a_block").alias("b_block"), "penalty")
-        )
-        other = probes.join(both, probes["block"] == both["a_block"]).drop("a_block")
-        reach = (eps * eps - F.col("penalty")) / cell_side(eps) ** 2 * (1 + 1e-9)
-        other = _with_offsets(other, "b").filter(F.col("step")[len(AXES)] <= reach)
-        around = around.unionByName(other)
-    around = around.select(
-        *[F.col(c).alias(f"a_{c}") for c in carried], "b_block", "penalty", *[f"b_{c}" for c in CELL]
-    )
-    # The optimiser does not see the growth and might broadcast the grown side. A merge join on the coordinates holds at
-    # every size; a cell meets at most 841 others.
-    occupied = _sided(cells, "b", ["block", *CELL, *carried]).hint("merge")
-    met = around.join(occupied, ["b_block", *[f"b_{c}" for c in CELL]])
-    return met.filter(_nearest() <= eps * eps).select(
-        "a_id", "b_id", "penalty", "a_n", "b_n", *[f"{s}_{c}" for s in "ab" for c in BOX],
-        (_farthest() <= eps * eps).alias("sure"),
-    )
-
-
 def _sub_boxes(points: DataFrame, side: str, level: int, eps: float) -> DataFrame:
     """Boxes of the points of each item, cut by halving the cell ``level`` times."""
     step = cell_side(eps) / 2**level

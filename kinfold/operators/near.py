@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold import labels, schemas
-from kinfold.operators import features, grid
+from kinfold.operators import features, grid, tiles
 from kinfold.operators.components import connected_components
 from kinfold.operators.features import AXES, Z
 from kinfold.operators.grid import BOX, CELL
@@ -71,8 +71,8 @@ def _points(
     return materialize(inside.groupBy("id", *Z).agg(F.count("*").alias("w")), "points")
 
 
-def _near_cells(space: Grid, cells: DataFrame) -> DataFrame:
-    return materialize(grid.nearby_cells(cells, cells, space.eps, space.bridges, once=True), "cell-pairs")
+def _near_cells(space: Grid, cells: DataFrame, merged: bool) -> DataFrame:
+    return materialize(tiles.near_cells(cells, space.eps, space.bridges, merged), "cell-pairs")
 
 
 def _settled(
@@ -84,7 +84,7 @@ def _settled(
 
 def linked_cells(space: Grid) -> DataFrame:
     """All pairs of cells that hold rows within eps of each other (each pair once)."""
-    met = _near_cells(space, space.cells)
+    met = _near_cells(space, space.cells, merged=False)
     inside = _settled(space, met.filter("NOT sure"), space.cells)
     return met.filter("sure").select("a_id", "b_id").unionByName(inside)
 
@@ -94,7 +94,7 @@ def _components(space: Grid, cells: DataFrame, whole: DataFrame, single_rows: Da
 
     Open pairs are only looked into if the sure links left their cells apart.
     """
-    met = _near_cells(space, cells)
+    met = _near_cells(space, cells, merged=True)
     links, open_pairs = met.filter("sure").select("a_id", "b_id"), met.filter("NOT sure")
     rooted = cells.select("id").join(
         connected_components(links, "a_id", "b_id").withColumnRenamed("node", "id"), "id", "left"
@@ -213,7 +213,7 @@ def _cluster_by_density(space: Grid, min_samples: int) -> DataFrame:
     )
     single = sparse.select("id", *Z, F.lit(1).cast("long").alias("w"))
 
-    met = materialize(grid.nearby_cells(probes, space.cells, space.eps, space.bridges, once=False), "row-cells")
+    met = materialize(tiles.probed_cells(probes, space.cells, space.eps, space.bridges, min_samples - 1), "row-cells")
     open_pairs = met.filter("NOT sure")
     inside = grid.settle_pairs(open_pairs, single, _points(space, open_pairs, "b", space.cells), space.eps, count=True)
     counts = met.filter("sure").select(F.col("a_id").alias("id"), F.col("b_n").alias("hits"))
@@ -236,7 +236,7 @@ def _cluster_by_density(space: Grid, min_samples: int) -> DataFrame:
     cell_numbers = materialize(rooted.join(numbers, "root").select("id", "cluster_id"), "core-labels")
 
     border = probes.join(core_ids, "id", "left_anti")
-    reach = materialize(grid.nearby_cells(border, core_cells, space.eps, space.bridges, once=False), "border-cells")
+    reach = materialize(tiles.probed_cells(border, core_cells, space.eps, space.bridges, min_samples - 1), "border-cells")
     open_pairs = reach.filter("NOT sure")
     core_points = _points(space, open_pairs, "b", dense, core_sparse)
     inside = grid.settle_pairs(open_pairs, single, core_points, space.eps, count=True)

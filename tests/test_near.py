@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold import schemas
-from kinfold.operators import features, grid, near
+from kinfold.operators import features, grid, near, tiles
 from kinfold.operators.components import connected_components
 from tests import brute
 from tests.makers import exact_rows
@@ -144,10 +144,8 @@ def test_counting_inside_a_full_cell(spark, monkeypatch):
     assert got == {i: 2 * int(n) for i, n in enumerate((distances <= 1.5).sum(axis=1)) if n}
 
 
-def test_offsets_cover_all_cells_within_eps(spark):
-    cells = spark.range(1).selectExpr("0L AS c1", "0L AS c2", "0L AS c3", "0L AS c4")
-    assert grid._with_offsets(cells, "b").count() == 841
-    assert grid._with_offsets(cells, "b", ahead=True).count() == 420
+def test_steps_cover_all_cells_within_eps():
+    assert len(tiles.steps()) == 841
 
 
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
