@@ -3,10 +3,12 @@
 The graph's edges are windows of ``WIDTH`` words, its nodes the words that two windows in a row share. Only edges that can
 repeat are made at all (see ``repeats``): windows whose anchor occurs twice. Windows in a row with one anchor are a path
 without a branch already; such runs are counted as one row, and single edges are told apart only where runs with one
-anchor differ. ``compact_paths`` then joins repeated runs that follow each other, wherever the first has one successor and
-the second one predecessor, into maximal nonbranching paths. Every occurrence keeps its source coordinates (doc_id, start,
-n); an occurrence counts as a repeat only where the hashes of its anchor and of all its words agree with those read at
-another source, and the spans are cut at these coordinates.
+anchor differ. ``compact_paths`` then joins repeated runs that follow each other into paths, wherever
+every copy of the first goes on to the second and every copy of the second comes from the first: neither branches, and no
+text begins or ends between them, so all spans of a path have one length. Every span keeps its source coordinates (doc_id,
+start, n_words). ``confirmed_spans`` reads the words there again and takes the spans of a path whose words another span of
+it has too, by a 128-bit digest of all the words; where a path's words differ, its runs are read and compared one by one.
+Single edges inside runs that differ are told by the 64-bit hashes of their anchor and of their words.
 
 Each word that lies in a window whose words also start anywhere else, in the same or another document, is removed.
 
@@ -19,7 +21,7 @@ before them.
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 from kinfold.llm import arrays as A
 from kinfold.llm import repeats
 from kinfold.llm.columns import plainly_named
-from kinfold.operators.components import connected_components
 from kinfold.sources.scratch import drop, materialize
 
 WIDTH, K = 35, 16
@@ -77,43 +78,106 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, masked
 
 
+def whole_runs(found: DataFrame, masked: DataFrame) -> DataFrame:
+    """(doc_id, tie, start, n, node, copies): occurrences of the runs that repeat as a whole; a node is a run."""
+    runs = found.join(masked.filter(F.col("copies") > 1).select(*RUN, "copies"), RUN)
+    return runs.select("doc_id", "tie", "start", "n", F.struct(*RUN).alias("node"), "copies")
+
+
 def compact_paths(found: DataFrame, masked: DataFrame) -> DataFrame:
-    """(path, doc_id, tie, start, n_words, runs): spans of maximal nonbranching repeated paths at their source coordinates.
+    """(path, doc_id, tie, start, n_words, runs): spans of nonbranching repeated paths at their source coordinates.
 
-    Runs follow each other if one ends where the other begins and both repeat as a whole. Nonbranching successions
-    are linked and their components found by joins; the path has the number of its least run.
+    Runs follow each other if one ends where the other begins. A run goes on a path if all its copies follow one run and
+    all copies of that run lead to it. The path has the name of its first run. Rows that repeat with their doc_id have
+    paths of single runs.
     """
-    whole = found.join(masked.filter(F.col("copies") > 1), RUN).select("doc_id", "tie", "start", "n", "run")
+    whole = whole_runs(found, masked)
     order = Window.partitionBy("doc_id", "tie").orderBy("start")
-    steps = whole.withColumns({"_next": F.lead("run").over(order), "_at": F.lead("start").over(order)})
-    follows = materialize(
-        steps.filter(F.col("_at") == F.col("start") + F.col("n")).select("run", F.col("_next").alias("next")).distinct(),
-        "follows",
-    )
-    one_out = follows.groupBy("run").agg(F.count("*").alias("_n")).filter("_n = 1").select("run")
-    one_in = follows.groupBy("next").agg(F.count("*").alias("_n")).filter("_n = 1").select("next")
-    links = follows.join(one_out, "run", "left_semi").join(one_in, "next", "left_semi")
-    paths = connected_components(links.select(F.col("run").alias("a"), F.col("next").alias("b")))
-    on_path = whole.join(paths.select(F.col("node").alias("run"), F.col("root").alias("path")), "run", "left")
-    on_path = on_path.withColumn("path", F.coalesce("path", "run"))
-    before = F.lag(F.struct("path", (F.col("start") + F.col("n")).alias("end"))).over(order)
-    goes_on = F.coalesce((before["path"] == F.col("path")) & (before["end"] == F.col("start")), F.lit(False))
-    span = F.sum((~goes_on).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.lead(F.struct("node", "copies", "start")).over(order)
+    steps = whole.withColumn("_next", ahead).filter(F.col("_next.start") == F.col("start") + F.col("n"))
+    steps = steps.groupBy("node", "copies", F.col("_next.node").alias("_to"), F.col("_next.copies").alias("_to_copies"))
+    links = steps.agg(F.count("*").alias("_n")).filter("_n = copies AND _n = _to_copies")
+    inner = materialize(links.select(F.col("_to").alias("node"), F.lit(0).alias("_begins")), "inner-runs")
+    on_path = whole.join(inner, "node", "left").withColumn("_begins", F.coalesce("_begins", F.lit(1)))
+    span = F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     spans = on_path.withColumn("_span", span).groupBy("doc_id", "tie", "_span")
     return spans.agg(
-        F.first("path").alias("path"),
+        F.min_by("node", "start").alias("path"),
         F.min("start").alias("start"),
         (F.max(F.col("start") + F.col("n")) - F.min("start") + WIDTH - 1).alias("n_words"),
         F.count("*").alias("runs"),
     ).select("path", "doc_id", "tie", "start", "n_words", "runs")
 
 
+def _read_spans(batches):
+    """A digest of the words of each span, joined by one space."""
+    for part, texts in A.text_slices(batches):
+        words = A.words_of(texts, A.NOT_BLANK)
+        lists = part.column("places")
+        flat = lists.flatten()
+        owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        starts, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n_words"))
+        first = starts + words.first[owner]
+        last = first + n - 1
+        odd = (words.starts[1:] - words.ends[:-1] != 1) | (texts.data[words.ends[:-1]] != ord(" "))
+        odd = np.r_[0, np.cumsum(odd)]
+        digests = []
+        for a, b, plain in zip(first.tolist(), last.tolist(), odd[first] == odd[last], strict=True):
+            if plain:
+                raw = texts.data[words.starts[a] : words.ends[b]].tobytes()
+            else:
+                raw = b" ".join(texts.data[words.starts[w] : words.ends[w]].tobytes() for w in range(a, b + 1))
+            digests.append(hashlib.blake2b(raw, digest_size=16).digest())
+        yield pa.RecordBatch.from_arrays(
+            [
+                flat.field("path"),
+                part.column("doc_id").take(pa.array(owner)),
+                part.column("tie").take(pa.array(owner)),
+                flat.field("start"),
+                flat.field("n_words"),
+                pa.array(digests, pa.binary()),
+            ],
+            names=["path", "doc_id", "tie", "start", "n_words", "digest"],
+        )
+
+
+_READ = "path struct<anchor: bigint, run: bigint>, doc_id long, tie long, start long, n_words long, digest binary"
+
+
+def confirmed_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans with their ``digest``, the path and digest of those whose words no other span of the path has), both tables."""
+    places = spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("path", "start", "n_words")).alias("places"))
+    read = repeats.keyed(docs).join(places.hint("merge"), ["doc_id", "tie"]).mapInArrow(_read_spans, _READ)
+    read = materialize(read, "read-spans")
+    alone = read.groupBy("path", "digest").agg(F.count("*").alias("_n")).filter("_n = 1").select("path", "digest")
+    return read, materialize(alone, "unlike-spans")
+
+
+def _repeated_spans(docs: DataFrame, found: DataFrame, masked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, tie, start, n_words) of paths and, where a path's words differ, of their runs; and the tables behind them."""
+    read, alone = confirmed_spans(docs, compact_paths(found, masked))
+    used = [read, alone]
+    parts = [read.join(alone, ["path", "digest"], "left_anti")]
+    if not alone.isEmpty():
+        whole = whole_runs(found, masked)
+        unlike = read.join(alone, ["path", "digest"], "left_semi")
+        unlike = unlike.select("doc_id", "tie", F.col("start").alias("_from"), (F.col("start") + F.col("n_words")).alias("_to"))
+        nodes = whole.join(unlike, ["doc_id", "tie"]).filter("start >= _from AND start < _to").select("node").distinct()
+        runs = whole.join(nodes, "node", "left_semi")
+        runs = runs.select(F.col("node").alias("path"), "doc_id", "tie", "start", (F.col("n") + WIDTH - 1).cast("long").alias("n_words"))
+        read, alone = confirmed_spans(docs, runs)
+        used += [read, alone]
+        parts.append(read.join(alone, ["path", "digest"], "left_anti"))
+    spans = [part.select("doc_id", "tie", "start", "n_words") for part in parts]
+    return reduce(DataFrame.unionByName, spans), used
+
+
 def repeated_words(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, spans): the removed spans of a document as (start, n_words), from its paths and its single edges."""
     found, masked = repeated_runs(docs)
-    paths = compact_paths(found, masked).select("doc_id", "tie", "start", F.col("n_words").alias("n"))
+    paths, used = _repeated_spans(docs, found, masked)
     # A path of n words stands for its n - WIDTH + 1 windows.
-    paths = paths.select("doc_id", "tie", F.struct("start", F.col("n").cast("int").alias("n")).alias("span"))
+    paths = paths.select("doc_id", "tie", F.struct("start", F.col("n_words").cast("int").alias("n")).alias("span"))
     single = found.join(masked.filter(F.col("copies") == 1), RUN).select(
         "doc_id", "tie", F.explode(F.expr("filter(sequence(0, n - 1), i -> (shiftright(mask, i) & 1) = 1)")).alias("i"), "start"
     )
@@ -122,7 +186,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     )
     spans = paths.unionByName(single).groupBy("doc_id", "tie").agg(F.collect_list("span").alias("spans"))
     spans = materialize(spans, "removed-spans")
-    drop(found, masked)
+    drop(found, masked, *used)
     return spans
 
 

@@ -155,6 +155,54 @@ def test_paths(spark):
     assert all(p.start >= 40 and p.start + p.n_words <= 240 and p.n_words > 150 for p in paths)
 
 
+def test_paths_end_where_texts_branch_or_end(spark):
+    """All spans of a path have one length, and its words; a passage twice in a row is two spans."""
+    words = [f"p{i}" for i in range(300)]
+    docs = [(1, words), (2, ["a"] + words + ["b"]), (3, words[:150]), (4, words + words), (5, words[100:] + ["c"])]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    found, masked = debruijn_dedup.repeated_runs(spark.createDataFrame(docs, SCHEMA))
+    paths = debruijn_dedup.compact_paths(found, masked).collect()
+    texts = dict(docs)
+    said = {}
+    for p in paths:
+        said.setdefault(p.path, []).append(tuple(texts[p.doc_id].split()[p.start : p.start + p.n_words]))
+    assert all(len(set(spans)) == 1 and len(spans) > 1 for spans in said.values())
+    assert max(p.runs for p in paths) > 1 and sum(p.doc_id == 4 for p in paths) > sum(p.doc_id == 1 for p in paths)
+
+
+def test_spans_are_held_against_their_sources(spark):
+    """Spans that hashes call equal count only if their words are: a lone one is told, blanks make no difference."""
+    words = [f"w{i}" for i in range(60)]
+    other = words[:30] + ["X"] + words[31:]
+    docs = [(1, " ".join(words)), (2, "\t".join(["z", *words])), (3, " ".join(other)), (4, " ".join(other))]
+    rows = repeats.keyed(spark.createDataFrame(docs, SCHEMA)).select("doc_id", "tie")
+    spans = rows.selectExpr(
+        "named_struct('anchor', 7L, 'run', IF(doc_id = 4, 9L, 8L)) AS path", "doc_id", "tie", "IF(doc_id = 2, 1L, 0L) AS start", "60L AS n_words"
+    )
+    read, alone = debruijn_dedup.confirmed_spans(spark.createDataFrame(docs, SCHEMA), spans)
+    kept = read.join(alone, ["path", "digest"], "left_anti").collect()
+    assert read.count() == 4 and sorted(r.doc_id for r in kept) == [1, 2]
+
+
+def test_unlike_paths_fall_back_to_their_runs(spark, monkeypatch):
+    """If a path's words differ somewhere, the runs that do agree are still found."""
+    words = [f"p{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words))], SCHEMA)
+    found, masked = debruijn_dedup.repeated_runs(docs)
+    told = debruijn_dedup.confirmed_spans
+    calls = []
+
+    def doubting(docs, spans):
+        read, alone = told(docs, spans)
+        calls.append(read.count())
+        return (read, read.select("path", "digest").distinct()) if len(calls) == 1 else (read, alone)
+
+    monkeypatch.setattr(debruijn_dedup, "confirmed_spans", doubting)
+    spans, _ = debruijn_dedup._repeated_spans(docs, found, masked)
+    covered = {(r.doc_id, w) for r in spans.collect() for w in range(r.start, r.start + r.n_words)}
+    assert covered == {(d, w) for d in (1, 2) for w in range(200)} and calls[1] > calls[0] == 2
+
+
 def test_cut_texts(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, f"one  two\n{passage}\tend\n", "de"), (2, f"{passage} é", None), (3, "alone ", "x"), (4, None, "y")]
