@@ -13,8 +13,10 @@ from kinfold import labels, schemas
 from kinfold.sources import folder, stages
 from kinfold.sources.inventory import drop_excluded
 from kinfold.sources.payloads import (
+    _FOREIGN,
     accepted_payloads,
     decode_base64,
+    decoded_payloads,
     payload_files,
     payload_inventory,
     payload_outcomes,
@@ -66,6 +68,30 @@ def test_payloads(spark):
     assert row.content_md5 == hashlib.md5(b"hey").hexdigest()
 
 
+def test_payloads_are_decoded_once(spark):
+    uploads = spark.createDataFrame([(1, "a", "data:;base64,aGk=")], "upload_seq long, name string, data_uri string")
+    plan = decoded_payloads(uploads)._jdf.queryExecution().executedPlan().toString()
+    # Ordinary texts and others, each at one place: no filter decodes as well.
+    assert plan.count("unbase64") == 2
+
+
+def test_foreign_characters_are_all_but_the_alphabet(spark):
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    kept = spark.createDataFrame([(every,)], "c string").select(F.regexp_replace("c", _FOREIGN, "")).first()[0]
+    assert kept == "+/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def test_broken_lines_and_foreign_characters_of_uploads(spark):
+    contents = [b"", b"x" * 500, bytes(range(256)) * 3]
+    bodies = [base64.encodebytes(c).decode().replace("\n", end) for c in contents for end in ("\r\n", "\n", "\r", " \u2028-", "\U0001F600")]
+    cases = [*BASE64_CASES, *bodies]
+    uploads = spark.createDataFrame(
+        [(i, f"f{i}", "data:;base64," + c) for i, c in enumerate(cases)], "upload_seq long, name string, data_uri string"
+    )
+    got = {r.seq: bytes(r.content) for r in decoded_payloads(uploads).collect()}
+    assert got == {i: d for i, c in enumerate(cases) if (d := python_decode(c.encode("ascii", "ignore"))) is not None}
+
+
 def test_excluded_directories(spark):
     paths = ["/MyWindowsBackup/a", "/x/Windows.txt", "/windows/a", "C:\\.git\\a", "/x/.venv/y/a", "/.gitignore"]
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
