@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinfold import schemas
 from kinfold.operators import features, grid, near, tiles
 from kinfold.operators.components import connected_components
+from kinfold.sources.scratch import materialize
 from tests import brute
 from tests.makers import exact_rows
 
@@ -172,3 +173,36 @@ def test_components(spark, shape):
             root[high] = low
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r.node: r.root for r in connected_components(df).collect()} == {n: find(n) for n in root}
+
+
+def two_sides(spark, n, items):
+    """Points of ``items`` items on each of two sides, some pairs of which are within 1.5."""
+    draw = random.Random(5)
+    points = [
+        (side * items + i % items, draw.random(), side * 2.0 + draw.random() * 0.8, draw.random() * 3, draw.random() * 3, 1)
+        for side in (0, 1)
+        for i in range(n)
+    ]
+    return spark.createDataFrame(points, "id long, z1 double, z2 double, z3 double, z4 double, w long")
+
+
+def test_settling_stops_when_one_pair_of_what_is_asked_is_a_link(spark):
+    points = two_sides(spark, 400, 20)
+    pairs = spark.range(20).crossJoin(spark.range(20, 40).toDF("b_id")).selectExpr("id AS a_id", "b_id", "0D AS penalty", "1L AS low", "2L AS high")
+    each = grid.settle_pairs(pairs, points, points, 1.5, count=False)
+    assert each.columns == ["a_id", "b_id", "hits"] and each.count() > 1
+    both = grid.settle_pairs(pairs, points, points, 1.5, count=False, until=("low", "high"))
+    assert [(r.low, r.high) for r in both.collect()] == [(1, 2)]
+    assert grid.settle_pairs(pairs, points, points, 0.1, count=False, until=("low", "high")).isEmpty()
+
+
+def test_points_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Joins with points are merged, although they are far below the size that Spark broadcasts."""
+    written = []
+    monkeypatch.setattr(grid, "materialize", lambda df, name: written.append((name, df._jdf.queryExecution().executedPlan().toString())) or materialize(df, name))
+    points = two_sides(spark, 100, 1)
+    pairs = spark.createDataFrame([(0, 1, 0.0)], "a_id long, b_id long, penalty double")
+    assert grid.settle_pairs(pairs, points, points, 1.5, count=False).count() == 1
+    plans = [plan for name, plan in written if name in ("box-pairs", "met-pairs")]
+    assert len(plans) > 1 and all(plan.count("SortMergeJoin") >= 2 for plan in plans)
+    assert not any("Inner, Build" in plan for plan in plans)
